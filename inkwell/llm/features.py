@@ -21,9 +21,9 @@ def hashed(df: DataFrame, tokens: str, features: str, size: int, binary: bool =
     return Normalizer(inputCol=f"_{features}", outputCol=features).transform(counts.transform(df)).drop(f"_{features}")
 
 
-def fit(train: DataFrame, features: str, label: str, weight: str | None = None, reg: float = 1e-4, iterations: int = 40) -> LogisticRegressionModel:
+def fit(train: DataFrame, features: str, label: str, weight: str | None = None, reg: float = 1e-4, iterations: int = 40, standardize: bool = False) -> LogisticRegressionModel:
     model = LogisticRegression(
-        featuresCol=features, labelCol=label, regParam=reg, maxIter=iterations, standardization=False,
+        featuresCol=features, labelCol=label, regParam=reg, maxIter=iterations, standardization=standardize,
         **({"weightCol": weight} if weight else {}),
     )
     return model.fit(train)

@@ -26,8 +26,8 @@ WINDOW = 8
 RATES = {
     "word_len": ("word_chars * 1000 DIV n_words", 1500),
     "symbols": ("n_symbols * 1000 DIV n_words", 150),
-    "dup_lines": ("n_dup_lines * 1000 DIV n_lines", 200),
-    "repeats": ("n_repeat_words * 1000 DIV n_words", 100),
+    "dup_lines": ("n_dup_lines * 1000 DIV n_lines", 400),
+    "repeats": ("n_repeat_words * 1000 DIV n_words", 250),
 }
 
 
@@ -252,7 +252,7 @@ p AS (SELECT own.lang, own.source, own.rate,
         CASE WHEN own.size >= 100 THEN own.q3 WHEN lng.size >= 100 THEN lng.q3 ELSE evy.q3 END AS q3
       FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.rate = lng.rate JOIN evy ON own.rate = evy.rate),
 f AS (SELECT *, greatest((q3 - q1) * 3, CASE rate WHEN 'word_len' THEN 1500 WHEN 'symbols' THEN 150
-        WHEN 'dup_lines' THEN 200 ELSE 100 END) AS s FROM p),
+        WHEN 'dup_lines' THEN 400 ELSE 250 END) AS s FROM p),
 bad AS (SELECT DISTINCT doc_id FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang
         AND m.source IS NOT DISTINCT FROM f.source AND m.rate = f.rate WHERE v < q1 - s OR v > q3 + s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

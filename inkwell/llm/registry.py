@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from .chat_format import OP1_SQL, op1_chat_format
+from .decontaminate import op4_decontaminate
+from .jaccard_join import op10_jaccard_join
 from .packing import op7_packing
+from .quality_classifier import op2_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .token_counts import op5_token_counts
+from .toxicity import op9_toxicity
 from .url_filter import op6_url_filter
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL}
