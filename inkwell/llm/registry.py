@@ -8,6 +8,7 @@ from .jaccard_join import op10_jaccard_join
 from .packing import op7_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
+from .substring_dedup import op8_substring_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op9_toxicity
 from .url_filter import op6_url_filter
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
