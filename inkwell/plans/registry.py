@@ -1,3 +1,233 @@
-"""Queries over the driver's tables and their SQL."""
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over the driver's tables, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions import times as T
+from ..operators import catalog as C
+from ..operators.events import classify
+from ..operators.runs import run_gaps
+from ..operators.validate import without_digits
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+    regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, len(regexp_extract_all(html, 'href="'))::INT AS n_links FROM pages""")
+def page_catalog(spark, d):
+    return _t(spark, d, "pages").select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), X.url_host(F.col("url")).alias("host"),
+        F.size(F.regexp_extract_all("html", F.lit('href="'), F.lit(0))).alias("n_links"),
+    )
+
+
+@query(r"""SELECT doc_id, length(text) - 0.5::DOUBLE * length(regexp_replace(text, '[^\x20-\x7E]', '', 'g')) AS units FROM documents""")
+def text_fullwidth_length(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.width(F.col("text")).alias("units"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS lang FROM pages""")
+def page_title_extract(spark, d):
+    return _t(spark, d, "pages").select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.nullif(F.regexp_extract("html", '<html lang="([a-z]+)"', 1), F.lit("")).alias("lang"),
+    )
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
+def html_escape_url(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.escape_html(F.col("url")).alias("escaped"))
+
+
+@query("""SELECT page_id, (i - 1)::INT AS pos, l[i] AS href FROM (
+    SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))""")
+def page_links_explode(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def event_props_json(spark, d):
+    return _t(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("""SELECT user_id, day, CASE WHEN date_diff('day', p, day) > 1 THEN (date_diff('day', p, day) - 1)::INT END AS missed FROM (
+    SELECT *, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS p FROM (SELECT DISTINCT user_id, ts::DATE AS day FROM events))""")
+def activity_gaps(spark, d):
+    days = _t(spark, d, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
+    return run_gaps(days, ["user_id"])
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_event_per_user(spark, d):
+    return _t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+
+
+@query("SELECT event_id, round_even(value / 10, 0)::BIGINT AS tens FROM events")
+def half_even_round(spark, d):
+    return _t(spark, d, "events").select("event_id", F.bround(F.col("value") / 10, 0).cast("long").alias("tens"))
+
+
+@query("SELECT conv_id, string_agg(role, '/' ORDER BY turn) AS path, count(*) AS n FROM conversations GROUP BY conv_id")
+def ordered_role_path(spark, d):
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["role"]), "/").alias("path"), F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(s) > 200 THEN substr(s, 1, 200) || '...' ELSE s END AS short FROM (SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) AS s FROM documents)")
+def truncate_200(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.truncate(X.strip(F.col("text")), 200).alias("short"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, nullif(regexp_extract(url, '[?]([^#]*)', 1), '') AS query, regexp_extract(regexp_extract(url, '^[^?#]*'), '[^/]+$') AS base FROM pages")
+def url_host_query(spark, d):
+    return _t(spark, d, "pages").select(
+        "page_id", X.url_host(F.col("url")).alias("host"), F.try_parse_url("url", F.lit("QUERY")).alias("query"),
+        X.base_name(F.regexp_extract("url", "^[^?#]*", 0)).alias("base"),
+    )
+
+
+@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[0-9０-９]')")
+def docs_without_digits(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("slug"), F.split("text", "\n").alias("bullets"))
+    return without_digits(rows).select(F.col("slug").alias("doc_id"))
+
+
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents")
+def numbering(spark, d):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return _t(spark, d, "documents").select("doc_id", "source", F.row_number().over(w).cast("long").alias("number"))
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 4")
+def newest_four(spark, d):
+    rows = _t(spark, d, "events").select(F.col("event_id").alias("path"), F.col("ts").alias("modificationTime"))
+    return C.newest(rows, 4).select(F.col("path").alias("event_id"), F.col("modificationTime").alias("ts"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def typed_counts(spark, d):
+    return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_documents(spark, d):
+    return C.unused(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), "doc_id")
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)
+SELECT doc_id, 'card_count' AS rule, 0 AS ord FROM l WHERE len(a) <> 3
+UNION ALL SELECT doc_id, 'card_width', (i - 1)::INT FROM (SELECT doc_id, unnest(range(1, 4)) AS i, a FROM l WHERE len(a) = 3)
+WHERE length(a[i]) - 0.5 * length(regexp_replace(a[i], '[^\x20-\x7E]', '', 'g')) > 55""")
+def card_rule_violations(spark, d):
+    from ..operators.validate import card_bullets
+
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("slug"), F.split("text", "\n", -1).alias("cardBullets"))
+    return card_bullets(rows).select(F.col("pos").alias("doc_id"), "rule", "ord")
+
+
+@query("""SELECT doc_id, 'text' AS field FROM documents WHERE text IS NULL OR text = ''
+UNION ALL SELECT doc_id, 'lang' FROM documents WHERE lang IS NULL OR lang = '' OR lang = 'es'""")
+def required_fields(spark, d):
+    """Empty fields, Spanish counted as an empty language so that there are some."""
+    rows = _t(spark, d, "documents").select("doc_id", "text", F.when(F.col("lang") != "es", F.col("lang")).alias("lang"))
+    bad = F.array_compact(F.array(*[F.when(X.missing(F.col(f)), f) for f in ("text", "lang")]))
+    return rows.select("doc_id", F.explode(bad).alias("field"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View' ELSE event_type END AS label FROM events")
+def label_lookup_fallback(spark, d):
+    return _t(spark, d, "events").select("event_id", X.lookup({"CLICK": "Click", "VIEW": "View"}, F.col("event_type"), fold=True).alias("label"))
+
+
+@query("SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, ''), nullif(props, '')) AS detail FROM events")
+def first_truthy_detail(spark, d):
+    some = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))
+    return _t(spark, d, "events").select("event_id", X.first_present(some, F.col("props")).alias("detail"))
+
+
+@query("""SELECT event_id, code <> 0 OR err OR mark <> '' OR props = '' AS failed,
+    CASE WHEN code <> 0 THEN 'exit code ' || code WHEN err THEN 'error: ' || props WHEN mark <> '' THEN mark WHEN props = '' THEN 'no output' ELSE '' END AS reason
+FROM (SELECT event_id, props, (event_id % 7 = 0)::INT AS code, event_id % 5 = 0 AS err, regexp_extract(props, '"k": (9[0-9]*)', 1) AS mark FROM events)""")
+def outcome_classifier(spark, d):
+    i = F.col("event_id")
+    done = classify((i % 7 == 0).cast("int"), i % 5 == 0, F.col("props"), F.regexp_extract("props", '"k": (9[0-9]*)', 1), F.col("props"))
+    return _t(spark, d, "events").select("event_id", done.alias("o")).select("event_id", "o.*")
+
+
+@query("""SELECT event_id, CASE WHEN t > ts THEN t ELSE t + INTERVAL 1 DAY END AS reset_at FROM (
+    SELECT event_id, ts, date_trunc('day', ts) + to_hours((event_id % 12 + CASE WHEN event_id % 2 = 0 THEN 12 ELSE 0 END)::INT) + INTERVAL 5 MINUTE AS t FROM events)""")
+def next_reset_time(spark, d):
+    i = F.col("event_id")
+    hour = F.when(i % 12 == 0, 12).otherwise(i % 12).cast("string")
+    text = F.concat(F.lit("limit Resets "), hour, F.when(i % 2 == 0, "pm").otherwise("AM"), F.lit(" (local)"))
+    return _t(spark, d, "events").select("event_id", T.reset_time(text, F.col("ts")).cast("timestamp_ntz").alias("reset_at"))
+
+
+@query(r"""SELECT page_id, replace(replace(replace(regexp_replace(h, 'href="\.\./([a-z0-9-]+\.html)"', 'href="\1"', 'g'),
+    'href="../../index.html', 'href="../index.html'), 'src="../../assets/', 'src="../assets/'), 'この記事（下書き・未公開）', 'この記事') AS html
+FROM (SELECT page_id, replace(replace(html, 'href="/', 'href="../'), '">', '.html">') AS h FROM pages)""")
+def link_rewrite(spark, d):
+    draft = F.replace(F.replace("html", F.lit('href="/'), F.lit('href="../')), F.lit('">'), F.lit('.html">'))
+    return _t(spark, d, "pages").select("page_id", X.promote_links(draft).alias("html"))
+
+
+@query("""SELECT page_id, CASE WHEN i > 0 THEN substr(html, 1, i - 1) || '<br/>' || substr(html, i + 4) ELSE html END AS html
+    FROM (SELECT page_id, html, instr(html, '<br>') AS i FROM pages)""")
+def first_occurrence_replace(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.replace_first(F.col("html"), F.lit("<br>"), F.lit("<br/>")).alias("html"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN -doc_id - 1 ELSE doc_id END AS pos FROM documents")
+def catalog_prepend(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("slug"))
+    full = docs.select("pos", "slug", *[F.lit(None).alias(c) for c in C.META_COLUMNS if c != "slug"])
+    promoted = full.filter("pos % 10 = 0")
+    rest = full.join(promoted.select("slug"), "slug", "left_anti")
+    return C.prepend(promoted, rest).select(F.col("slug").cast("long").alias("doc_id"), "pos")
+
+
+@query("SELECT url FROM pages WHERE page_id % 2 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def exact_url_dedup(spark, d):
+    pages = _t(spark, d, "pages")
+    return C.unused(pages.filter("page_id % 2 = 0").select("url"), pages.filter("page_id % 3 = 0"))
+
+
+@query("SELECT source, string_agg('- ' || doc_id, chr(10) ORDER BY doc_id) AS text FROM documents WHERE lang <> '' GROUP BY source")
+def url_list_by_source(spark, d):
+    line = F.concat(F.lit("- "), F.col("doc_id").cast("string"))
+    rows = F.sort_array(F.collect_list(F.struct("doc_id", line.alias("l"))))
+    return _t(spark, d, "documents").filter(~X.missing(F.col("lang"))).groupBy("source").agg(F.array_join(F.transform(rows, lambda r: r["l"]), "\n").alias("text"))
+
+
+@query("""SELECT page_id, CASE WHEN NOT contains(html, '</article>') OR NOT contains(html, '</nav>') THEN 'markup'
+    WHEN nullif(regexp_extract(html, '<html lang="(en|fr|de)"', 1), '') IS NULL THEN 'theme' WHEN NOT contains(html, '</body>') THEN 'breadcrumb' END AS reason FROM pages""")
+def migration_reasons(spark, d):
+    html: Column = F.col("html")
+    theme = F.nullif(F.regexp_extract(html, '<html lang="(en|fr|de)"', 1), F.lit(""))
+    reason = (
+        F.when(~(F.contains(html, F.lit("</article>")) & F.contains(html, F.lit("</nav>"))), "markup")
+        .when(theme.isNull(), "theme").when(~F.contains(html, F.lit("</body>")), "breadcrumb")
+    )
+    return _t(spark, d, "pages").select("page_id", reason.alias("reason"))
+
+
+@query("SELECT quality, lang, count(*) AS n, avg((lang <> 'en')::INT) AS foreign_share FROM documents JOIN labels USING (doc_id) GROUP BY quality, lang")
+def balance_report(spark, d):
+    rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
+    return rows.groupBy("quality", "lang").agg(F.count("*").alias("n"), F.avg((F.col("lang") != "en").cast("int")).alias("foreign_share"))
