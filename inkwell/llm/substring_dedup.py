@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grouping import map_groups
-from .workspace import Workspace, table
+from .workspace import table
 
 LENGTH, SEED = 50, 16
-CHUNK = 2_000_000
+CHUNK, GATHER = 2_000_000, 16_000_000
 _BYTES = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -197,8 +197,8 @@ class RunIndex:
     """Run-compressed Burrows-Wheeler transform of many short stretches, each of one document.
 
     ``starts`` and ``rows`` give for each run its first row and the row that its first symbol leads to, so a
-    backward step needs the run alone; ``low_at`` and ``low`` give, as runs over the rows, the smallest
-    document among the suffixes that agree in ``length`` bytes.
+    backward step needs the run alone; ``low`` gives, as runs over the rows, the smallest document among the
+    suffixes that agree in ``length`` bytes. ``run_of`` and ``low_of`` are directories from rows to runs.
     """
 
     def __init__(self, stretches: list[bytes], docs: np.ndarray, length: int):
@@ -214,10 +214,10 @@ class RunIndex:
             key = (key << np.uint64(9)) | np.where(left >= k, padded[k : k + n], np.uint64(0))
         size, half = 7, None
         while True:
-            order = np.argsort(key, kind="stable")
-            new = np.append(False, key[order][1:] != key[order][:-1])
+            order = np.argsort(key)
+            key = key[order]
             rank = np.empty(n, np.uint64)
-            rank[order] = np.cumsum(new) + 1
+            rank[order] = np.cumsum(np.append(True, key[1:] != key[:-1]))
             if size == 28:
                 half = rank
             if size > sizes.max(initial=0):
@@ -225,6 +225,8 @@ class RunIndex:
             later = np.arange(n) + size
             key = (rank << np.uint64(32)) | np.where(left >= size, rank[np.minimum(later, n - 1)], np.uint64(0))
             size *= 2
+        order = np.argsort((rank << np.uint64(32)) | np.arange(n, dtype=np.uint64))  # equal suffixes by place
+        del key, rank, padded
         doc = np.repeat(docs, sizes + 1)
         # Groups of neighbouring suffixes that agree in `length` bytes: two overlapping pieces of 28.
         full = left[order] >= length
@@ -243,8 +245,11 @@ class RunIndex:
         within -= np.maximum.accumulate(np.where(begin, within, 0))
         self.rows = np.empty(len(by), np.int64)
         self.rows[by] = first + within
-        self.low_at = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-        self.low, self.sizes, self.docs, self.length = low[self.low_at], sizes, docs, length
+        new_low = np.append(True, low[1:] != low[:-1])
+        self.low = low[new_low]
+        self.run_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        self.low_of = (np.cumsum(new_low) - 1).astype(np.int32)
+        self.sizes, self.docs, self.length = sizes, docs, length
 
     def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(stretch numbers, window starts) of the windows that start in an earlier document as well."""
@@ -252,10 +257,10 @@ class RunIndex:
         for step in range(1, int(self.sizes.max(initial=0)) + 1):
             on = self.sizes[number] >= step
             number, row = number[on], row[on]
-            run = np.searchsorted(self.starts, row, "right") - 1
+            run = self.run_of[row]
             row = self.rows[run] + row - self.starts[run]
             if step >= self.length:
-                low = self.low[np.searchsorted(self.low_at, row, "right") - 1]
+                low = self.low[self.low_of[row]]
                 hit = low < self.docs[number]
                 yield number[hit], self.sizes[number[hit]] - step
 
@@ -266,21 +271,30 @@ def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], (starts[np.append(first[1:], True)[: len(starts)]] + length)
 
 
-def resolve(stretches: list[bytes], docs: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Removed spans (doc, start, stop) that the stretches of one deal show."""
+def resolve(stretches: list[bytes], docs: np.ndarray, at: np.ndarray, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Removed spans (doc, start, stop) that the stretches of one deal show.
+
+    Equal stretches are indexed once, under their first document; a stretch that is the only one with its
+    seed need not be indexed, as windows of other stretches cannot equal its own.
+    """
     order = np.argsort(docs, kind="stable")
     number, own = {}, np.empty(len(order), np.int64)
-    for k in order.tolist():  # equal stretches are indexed once, under their first document
+    for k in order.tolist():
         own[k] = number.setdefault(stretches[k], len(number))
     first = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(first, own, docs)
     later = docs > first[own]
     sizes = np.array([len(s) for s in stretches], np.int64)
     out = [(docs[later], at[later], at[later] + sizes[later])]
-    index = RunIndex(list(number), first, length)
-    marks = list(index.stream())
+    seed = np.empty(len(number), prints.dtype)
+    seed[own] = prints
+    _, kind, times = np.unique(seed, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[kind] > 1)
+    every = list(number)
+    marks = list(RunIndex([every[k] for k in several.tolist()], first[several], length).stream()) if len(several) else []
     if marks:
         seg, start = (np.concatenate(x) for x in zip(*marks, strict=True))
+        seg = several[seg]
         by = np.lexsort((start, seg))
         seg, start = seg[by], start[by]
         lo, hi = np.searchsorted(seg, own[~later], "left"), np.searchsorted(seg, own[~later], "right")
@@ -303,50 +317,57 @@ def resolve(stretches: list[bytes], docs: np.ndarray, at: np.ndarray, length: in
     return doc[cut], start[cut], (reach - shift)[ends]
 
 
-def removed_spans(rows: DataFrame, length: int, total: int, space: Workspace) -> DataFrame:
+def removed_spans(rows: DataFrame, length: int, total: int) -> DataFrame:
     """doc_id, start, stop of removed stretches, possibly overlapping."""
-    width = 5 if total < 1 << 35 else 6 if total < 1 << 43 else 7
+    width = next(w for w in (4, 5, 6, 7) if w == 7 or total < 1 << (8 * w - 2))  # about 1 in 70 seeds agrees by chance
     deals = max(8, total // 16_000_000)
     asked = repeated_seeds(rows, length, deals, width).groupBy("doc_id").agg(F.collect_set("prefix").alias("prefixes"))
-    deals *= 4
+    deals *= 8
 
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for chunk in _chunks(batches, ["doc_id", "prefixes", "text"]):
-            ids = np.array([r[0] for r in chunk], np.int64)
-            print_, of, first, last, buf = seeds([r[2] for r in chunk], length)
-            prefix = (print_ >> np.uint64(64 - 8 * width)).astype(np.int64)
-            wanted = np.unique(np.concatenate([np.array(r[1], np.int64) for r in chunk]))
-            pick = np.flatnonzero(np.isin(prefix, wanted))
-            origin = np.cumsum([0, *(len(r[2]) for r in chunk[:-1])])
-            data, known, covered, keep = buf.tobytes(), {}, [], []
-            for k in pick[np.argsort(ids[of[pick]], kind="stable")].tolist():
-                s = data[first[k] : last[k] + length]
-                doc = ids[of[k]]
-                if (d := known.setdefault(s, doc)) < doc:  # an earlier document of this chunk holds it
-                    covered.append((doc, first[k] - origin[of[k]], len(s)))
-                else:
-                    keep.append((int(print_[k] % np.uint64(deals)), doc, first[k] - origin[of[k]], s))
+        def packed() -> pa.RecordBatch:
             out = {"deal": [], "blob": []}
             keep.sort(key=lambda x: x[0])
-            lo = 0
-            while lo < len(keep):
-                hi = lo
-                while hi < len(keep) and keep[hi][0] == keep[lo][0]:
-                    hi += 1
+            ends = [k for k in range(1, len(keep) + 1) if k == len(keep) or keep[k][0] != keep[k - 1][0]]
+            for lo, hi in zip([0, *ends], ends, strict=False):
                 part = keep[lo:hi]
                 out["deal"].append(part[0][0])
                 out["blob"].append(_pack(
                     np.array([p[1] for p in part], np.int64), _small(np.array([p[2] for p in part], np.int64)),
                     _small(np.array([len(p[3]) for p in part], np.int64)), np.frombuffer(b"".join(p[3] for p in part), np.uint8),
+                    np.array([p[4] for p in part], np.uint32),
                 ))
-                lo = hi
             if covered:
                 doc, at, n = (np.array(x, np.int64) for x in zip(*covered, strict=True))
-                out["deal"].append(int(ids[0]) % deals)
+                out["deal"].append(int(doc[0]) % deals)
                 out["blob"].append(_pack(doc, _small(at), _small(n)))
-            yield pa.RecordBatch.from_pydict({"deal": pa.array(out["deal"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
+            keep.clear(), covered.clear(), known.clear()
+            return pa.RecordBatch.from_pydict({"deal": pa.array(out["deal"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
+
+        known, covered, keep, held = {}, [], [], 0
+        for chunk in _chunks(batches, ["doc_id", "prefixes", "text"]):
+            ids = np.array([r[0] for r in chunk], np.int64)
+            print_, of, first, last, buf = seeds([r[2] for r in chunk], length)
+            prefix = (print_ >> np.uint64(64 - 8 * width)).astype(np.int64)
+            wanted = np.unique(np.concatenate([np.array(r[1], np.int64) for r in chunk]))
+            pick = np.flatnonzero(np.isin(prefix, wanted))
+            pick = pick[np.argsort(ids[of[pick]], kind="stable")]
+            origin = np.cumsum([0, *(len(r[2]) for r in chunk[:-1])])
+            data, deal, rest = buf.tobytes(), print_[pick] % np.uint64(deals), (print_[pick] >> np.uint64(20)).astype(np.uint32)
+            where, texts = first[pick] - origin[of[pick]], ids[of[pick]]
+            for a, b, d, doc, at, p in zip(*(x.tolist() for x in (first[pick], last[pick] + length, deal, texts, where, rest)), strict=True):
+                s = data[a:b]
+                if known.setdefault(s, doc) < doc:  # an earlier document of these chunks holds it
+                    covered.append((doc, at, len(s)))
+                else:
+                    keep.append((d, doc, at, s, p))
+            held += len(data)
+            if held >= GATHER:
+                yield packed()
+                held = 0
+        yield packed()
 
     def mark(t, bounds):
         import pyarrow as pa
@@ -354,7 +375,7 @@ def removed_spans(rows: DataFrame, length: int, total: int, space: Workspace) ->
         found = [(np.empty(0, np.int64),) * 3]
         blobs = t["blob"]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            docs, at, stretches = [], [], []
+            docs, at, prints, stretches = [], [], [], []
             for k in range(lo, hi):
                 parts = _unpack(blobs[int(k)].as_py())
                 if len(parts) == 3:
@@ -363,26 +384,30 @@ def removed_spans(rows: DataFrame, length: int, total: int, space: Workspace) ->
                     continue
                 docs.append(parts[0])
                 at.append(parts[1].astype(np.int64))
+                prints.append(parts[4])
                 data, end = parts[3].tobytes(), np.cumsum(parts[2].astype(np.int64))
                 stretches += [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
             if stretches:
-                found.append(resolve(stretches, np.concatenate(docs), np.concatenate(at), length))
+                found.append(resolve(stretches, *map(np.concatenate, (docs, at, prints)), length))
         columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "stop"])
 
     around = rows.join(asked, "doc_id").select("doc_id", "prefixes", "text").mapInArrow(send, "deal int, blob binary")
-    return space.save(map_groups(around, ["deal"], mark, "doc_id long, start long, stop long"), "spans")
+    return map_groups(around, ["deal"], mark, "doc_id long, start long, stop long")
 
 
 def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, text, spans array<struct<start, stop>> (bytes, maximal, sorted), kept (binary: what is left)."""
     if length < 2 * SEED or length > 56:
         raise ValueError("length must lie between 32 and 56")
-    space = Workspace(df.sparkSession, "substring-dedup")
-    every = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Columns that need no new name stay as they are: then both joins below share one dealing of the texts.
+    key = F.col(doc_id) if dict(df.dtypes)[doc_id] == "bigint" else F.col(doc_id).cast("long").alias("doc_id")
+    every = df.select(
+        key if doc_id == "doc_id" else key.alias("doc_id"), F.col(text) if text == "text" else F.col(text).alias("text")
+    )
     rows = every.filter("doc_id IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    spans = removed_spans(rows, length, total, space)
+    spans = removed_spans(rows, length, total)
     listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
     def cut(batches: Iterator) -> Iterator:
@@ -408,7 +433,10 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
                 ["doc_id", "text", "spans", "kept"],
             )
 
-    return every.join(listed, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    # The same dealing of the documents by doc_id serves the join above and this one.
+    joined = rows.join(listed, "doc_id", "left").select("doc_id", "text", "spans")
+    without_id = every.filter("doc_id IS NULL").withColumn("spans", F.lit(None).cast(dict(joined.dtypes)["spans"]))
+    return joined.unionByName(without_id).mapInArrow(
         cut, "doc_id long, text string, spans array<struct<start:long,stop:long>>, kept binary"
     )
 
