@@ -23,9 +23,13 @@ def _plain():
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
-def test_parts_give_the_ids_of_the_whole():
-    encode, plain = TokenBytes(default_path(), cache_entries=4), _plain()
-    for x in ODD:
+def test_fast_ids_are_those_of_the_file():
+    encode, plain = TokenBytes(default_path()), _plain()
+    assert encode.fast
+    rng = np.random.default_rng(5)
+    signs = list(" \n\t\u0085\u00a0\u3000\x1c\x0b'stdml1٣aéßжけ。!<|>_")
+    odd = ["".join(rng.choice(signs, 30)) for _ in range(800)]
+    for x in [*ODD, "a" * 9000, *odd]:
         if x is not None:
             assert np.frombuffer(encode(x), dtype="<u4").tolist() == plain(x), x
 
