@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tokens import TokenBytes, default_path
-from .workspace import table
+from .workspace import Workspace, table
 
 BLOCK = 1024
 LIMITS = tuple(2**k for k in range(7, 21))
@@ -44,10 +44,14 @@ def length_histogram(lengths: DataFrame, limits: Sequence[int] = LIMITS) -> Data
     """Counts and suffix sums at every occurring length and every limit asked for."""
     spark = lengths.sparkSession
     asked = spark.createDataFrame([(int(x), 0) for x in limits], "n_tokens long, n_docs long")
-    hist = (
+    # Saved, since both the blocks and the rows read it: the texts are encoded once.
+    counted = (
         lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
         .unionByName(asked)
         .groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    )
+    hist = (
+        Workspace(spark, "length-histogram").save(counted, "counted")
         .withColumn("block", F.expr(f"n_tokens DIV {BLOCK}"))
         .withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     )
