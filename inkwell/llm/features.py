@@ -8,6 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Training tables are bounded samples, so a fixed number of tasks reads them on each iteration.
+TASKS = 4
+
 
 def words(text: str) -> Column:
     """Lower-case runs of characters other than white space and ASCII punctuation; null text: none."""
@@ -26,7 +29,7 @@ def fit(train: DataFrame, features: str, label: str, weight: str | None = None,
         featuresCol=features, labelCol=label, regParam=reg, maxIter=iterations, standardization=standardize,
         **({"weightCol": weight} if weight else {}),
     )
-    return model.fit(train)
+    return model.fit(train.coalesce(TASKS))
 
 
 def score(model: LogisticRegressionModel, df: DataFrame, features: str, name: str) -> DataFrame:

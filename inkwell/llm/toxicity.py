@@ -17,14 +17,20 @@ stay; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from .features import bounded, fit, hashed, score, words
 from .workspace import Workspace, table
 
 SIZE = 1 << 14
+#: Models that are fitted at a time.
+PARALLEL = 2
 #: Seed words of the categories.
 CATEGORIES = {
     "insult": ("idiot", "moron", "stupid", "clown"),
@@ -39,40 +45,50 @@ def category_labels(toxic: str = "toxic", tokens: str = "_words") -> dict:
     return {k: (F.col(toxic) == 1) & v for k, v in said.items()} | {"toxic": F.col(toxic) == 1}
 
 
-def _with_earlier(df: DataFrame, earlier: list[str], name: str) -> DataFrame:
-    """The features of a link: the words, then the earlier probabilities."""
+def _with_earlier(df: DataFrame, earlier: list[str]) -> DataFrame:
+    """Adds ``_z``, the features of a link: the words, then the earlier probabilities."""
     if not earlier:
-        return df.withColumn(name, F.col("_x"))
-    return VectorAssembler(inputCols=["_x", *earlier], outputCol=name, handleInvalid="keep").transform(df)
+        return df.withColumn("_z", F.col("_x"))
+    both = VectorAssembler(inputCols=["_x", *earlier], outputCol="_z", handleInvalid="keep").transform(df)
+    return both.withMetadata("_z", {})  # names of all features, which would make each plan megabytes large
 
 
-def _link(train: DataFrame, df: DataFrame, label: str, earlier: list[str], name: str) -> DataFrame:
-    """Adds probability ``name`` of ``label`` to ``df``, learned from ``train``."""
+def _learn(train: DataFrame, label: str) -> LogisticRegressionModel | float | None:
+    """The model of a link; where ``label`` has one value only that value, without rows None."""
     seen = [r[0] for r in train.select(label).distinct().collect()]  # at most two values
     if len(seen) < 2:
-        return df.withColumn(name, F.lit(seen[0] if seen else None).cast("double"))
-    model = fit(_with_earlier(train, earlier, "_z"), "_z", label, reg=1e-5, iterations=30)
-    return score(model, _with_earlier(df, earlier, "_z"), "_z", name).drop("_z")
+        return seen[0] if seen else None
+    return fit(train, "_z", label, weight="_weight", reg=1e-5, iterations=30)
+
+
+def _judge(model: LogisticRegressionModel | float | None, df: DataFrame, name: str) -> DataFrame:
+    """Adds the probability ``name`` that a learned link gives from ``_z``."""
+    if not isinstance(model, LogisticRegressionModel):
+        return df.withColumn(name, F.lit(model).cast("double"))
+    return score(model, df, "_z", name)
 
 
 def classifier_chain(train: DataFrame, df: DataFrame, labels: list[str], space: Workspace, folds: int = 3) -> DataFrame:
     """Adds one probability ``p_<label>`` per label to ``df``.
 
-    Both tables have features ``_x``; ``train`` has the label columns as 0.0 or 1.0 and ``_fold``.
+    Both tables have features ``_x``; ``train`` has the label columns as 0.0 or 1.0, ``_weight`` and
+    ``_fold``. The models of a link, of all folds and of each fold's complement, are fitted side by side.
     """
-    earlier: list[str] = []
+    spark, earlier = train.sparkSession, []
+    train = train.withColumn("_z", F.col("_x"))
     for label in labels:
-        name = f"p_{label}"
-        df = _link(train, df, label, earlier, name)
-        if label != labels[-1]:
-            parts = [
-                _link(train.filter(F.col("_fold") != k), train.filter(F.col("_fold") == k), label, earlier, name)
-                for k in range(folds)
-            ]
+        name, last = f"p_{label}", label == labels[-1]
+        sets = [train, *[train.filter(F.col("_fold") != k) for k in range(0 if last else folds)]]
+        learn = inheritable_thread_target(spark)(lambda part, label=label: _learn(part, label))
+        with ThreadPool(PARALLEL) as pool:
+            whole, *others = pool.map(learn, sets)
+        df = _judge(whole, _with_earlier(df, earlier), name).drop("_z")
+        if not last:
+            parts = [_judge(m, train.filter(F.col("_fold") == k), name) for k, m in enumerate(others)]
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
-            train = space.save(out, f"after-{label}")
+            train = space.save(_with_earlier(out.drop("_z"), [*earlier, name]), f"after-{label}")
         earlier = [*earlier, name]
     return df
 
@@ -90,14 +106,18 @@ def toxicity(
     spark = df.sparkSession
     space = Workspace(spark, "toxicity")
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = labels.select(F.col("doc_id"), F.col("toxic").alias("flag")).dropna()
+    known = (
+        labels.select("doc_id", (F.col("toxic") == 1).cast("int").alias("flag")).dropna()
+        .groupBy("doc_id", "flag").agg(F.count("*").cast("double").alias("_weight"))
+    )
     known = bounded(known, "doc_id", known.count(), max_train)
-    texts = rows.join(known, "doc_id").withColumn("_words", words("text"))
+    # At most two rows for each of about max_train documents.
+    texts = rows.join(F.broadcast(known), "doc_id").withColumn("_words", words("text"))
     chain = category_labels("flag")
     marked = texts.withColumns({k: v.cast("double") for k, v in chain.items()}).withColumn(
         "_fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))
     )
-    train = space.save(hashed(marked, "_words", "_x", SIZE, binary=True).select("_x", "_fold", *chain), "train")
+    train = space.save(hashed(marked, "_words", "_x", SIZE, binary=True).select("_x", "_fold", "_weight", *chain), "train")
     every = hashed(rows.withColumn("_words", words("text")), "_words", "_x", SIZE, binary=True)
     judged = classifier_chain(train, every.select("doc_id", "_x"), list(chain), space, folds)
     return judged.select("doc_id", *[f"p_{k}" for k in chain], (F.col("p_toxic") >= threshold).alias("toxic"))
