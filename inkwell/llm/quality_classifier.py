@@ -117,7 +117,8 @@ def quality_classifier(
     spark = df.sparkSession
     space = Workspace(spark, "quality-classifier")
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    voted = space.save(votes(rows).select("doc_id", "pattern"), "votes")
+    marked = rows.withColumn("_text", F.xxhash64("text"))
+    voted = space.save(votes(marked).select("doc_id", "_text", "pattern"), "votes")
     found = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3^9 rows
     if not found:
         return voted.select("doc_id", "pattern", *[F.lit(None).cast(k).alias(c) for c, k in (("posterior", "double"), ("score", "double"), ("kept", "boolean"))])
@@ -136,11 +137,14 @@ def quality_classifier(
         )
     )
     train = space.save(sample.select("_x", sides.alias("s")).select("_x", "s.*").filter("w > 0.001"), "train")
-    judged = features(votes(rows)).join(known, "pattern")
     if train.select("y").distinct().count() == 2:
-        judged = score(fit(train, "_x", "y", "w", reg=0.01, standardize=True), judged, "_x", "score")
+        # The votes are not counted again: scores meet them by document and hash of the text, without texts.
+        scored = score(fit(train, "_x", "y", "w", reg=0.01, standardize=True), features(marked), "_x", "score")
+        once = voted.dropDuplicates(["doc_id", "_text"]).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_same"), "pattern")
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_same"))
+        judged = scored.select("doc_id", "_text", "score").join(once, same).join(known, "pattern")
     else:
-        judged = judged.withColumn("score", F.col("posterior"))
+        judged = voted.join(known, "pattern").withColumn("score", F.col("posterior"))
     return judged.select("doc_id", "pattern", "posterior", "score", (F.col("score") >= threshold).alias("kept"))
 
 
