@@ -11,7 +11,8 @@ together with a word list of the category; the last link of the chain is the fla
 
 Defined cases: a null text has no words; null labels and labels of unknown documents are left out;
 repeated labels count each; a category with labels of one kind only gets the share of that kind as its
-probability; without any labelled document all probabilities are null; repeated rows are judged alike and
+probability; a fold that has all
+labelled documents learns from 0.5; without any labelled document all probabilities are null; repeated rows are judged alike and
 stay; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -84,7 +85,7 @@ def classifier_chain(train: DataFrame, df: DataFrame, labels: list[str], space:
             whole, *others = pool.map(learn, sets)
         df = _judge(whole, _with_earlier(df, earlier), name).drop("_z")
         if not last:
-            parts = [_judge(m, train.filter(F.col("_fold") == k), name) for k, m in enumerate(others)]
+            parts = [_judge(0.5 if m is None else m, train.filter(F.col("_fold") == k), name) for k, m in enumerate(others)]
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
