@@ -129,7 +129,12 @@ def quality_classifier(
     features = lambda d: hashed(d.withColumn("_tokens", quality_tokens("text")), "_tokens", "_x", SIZE).drop("_tokens")
 
     total = sum(r["count"] for r in found)
-    sample = features(votes(bounded(rows, "doc_id", total, max_train)).join(known, "pattern"))
+    # The votes are not counted again: they meet texts and scores by document and hash of the text.
+    once = voted.dropDuplicates(["doc_id", "_text"]).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_same"), "pattern")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_same"))
+    # About max_train rows at most.
+    few = F.broadcast(bounded(once, "_doc", total, max_train))
+    sample = features(bounded(marked, "doc_id", total, max_train).join(few, same).join(known, "pattern"))
     sides = F.explode(
         F.array(
             F.struct(F.lit(1.0).alias("y"), F.col("posterior").alias("w")),
@@ -138,10 +143,7 @@ def quality_classifier(
     )
     train = space.save(sample.select("_x", sides.alias("s")).select("_x", "s.*").filter("w > 0.001"), "train")
     if train.select("y").distinct().count() == 2:
-        # The votes are not counted again: scores meet them by document and hash of the text, without texts.
         scored = score(fit(train, "_x", "y", "w", reg=0.01, standardize=True), features(marked), "_x", "score")
-        once = voted.dropDuplicates(["doc_id", "_text"]).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_same"), "pattern")
-        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_same"))
         judged = scored.select("doc_id", "_text", "score").join(once, same).join(known, "pattern")
     else:
         judged = voted.join(known, "pattern").withColumn("score", F.col("posterior"))
