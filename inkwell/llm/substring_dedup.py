@@ -193,6 +193,25 @@ def repeated_seeds(rows: DataFrame, length: int, deals: int, width: int) -> Data
     return map_groups(sent, ["deal"], answer, "doc_id long, prefix long")
 
 
+def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of ``bits`` bits, equal ones by place, and the rank of each from 1, equal ones alike.
+
+    Where key and place fit into one number the numbers are sorted themselves, which takes a fraction of the time.
+    """
+    n = len(key)
+    wide = np.uint64(max(1, n.bit_length()))
+    if bits + int(wide) <= 64:
+        both = np.sort((key << wide) | np.arange(n, dtype=np.uint64))
+        order = (both & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.int64)
+        ordered = both >> wide
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])[:n])
+    return order, rank
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of many short stretches, each of one document.
 
@@ -203,43 +222,47 @@ class RunIndex:
 
     def __init__(self, stretches: list[bytes], docs: np.ndarray, length: int):
         sizes = np.array([len(s) for s in stretches], np.int64)
-        joined = np.frombuffer(b"".join(s + b"\0" for s in stretches), np.uint8).astype(np.uint64) + np.uint64(1)
+        raw = np.frombuffer(b"".join(s + b"\0" for s in stretches), np.uint8)
         ends = np.cumsum(sizes + 1) - 1
-        joined[ends] = 0  # ends of stretches sort before all bytes
-        n = len(joined)
-        left = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes up to the end
-        # Ranks by the first 7 symbols (9 bits each), then doubled; nothing behind an end counts.
-        key, padded = np.zeros(n, np.uint64), np.append(joined, np.zeros(8, np.uint64))
-        for k in range(7):
-            key = (key << np.uint64(9)) | np.where(left >= k, padded[k : k + n], np.uint64(0))
-        size, half = 7, None
-        while True:
-            order = np.argsort(key)
-            key = key[order]
-            rank = np.empty(n, np.uint64)
-            rank[order] = np.cumsum(np.append(True, key[1:] != key[:-1]))
-            if size == 28:
-                half = rank
-            if size > sizes.max(initial=0):
-                break
-            later = np.arange(n) + size
-            key = (rank << np.uint64(32)) | np.where(left >= size, rank[np.minimum(later, n - 1)], np.uint64(0))
+        n, place = len(raw), np.arange(len(raw))
+        inside = np.ones(n, bool)
+        inside[ends] = False
+        used = np.zeros(256, bool)
+        used[raw[inside]] = True
+        # The bytes that occur, numbered from 1; ends of stretches sort before all bytes.
+        joined = np.where(inside, np.cumsum(used).astype(np.uint64)[raw], np.uint64(0))
+        left = np.repeat(ends, sizes + 1) - place  # bytes up to the end
+        # Ranks by the first symbols, then doubled; nothing behind an end counts.
+        bits = max(1, int(used.sum()).bit_length())
+        size = min(42 // bits, length)
+        key, padded = np.zeros(n, np.uint64), np.append(joined, np.zeros(size, np.uint64))
+        for k in range(size):
+            key = (key << np.uint64(bits)) | np.where(left >= k, padded[k : k + n], np.uint64(0))
+        order, rank = _ranked(key, bits * size)
+        while size <= sizes.max(initial=0):
+            if size <= length:
+                half, width = rank, size
+            wide = int(rank.max(initial=0)).bit_length()
+            later = np.where(left >= size, rank[np.minimum(place + size, n - 1)], np.uint64(0))
+            order, rank = _ranked((rank << np.uint64(wide)) | later, 2 * wide)
             size *= 2
-        order = np.argsort((rank << np.uint64(32)) | np.arange(n, dtype=np.uint64))  # equal suffixes by place
+        if size <= length:
+            half, width = rank, size
         del key, rank, padded
         doc = np.repeat(docs, sizes + 1)
-        # Groups of neighbouring suffixes that agree in `length` bytes: two overlapping pieces of 28.
+        # Groups of neighbouring suffixes that agree in `length` bytes: two overlapping pieces.
         full = left[order] >= length
-        a, b = half[order], half[np.minimum(order + length - 28, n - 1)]
+        a, b = half[order], half[np.minimum(order + length - width, n - 1)]
         same = np.append(False, full[1:] & full[:-1] & (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
         groups = np.flatnonzero(~same)
         low = np.repeat(np.minimum.reduceat(doc[order], groups), np.diff(np.append(groups, n)))
         before = joined[order - 1]
         before[order == 0] = 0
         self.starts = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        heads, counts = before[self.starts].astype(np.int64), np.diff(np.append(self.starts, n))
+        heads, counts = before[self.starts].astype(np.uint16), np.diff(np.append(self.starts, n))
         by = np.argsort(heads, kind="stable")
-        first = np.searchsorted(np.sort(joined), heads[by].astype(np.uint64))
+        times = np.bincount(joined.astype(np.int64))
+        first = (np.cumsum(times) - times)[heads[by]]
         within = np.cumsum(counts[by]) - counts[by]
         begin = np.append(True, heads[by][1:] != heads[by][:-1])
         within -= np.maximum.accumulate(np.where(begin, within, 0))
