@@ -3,8 +3,9 @@
 import hashlib
 
 import numpy as np
+import pytest
 
-from inkwell.llm.substring_dedup import op8_substring_dedup, substring_dedup
+from inkwell.llm.substring_dedup import RunIndex, _ranked, op8_substring_dedup, substring_dedup
 
 
 def _brute(docs, length=50):
@@ -58,3 +59,33 @@ def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, bytes(r.kept).decode()) for r in substring_dedup(df).collect()]
     assert sorted(got, key=str) == sorted([(None, text), (4, text), (4, text), (9, "")], key=str)
+
+
+@pytest.mark.parametrize("length, alphabet", [(32, b"a"), (50, b"ab"), (50, b"\0\xff\1"), (56, bytes(range(256)))])
+def test_run_index_of_small_and_large_alphabets(length, alphabet):
+    rng = np.random.default_rng(5)
+    whole = bytes(rng.choice(list(alphabet), 300).tolist())
+    starts, sizes = rng.integers(0, 200, 120), rng.integers(length, 2 * length - 15, 120)
+    stretches = [whole[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    docs = rng.integers(0, 40, 120)
+    first = {}
+    for s, d in zip(stretches, docs.tolist(), strict=True):
+        for p in range(len(s) - length + 1):
+            first[s[p : p + length]] = min(d, first.get(s[p : p + length], d))
+    expected = {
+        (k, p) for k, s in enumerate(stretches) for p in range(len(s) - length + 1) if first[s[p : p + length]] < docs[k]
+    }
+    marks = RunIndex(stretches, docs, length).stream()
+    assert {(int(a), int(b)) for k, start in marks for a, b in zip(k, start, strict=True)} == expected
+
+
+@pytest.mark.parametrize("bits", [20, 60])
+def test_ranks_are_alike_for_equal_keys_and_ordered_by_place(bits):
+    key = np.array([5, 3, 5, 0, (1 << bits) - 1, 3], np.uint64)
+    order, rank = _ranked(key, bits)
+    assert order.tolist() == [3, 1, 5, 0, 2, 4]
+    assert rank.tolist() == [3, 2, 3, 1, 4, 2]
+    # more places than fit beside 60 bits
+    many = np.arange(100, dtype=np.uint64)[::-1] // np.uint64(2)
+    order, rank = _ranked(many, bits)
+    assert order[:4].tolist() == [98, 99, 96, 97] and rank[0] == 50
