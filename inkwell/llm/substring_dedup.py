@@ -14,7 +14,11 @@ doc_id. Three passes find those strings without comparing everything with everyt
    end samples; the smallest document of each group of suffixes that agree in ``length`` bytes is kept as
    runs over the rows too. All stretches are then streamed backwards through the runs at once. At every
    byte this gives the row of the suffix and so whether its match with an earlier document reaches
-   ``length``; those windows are marked.
+   ``length``; those windows are marked. A hot seed, one with ``HOT`` different stretches or more, would make
+   one deal too large: its windows are dealt one by one, by a hash of their own bytes, so that equal windows
+   meet and the rest of its documents spread over all deals. Of equal windows in a few megabytes of text only
+   the smallest document's goes on. Which seeds are hot is counted in a sample of the documents; it decides
+   where windows meet, never which are removed.
 3. The marked spans are joined with their documents, and what is left is written out.
 
 Seeds are a filter only: a window is removed for equal bytes, never for an equal fingerprint.
@@ -37,6 +41,8 @@ from .workspace import table
 
 LENGTH, SEED = 50, 16
 CHUNK, GATHER = 2_000_000, 16_000_000
+#: Different stretches that make a seed hot, and the share of documents (one in so many) in which they are counted.
+HOT, SAMPLE = 8192, 64
 _BYTES = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -193,6 +199,69 @@ def repeated_seeds(rows: DataFrame, length: int, deals: int, width: int) -> Data
     return map_groups(sent, ["deal"], answer, "doc_id long, prefix long")
 
 
+def hot_seeds(rows: DataFrame, length: int) -> np.ndarray:
+    """Sorted fingerprints of the seeds that have about ``HOT`` different stretches or more."""
+
+    def stretches(batches: Iterator) -> Iterator:
+        import zlib
+
+        import pyarrow as pa
+
+        for chunk in _chunks(batches, ["text"]):
+            print_, _, first, last, buf = seeds([r[0] for r in chunk], length)
+            data = buf.tobytes()
+            content = np.array([zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.array(content)], ["print", "content"])
+
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    several = sample.mapInArrow(stretches, "print long, content long").distinct().groupBy("print").count()
+    found = several.filter(F.col("count") >= max(2, HOT // SAMPLE)).select("print").toArrow()["print"]
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
+def _window_hashes(windows: np.ndarray) -> np.ndarray:
+    """Fingerprints of windows of up to 56 bytes, one per row."""
+    wide = np.zeros((len(windows), 56), np.uint8)
+    wide[:, : windows.shape[1]] = windows
+    h = np.zeros(len(windows), np.uint64)
+    for word in wide.view("<u8").T:
+        h = _mix(h * np.uint64(_FACTOR) ^ word)
+    return h
+
+
+def earlier_windows(prints: np.ndarray, docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether a smaller document among these has the same window; ``prints`` only bring equal ones together."""
+    order = np.lexsort((docs, prints))
+    p, d = prints[order], docs[order]
+    starts = np.flatnonzero(np.append(True, p[1:] != p[:-1])[: len(p)])
+    sizes = np.diff(np.append(starts, len(p)))
+    head, several = np.repeat(starts, sizes), np.repeat(sizes > 1, sizes)
+    order, d, head_doc, head = order[several], d[several], d[head[several]], order[head[several]]
+    same = (windows[order] == windows[head]).all(1)
+    out = np.zeros(len(docs), bool)
+    out[order] = same & (d > head_doc)
+    if not same.all():  # different windows of one fingerprint
+        first: dict = {}
+        for k, doc in zip(order[~same].tolist(), d[~same].tolist(), strict=True):
+            out[k] = first.setdefault(windows[k].tobytes(), doc) < doc
+    return out
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of one document that overlap or touch as one."""
+    by = np.lexsort((start, doc))
+    doc, start, stop = doc[by], start[by], stop[by]
+    if not len(doc):
+        return doc, start, stop
+    new = np.append(True, doc[1:] != doc[:-1])
+    group = np.cumsum(new) - 1
+    shift = group * (int(stop.max()) + 1)
+    reach = np.maximum.accumulate(stop + shift)
+    cut = np.append(True, (start + shift)[1:] > reach[:-1]) | new
+    ends = np.append(np.flatnonzero(cut)[1:], len(doc)) - 1
+    return doc[cut], start[cut], (reach - shift)[ends]
+
+
 def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of keys of ``bits`` bits, equal ones by place, and the rank of each from 1, equal ones alike.
 
@@ -324,28 +393,16 @@ def resolve(stretches: list[bytes], docs: np.ndarray, at: np.ndarray, prints: np
         take = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
         s = np.repeat(at[~later], hi - lo) + start[take]
         out.append((np.repeat(docs[~later], hi - lo), s, s + length))
-    doc, start, stop = (np.concatenate(x) for x in zip(*out, strict=True))
-    by = np.lexsort((start, doc))
-    doc, start, stop = doc[by], start[by], stop[by]
-    if not len(doc):
-        return doc, start, stop
-    # merge spans of one document that overlap or touch
-    reach = start.copy()
-    new = np.append(True, doc[1:] != doc[:-1])
-    group = np.cumsum(new) - 1
-    shift = group * (int(stop.max()) + 1)
-    reach = np.maximum.accumulate(stop + shift)
-    cut = np.append(True, (start + shift)[1:] > reach[:-1]) | new
-    ends = np.append(np.flatnonzero(cut)[1:], len(doc)) - 1
-    return doc[cut], start[cut], (reach - shift)[ends]
+    return _merged(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
-def removed_spans(rows: DataFrame, length: int, total: int) -> DataFrame:
-    """doc_id, start, stop of removed stretches, possibly overlapping."""
+def dealt_stretches(rows: DataFrame, length: int, total: int) -> DataFrame:
+    """deal, blob: packed stretches, and windows of hot seeds, that may occur in several documents."""
     width = next(w for w in (4, 5, 6, 7) if w == 7 or total < 1 << (8 * w - 2))  # about 1 in 70 seeds agrees by chance
     deals = max(8, total // 16_000_000)
     asked = repeated_seeds(rows, length, deals, width).groupBy("doc_id").agg(F.collect_set("prefix").alias("prefixes"))
     deals *= 8
+    hot = rows.sparkSession.sparkContext.broadcast(hot_seeds(rows, length))
 
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -362,14 +419,31 @@ def removed_spans(rows: DataFrame, length: int, total: int) -> DataFrame:
                     _small(np.array([len(p[3]) for p in part], np.int64)), np.frombuffer(b"".join(p[3] for p in part), np.uint8),
                     np.array([p[4] for p in part], np.uint32),
                 ))
-            if covered:
-                doc, at, n = (np.array(x, np.int64) for x in zip(*covered, strict=True))
+            spans = [tuple(np.array(x, np.int64) for x in zip(*covered, strict=True))] if covered else []
+            if single:
+                doc, at, windows = (np.concatenate(x) for x in zip(*single, strict=True))
+                prints = _window_hashes(windows)
+                later = earlier_windows(prints, doc, windows)
+                of, start, stop = _merged(doc[later], at[later], at[later] + length)
+                spans.append((of, start, stop - start))
+                left = np.flatnonzero(~later)
+                to = (prints[left] % np.uint64(deals)).astype(np.int64)
+                by = np.argsort(to, kind="stable")
+                left, to = left[by], to[by]
+                ends = np.append(np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)).tolist()
+                for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                    mine = left[lo:hi]
+                    out["deal"].append(int(to[lo]))
+                    out["blob"].append(_pack(doc[mine], _small(at[mine]), windows[mine], np.array([length])))
+            spans = [x for x in spans if len(x[0])]
+            if spans:
+                doc, at, n = (np.concatenate(x) for x in zip(*spans, strict=True))
                 out["deal"].append(int(doc[0]) % deals)
                 out["blob"].append(_pack(doc, _small(at), _small(n)))
-            keep.clear(), covered.clear(), known.clear()
+            keep.clear(), covered.clear(), known.clear(), single.clear()
             return pa.RecordBatch.from_pydict({"deal": pa.array(out["deal"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
-        known, covered, keep, held = {}, [], [], 0
+        known, covered, keep, single, held = {}, [], [], [], 0
         for chunk in _chunks(batches, ["doc_id", "prefixes", "text"]):
             ids = np.array([r[0] for r in chunk], np.int64)
             print_, of, first, last, buf = seeds([r[2] for r in chunk], length)
@@ -380,31 +454,54 @@ def removed_spans(rows: DataFrame, length: int, total: int) -> DataFrame:
             origin = np.cumsum([0, *(len(r[2]) for r in chunk[:-1])])
             data, deal, rest = buf.tobytes(), print_[pick] % np.uint64(deals), (print_[pick] >> np.uint64(20)).astype(np.uint32)
             where, texts = first[pick] - origin[of[pick]], ids[of[pick]]
-            for a, b, d, doc, at, p in zip(*(x.tolist() for x in (first[pick], last[pick] + length, deal, texts, where, rest)), strict=True):
+            is_hot, one_by_one = np.isin(print_[pick], hot.value), []
+            columns = (first[pick], last[pick] + length, deal, texts, where, rest, is_hot)
+            for k, (a, b, d, doc, at, p, apart) in enumerate(zip(*(x.tolist() for x in columns), strict=True)):
                 s = data[a:b]
                 if known.setdefault(s, doc) < doc:  # an earlier document of these chunks holds it
                     covered.append((doc, at, len(s)))
+                elif apart:
+                    one_by_one.append(k)
                 else:
                     keep.append((d, doc, at, s, p))
+            for lo in range(0, len(one_by_one), 10_000):
+                mine = np.array(one_by_one[lo : lo + 10_000])
+                times = (last - first)[pick[mine]] + 1
+                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                at = np.repeat(first[pick[mine]], times) + within
+                windows = np.lib.stride_tricks.sliding_window_view(buf, length)[at]
+                single.append((np.repeat(texts[mine], times), np.repeat(where[mine], times) + within, windows))
+                if sum(x[2].nbytes for x in single) >= 2 * GATHER:
+                    yield packed()
+                    held = 0
             held += len(data)
             if held >= GATHER:
                 yield packed()
                 held = 0
         yield packed()
 
+    return rows.join(asked, "doc_id").select("doc_id", "prefixes", "text").mapInArrow(send, "deal int, blob binary")
+
+
+def removed_spans(rows: DataFrame, length: int, total: int) -> DataFrame:
+    """doc_id, start, stop of removed stretches, possibly overlapping."""
+
     def mark(t, bounds):
         import pyarrow as pa
 
         found = [(np.empty(0, np.int64),) * 3]
         blobs = t["blob"]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            docs, at, prints, stretches = [], [], [], []
+            docs, at, prints, stretches, single = [], [], [], [], []
             for k in range(lo, hi):
                 parts = _unpack(blobs[int(k)].as_py())
                 if len(parts) == 3:
                     start = parts[1].astype(np.int64)
                     found.append((parts[0], start, start + parts[2]))
                     continue
+                if len(parts) == 4:
+                    single.append((parts[0], parts[1].astype(np.int64), parts[2]))
+                    continue
                 docs.append(parts[0])
                 at.append(parts[1].astype(np.int64))
                 prints.append(parts[4])
@@ -412,11 +509,14 @@ def removed_spans(rows: DataFrame, length: int, total: int) -> DataFrame:
                 stretches += [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
             if stretches:
                 found.append(resolve(stretches, *map(np.concatenate, (docs, at, prints)), length))
+            if single:
+                doc, start, windows = (np.concatenate(x) for x in zip(*single, strict=True))
+                later = earlier_windows(_window_hashes(windows), doc, windows)
+                found.append(_merged(doc[later], start[later], start[later] + length))
         columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "stop"])
 
-    around = rows.join(asked, "doc_id").select("doc_id", "prefixes", "text").mapInArrow(send, "deal int, blob binary")
-    return map_groups(around, ["deal"], mark, "doc_id long, start long, stop long")
+    return map_groups(dealt_stretches(rows, length, total), ["deal"], mark, "doc_id long, start long, stop long")
 
 
 def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

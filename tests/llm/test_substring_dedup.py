@@ -5,7 +5,8 @@ import hashlib
 import numpy as np
 import pytest
 
-from inkwell.llm.substring_dedup import RunIndex, _ranked, op8_substring_dedup, substring_dedup
+from inkwell.llm import substring_dedup as S
+from inkwell.llm.substring_dedup import RunIndex, _ranked, earlier_windows, op8_substring_dedup, substring_dedup
 
 
 def _brute(docs, length=50):
@@ -89,3 +90,37 @@ def test_ranks_are_alike_for_equal_keys_and_ordered_by_place(bits):
     many = np.arange(100, dtype=np.uint64)[::-1] // np.uint64(2)
     order, rank = _ranked(many, bits)
     assert order[:4].tolist() == [98, 99, 96, 97] and rank[0] == 50
+
+
+def _around_one_passage(n):
+    """Documents that share the middle of their texts alone."""
+    rng = np.random.default_rng(12)
+    own = lambda k: bytes(rng.integers(97, 123, k).tolist()).decode()
+    passage = own(120)
+    return [(k, own(60) + passage[: 120 - k % 3] + own(60)) for k in range(n)]
+
+
+def test_hot_seeds_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 4)
+    monkeypatch.setattr(S, "SAMPLE", 1)
+    docs = _docs() + [(10_000 + k, t) for k, t in _around_one_passage(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert len(S.hot_seeds(df.filter("doc_id IS NOT NULL"), 50)) > 2
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup(df).selectExpr("doc_id", "octet_length(coalesce(text, '')) - octet_length(kept) AS n_removed", "sha2(kept, 256) AS kept_sha256").collect()}
+    assert got == {i: (w[1], w[3]) for i, w in _brute(docs).items()}
+
+
+def test_a_seed_of_very_many_documents_does_not_meet_in_one_deal(spark):
+    df = spark.createDataFrame(_around_one_passage(12_000), "doc_id long, text string").repartition(8)
+    total = 12_000 * 240
+    by_deal = {}
+    for r in S.dealt_stretches(df, 50, total).collect():
+        parts = S._unpack(bytes(r.blob))
+        by_deal[r.deal] = by_deal.get(r.deal, 0) + (len(parts[0]) if len(parts) > 3 else 0)
+    assert max(by_deal.values()) < 0.05 * sum(by_deal.values())
+
+
+def test_windows_of_one_fingerprint_are_told_apart():
+    windows = np.frombuffer(b"aabbaabbab", np.uint8).reshape(5, 2)
+    docs = np.array([3, 1, 5, 2, 4])
+    assert earlier_windows(np.zeros(5, np.uint64), docs, windows).tolist() == [False, False, True, True, False]
