@@ -6,9 +6,10 @@ tokens, in any order - cover a given share of the item. Documents meet items ove
 so only pairs whose seeds cover enough are tiled: running Karp-Rabin looks for matches of a length that
 falls from the longest possible to ``least``, and marks the longest unmarked matches first.
 
-The benchmark is the small side of the seed join. It is sent to the tasks in blocks of at most
-``block_chars`` characters; a larger benchmark takes several passes over the documents, each of the same
-bounded size, so nothing unbounded is broadcast and no document or item is left out.
+The benchmark is the small side of the seed join. It is sent to the tasks in blocks of ``block_chars``
+characters, cut by running length (the last item of a block may go beyond). A task holds some
+``GROUP_CHARS`` characters of documents at a time and takes them through one block after the other, so
+memory is bounded by a block and a group, and every input row gives one row for any number of blocks.
 
 Tokens are runs of word characters, lower-cased. Defined cases: a null text has no tokens; items
 without tokens match nothing; items shorter than ``least`` tokens match as a whole; repeated documents
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .workspace import table
 
 WORD = re.compile(r"\w+")
+GROUP_CHARS = 32_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,6 +153,37 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]:
     return keys[first].tolist(), np.add.reduceat(values, first).tolist()
 
 
+def _blocks(items: DataFrame, chars: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items in lists of ``chars`` characters, the last item of each included; one empty list if there are none."""
+    block, size, none = [], 0, True
+    for r in items.toLocalIterator():
+        block.append((r.item_id, r.text))
+        size += len(r.text or "")
+        if size >= chars:
+            yield block
+            block, size, none = [], 0, False
+    if block or none:
+        yield block
+
+
+def _groups(batches: Iterator) -> Iterator[list]:
+    """Record batches of some ``GROUP_CHARS`` bytes of text together."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch["text"].nbytes
+        if size >= GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _rank(item: int | None, coverage: float) -> tuple[float, int]:
+    """The largest is the best covered item, of equal coverages the smallest id, a null id last."""
+    return coverage, -(item if item is not None else 1 << 63)
+
+
 def decontaminate(
     df: DataFrame,
     benchmark: DataFrame,
@@ -163,41 +196,42 @@ def decontaminate(
     """Per document: doc_id, n_items, item_id and coverage of the best covered item, contaminated."""
     spark = df.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_chars))
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_items long, item_id long, coverage double"
-    results = []
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block])
-
-        def judge(batches: Iterator, sent=sent) -> Iterator:
-            import pyarrow as pa
-
-            index = Benchmark(sent.value, least)
-            for batch in batches:
-                found = index.judge(batch["text"].to_pylist(), share)
-                best = [max(f, key=lambda m: (m[1], -(m[0] if m[0] is not None else 1 << 63)), default=(None, None)) for f in found]
+    sent = [spark.sparkContext.broadcast(block) for block in _blocks(items, block_chars)]
+
+    def judge(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index = None
+        for group in _groups(batches):
+            texts = [batch["text"].to_pylist() for batch in group]
+            counts = [np.zeros(len(t), np.int64) for t in texts]
+            best: list[list] = [[None] * len(t) for t in texts]
+            for block in sent:
+                if index is None or len(sent) > 1:
+                    index = None  # the last block's goes first
+                    # Read anew, so that a worker keeps one block; with encryption there is no path to read from.
+                    path = getattr(block, "_path", None)
+                    index = Benchmark(block.load_from_path(path) if path else block.value, least)
+                for some, n, top in zip(texts, counts, best, strict=True):
+                    for k, found in enumerate(index.judge(some, share)):
+                        n[k] += len(found)
+                        for item, covered, _ in found:
+                            if top[k] is None or _rank(item, covered) > _rank(*top[k]):
+                                top[k] = (item, covered)
+            for batch, n, top in zip(group, counts, best, strict=True):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"],
-                        pa.array([len(f) for f in found], pa.int64()),
-                        pa.array([m[0] for m in best], pa.int64()),
-                        pa.array([m[1] for m in best], pa.float64()),
+                        pa.array(n),
+                        pa.array([m[0] if m else None for m in top], pa.int64()),
+                        pa.array([m[1] if m else None for m in top], pa.float64()),
                     ],
                     ["doc_id", "n_items", "item_id", "coverage"],
                 )
 
-        results.append(rows.mapInArrow(judge, schema))
-    out = results[0]
-    if blocks > 1:
-        for r in results[1:]:
-            out = out.unionByName(r)
-        best = F.max(F.when(F.col("coverage").isNotNull(), F.struct("coverage", (-F.col("item_id")).alias("i"))))
-        out = out.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), best.alias("b")).select(
-            "doc_id", "n_items", (-F.col("b.i")).alias("item_id"), F.col("b.coverage").alias("coverage")
-        )
+    out = rows.mapInArrow(judge, schema)
     return out.withColumn("contaminated", F.col("n_items") > 0)
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from inkwell.llm import decontaminate as D
 from inkwell.llm.decontaminate import WORD, Benchmark, decontaminate, tiles
 
 ITEM = " ".join(f"w{i}" for i in range(30))
@@ -63,3 +64,25 @@ def test_seed_bound_is_no_smaller_than_the_tiles():
     text = " ".join(ITEM.split()[20:] + ITEM.split()[:20])
     assert index.judge([text, "nothing"], 0.5)[0][0][1] == 1.0
     assert WORD.findall("a-b c") == ["a", "b", "c"]
+
+
+def test_every_row_is_judged_alike_for_any_number_of_blocks(spark, monkeypatch):
+    other = " ".join(f"v{i}" for i in range(20))
+    docs = [(1, f"{ITEM} {other}"), (1, ITEM), (1, "clean"), (None, ITEM), (None, "clean"), (None, None), (2, other), (2, other), (3, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    items = [(9, ITEM), (9, ITEM), (None, other), (None, ITEM), (4, other), (7, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    want = sorted([
+        (1, 5, 4, True), (1, 3, 9, True), (1, 0, None, False), (None, 3, 9, True), (None, 0, None, False), (None, 0, None, False),
+        (2, 2, 4, True), (2, 2, 4, True), (3, 0, None, False),
+    ], key=str)
+    for chars in (8_000_000, 150, 1):
+        monkeypatch.setattr(D, "GROUP_CHARS", 100 if chars == 1 else 32_000_000)
+        got = [(r.doc_id, r.n_items, r.item_id, r.contaminated) for r in decontaminate(df, bench, block_chars=chars).collect()]
+        assert sorted(got, key=str) == want
+
+
+def test_blocks_are_cut_by_length_whatever_the_ids(spark):
+    bench = spark.createDataFrame([(None, "x" * 40)] * 10 + [(5, "y" * 40)] * 10, "item_id long, text string")
+    blocks = list(D._blocks(bench, 100))
+    assert sum(map(len, blocks)) == 20 and max(map(len, blocks)) == 3
