@@ -44,7 +44,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("packing", packing),
 ]
-#: Tokenising and tiling have no SQL form; tests compare run() with brute-force versions.
+#: Tokenising and tiling have no SQL form; tests/test_pipeline.py holds stages against plain results on small tables.
 ORACLE_SQL = None
 
 

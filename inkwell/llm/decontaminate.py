@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .workspace import table
 
 WORD = re.compile(r"\w+")
+LEAST, SHARE, BLOCK_CHARS = 5, 0.5, 8_000_000
 GROUP_CHARS = 32_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,52 +185,60 @@ def _rank(item: int | None, coverage: float) -> tuple[float, int]:
     return coverage, -(item if item is not None else 1 << 63)
 
 
+def _judged(sent: list, least: int, share: float, batches: Iterator) -> Iterator[tuple]:
+    """(record batch, numbers of leaked items, best covered item and its coverage or None) for every batch."""
+    index = None
+    for group in _groups(batches):
+        texts = [batch["text"].to_pylist() for batch in group]
+        counts = [np.zeros(len(t), np.int64) for t in texts]
+        best: list[list] = [[None] * len(t) for t in texts]
+        for block in sent:
+            if index is None or len(sent) > 1:
+                index = None  # the last block's goes first
+                # Read anew, so that a worker keeps one block; with encryption there is no path to read from.
+                path = getattr(block, "_path", None)
+                index = Benchmark(block.load_from_path(path) if path else block.value, least)
+            for some, n, top in zip(texts, counts, best, strict=True):
+                for k, found in enumerate(index.judge(some, share)):
+                    n[k] += len(found)
+                    for item, covered, _ in found:
+                        if top[k] is None or _rank(item, covered) > _rank(*top[k]):
+                            top[k] = (item, covered)
+        yield from zip(group, counts, best, strict=True)
+
+
+def _broadcast(benchmark: DataFrame, chars: int) -> list:
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("text"))
+    return [benchmark.sparkSession.sparkContext.broadcast(block) for block in _blocks(items, chars)]
+
+
 def decontaminate(
     df: DataFrame,
     benchmark: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    least: int = 5,
-    share: float = 0.5,
-    block_chars: int = 8_000_000,
+    least: int = LEAST,
+    share: float = SHARE,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Per document: doc_id, n_items, item_id and coverage of the best covered item, contaminated."""
-    spark = df.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("text"))
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_items long, item_id long, coverage double"
-    sent = [spark.sparkContext.broadcast(block) for block in _blocks(items, block_chars)]
+    sent = _broadcast(benchmark, block_chars)
 
     def judge(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        index = None
-        for group in _groups(batches):
-            texts = [batch["text"].to_pylist() for batch in group]
-            counts = [np.zeros(len(t), np.int64) for t in texts]
-            best: list[list] = [[None] * len(t) for t in texts]
-            for block in sent:
-                if index is None or len(sent) > 1:
-                    index = None  # the last block's goes first
-                    # Read anew, so that a worker keeps one block; with encryption there is no path to read from.
-                    path = getattr(block, "_path", None)
-                    index = Benchmark(block.load_from_path(path) if path else block.value, least)
-                for some, n, top in zip(texts, counts, best, strict=True):
-                    for k, found in enumerate(index.judge(some, share)):
-                        n[k] += len(found)
-                        for item, covered, _ in found:
-                            if top[k] is None or _rank(item, covered) > _rank(*top[k]):
-                                top[k] = (item, covered)
-            for batch, n, top in zip(group, counts, best, strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc_id"],
-                        pa.array(n),
-                        pa.array([m[0] if m else None for m in top], pa.int64()),
-                        pa.array([m[1] if m else None for m in top], pa.float64()),
-                    ],
-                    ["doc_id", "n_items", "item_id", "coverage"],
-                )
+        for batch, n, top in _judged(sent, least, share, batches):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"],
+                    pa.array(n),
+                    pa.array([m[0] if m else None for m in top], pa.int64()),
+                    pa.array([m[1] if m else None for m in top], pa.float64()),
+                ],
+                ["doc_id", "n_items", "item_id", "coverage"],
+            )
 
     out = rows.mapInArrow(judge, schema)
     return out.withColumn("contaminated", F.col("n_items") > 0)
@@ -240,6 +249,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold no benchmark item."""
-    leaks = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: the documents that hold no benchmark item.
+
+    Each row is judged by its own text: rows with a null or repeated doc_id like all others.
+    """
+    sent = _broadcast(table(spark, sf_dir, "benchmark"), BLOCK_CHARS)
+
+    def clean(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch, n, _ in _judged(sent, LEAST, SHARE, batches):
+            yield batch.filter(pa.array(n == 0))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -289,6 +289,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each class."""
+    """Pipeline stage: the document with the smallest doc_id of each class.
+
+    Of repeated rows of one doc_id and text one stays. Rows with a null doc_id belong to no class and go;
+    doc_id is a key, so different texts under one doc_id stay or go together.
+    """
     first = jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])

@@ -208,7 +208,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, with their own columns."""
+    """Pipeline stage: the documents that the rules keep, with their own columns.
+
+    Verdicts are joined by doc_id: rows with a null doc_id go, whatever their text, and different texts under
+    one doc_id stay if one of them is kept.
+    """
     good = quality_rules(docs).filter("kept").select("doc_id").distinct()
     return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
 

@@ -1,0 +1,52 @@
+"""Stages of the corpus pipeline on small tables with null ids, repeated rows and no rows."""
+
+import pytest
+
+import corpus_pipeline as P
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ITEM = " ".join(f"leak{i}" for i in range(20))
+
+
+def _words(name, n=60):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], SCHEMA)
+
+
+def _kept(df):
+    return sorted([(r.doc_id, r.text) for r in df.collect()], key=str)
+
+
+def test_near_duplicates_stage_keeps_one_row_of_a_group(spark, folder):
+    same, near = _words("a"), _words("a", 58)
+    docs = _docs(spark, [(3, same), (3, same), (5, same), (7, near), (8, _words("b")), (None, _words("c"))])
+    assert _kept(P.jaccard_join(spark, docs, folder)) == [(3, same), (8, _words("b"))]
+
+
+def test_decontamination_judges_each_row_by_its_own_text(spark, folder):
+    leak, clean = f"before {ITEM} after", _words("b")
+    docs = _docs(spark, [(1, leak), (1, clean), (2, clean), (2, clean), (None, leak), (None, clean), (None, None)])
+    got = P.decontamination(spark, docs, folder)
+    assert got.columns == docs.columns
+    assert _kept(got) == sorted([(1, clean), (2, clean), (2, clean), (None, clean), (None, None)], key=str)
+
+
+def test_substring_stage_takes_what_an_earlier_document_holds(spark, folder):
+    shared = _words("s", 30)
+    docs = _docs(spark, [(1, f"{shared}"), (2, f"{shared}"), (4, f"{_words('o', 9)}|{shared}")])
+    assert _kept(P.substring_dedup(spark, docs, folder)) == [(1, shared), (4, f"{_words('o', 9)}|")]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in P.STAGES], ids=[n for n, _ in P.STAGES])
+def test_stages_of_an_empty_table(spark, folder, stage):
+    assert stage(spark, _docs(spark, [(1, "x")]).filter("false"), folder).count() == 0
