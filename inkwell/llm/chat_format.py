@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .expressions import let
 from .workspace import table
 
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>\n"
@@ -33,42 +34,75 @@ def unescape(text: Column) -> Column:
 
 
 def _merge(turns: Column) -> Column:
-    """Messages: array<struct<role, texts>> from sorted turns; adjacent turns of one role share a message."""
-    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    """Messages: array<struct<role, texts>> from sorted turns; adjacent turns of one role share a message.
 
-    def add(acc: Column, t: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        grown = F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        new = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when(
-            (F.size(acc) > 0) & (last["role"] == t["role"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)),
-        ).otherwise(F.concat(acc, F.array(new)))
+    A message is the slice of turns between two places where the role changes, so every turn is copied once.
+    """
+    at = F.sequence(F.lit(0), F.size(turns) - 1)
+    starts = F.filter(at, lambda i: (i == 0) | (F.get(turns, i - 1)["role"] != F.get(turns, i)["role"]))
 
-    return F.aggregate(turns, none, add)
+    def messages(first: Column) -> Column:
+        def message(s: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(first, k + 1), F.size(turns))
+            texts = F.transform(F.slice(turns, s + 1, end - s), lambda t: t["text"])
+            return F.struct(F.get(turns, s)["role"].alias("role"), texts.alias("texts"))
 
+        return F.transform(first, message)
 
-def _spans(messages: Column, loss_role: str) -> Column:
-    """Code point spans of the texts of ``loss_role`` in the formatted string, in order."""
-    zero = F.struct(
-        F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")
-    )
+    return let(starts, messages)
+
+
+def running_sums(values: Column) -> Column:
+    """For an array of long: the sum of all elements up to each one.
+
+    Sums are built up within chunks of about the square root of the length, which start from the sums of the
+    chunks before, so no array grows by one element at a time over the whole length.
+    """
+
+    def grown(part: Column, base: Column) -> Column:
+        last = lambda acc: F.coalesce(F.element_at(acc, -1), base)
+        none = F.array().cast("array<bigint>")
+        return F.aggregate(part, none, lambda acc, x: F.when(F.size(acc) > 0, F.concat(acc, F.array(last(acc) + x))).otherwise(F.array(base + x)))
 
-    def message(acc: Column, m: Column) -> Column:
-        head = acc["pos"] + len(START) + F.length(m["role"]) + len(SEP)
+    def of_chunks(chunks: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x))
+        bases = F.aggregate(totals, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + x)))
+        return F.flatten(let(bases, lambda b: F.transform(chunks, lambda c, k: grown(c, F.get(b, k)))))
+
+    def of(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.size(v) - 1, step), lambda i: F.slice(v, i + 1, step))
+        return F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(let(chunks, of_chunks))
+
+    return let(values, of)
+
+
+def _spans(messages: Column, loss_role: str) -> Column:
+    """Byte spans of the texts of ``loss_role`` in the formatted string, in order."""
+    size = F.octet_length
 
-        def text(a: Column, x: Column) -> Column:
-            span = F.array(F.struct(a["pos"].alias("start"), F.length(x).alias("length")))
-            spans = F.when(m["role"] == loss_role, F.concat(a["spans"], span)).otherwise(a["spans"])
-            return F.struct((a["pos"] + F.length(x) + len(NEXT)).alias("pos"), spans.alias("spans"))
+    def pieces(m: Column, k: Column) -> Column:
+        first = size(m["role"]) + F.when(k == 0, 0).otherwise(len(END)) + len(START) + len(SEP)
+        return F.transform(
+            m["texts"],
+            lambda x, j: F.struct(
+                F.when(j == 0, first).otherwise(len(NEXT)).cast("bigint").alias("lead"),
+                size(x).cast("bigint").alias("length"),
+                (m["role"] == loss_role).alias("counts"),
+            ),
+        )
 
-        done = F.aggregate(m["texts"], F.struct(head.alias("pos"), acc["spans"].alias("spans")), text)
+    def spans(p: Column) -> Column:
+        ends = running_sums(F.transform(p, lambda x: x["lead"] + x["length"]))
+        every = F.zip_with(
+            p, ends, lambda x, end: F.struct((end - x["length"]).alias("start"), x["length"].alias("length"), x["counts"].alias("counts"))
+        )
         return F.transform(
-            F.array(done),
-            lambda d: F.struct((d["pos"] - len(NEXT) + len(END)).alias("pos"), d["spans"].alias("spans")),
-        )[0]
+            F.filter(every, lambda s: s["counts"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))
+        )
 
-    return F.aggregate(messages, zero, message)["spans"]
+    return let(F.flatten(F.transform(messages, pieces)), spans)
 
 
 def format_chat(
@@ -79,7 +113,7 @@ def format_chat(
     text: str = "text",
     loss_role: str = "assistant",
 ) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans array<struct<start, length>>."""
+    """One row per conversation: conv_id, formatted, loss_spans array<struct<start, length>> in bytes of UTF-8."""
     turns = df.select(
         F.col(conv_id).alias("conv_id"),
         F.struct(
@@ -91,18 +125,19 @@ def format_chat(
     messages = (
         turns.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list("t")).alias("turns"))
-        .select("conv_id", _merge(F.col("turns")).alias("messages"))
-    )
-    joined = F.transform(
-        "messages",
-        lambda m: F.concat(
-            F.lit(START), m["role"], F.lit(SEP), F.array_join(m["texts"], NEXT), F.lit(END)
-        ),
+        .select("conv_id", let(F.col("turns"), _merge).alias("messages"))
     )
+
+    def formatted(m: Column) -> Column:
+        blocks = F.transform(
+            m, lambda x: F.concat(F.lit(START), x["role"], F.lit(SEP), F.array_join(x["texts"], NEXT), F.lit(END))
+        )
+        return F.array_join(blocks, "")
+
     return messages.select(
         "conv_id",
-        F.array_join(joined, "").alias("formatted"),
-        _spans(F.col("messages"), escape_literal(loss_role)).alias("loss_spans"),
+        let(F.col("messages"), formatted).alias("formatted"),
+        let(F.col("messages"), lambda m: _spans(m, escape_literal(loss_role))).alias("loss_spans"),
     )
 
 
@@ -122,8 +157,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
         )
 
     blocks = F.filter(F.split("formatted", _literal(START), -1), lambda x, i: i > 0)
-    loss = F.transform(
-        "loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))
+    # Bytes are cut by offset; characters would be counted from the start for every span.
+    loss = let(
+        F.col("formatted").cast("binary"),
+        lambda raw: F.transform(
+            "loss_spans", lambda s: unescape(F.substring(raw, s["start"].cast("int") + 1, s["length"].cast("int")).cast("string"))
+        ),
     )
     return formatted.withColumns(
         {"turns": F.flatten(F.transform(blocks, message)), "loss_text": F.array_join(loss, "")}
@@ -140,10 +179,8 @@ IMITATION = "<|im_end|><|im_start|>assistant ok"
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all formatted conversations, read back from the formatted strings."""
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", IMITATION), (-1, 1, "assistant", IMITATION)],
-        "conv_id long, turn long, role string, text string",
-    )
+    both = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))]))
+    extra = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), both.alias("t")).select("conv_id", "t.*", F.lit(IMITATION).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = read_back(format_chat(rows))
     said = F.transform(

@@ -19,8 +19,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .expressions import let
 from .features import bounded, fit, hashed, score
-from .quality_rules import let, text_counts
+from .quality_rules import text_counts
 from .workspace import Workspace, table
 
 SIZE = 1 << 15

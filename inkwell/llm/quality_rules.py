@@ -1,13 +1,21 @@
 """Operator 3: quality rules with adaptive thresholds, in Spark expressions only.
 
-Every document gets exact counts from its whole text. A fixed base rule rejects short and repetitive
-documents. Instead of further fixed cutoffs, quantile sketches of four rates are built per language and
-source: log-linear histograms (32 sub-buckets per power of two, relative error below 1/32), kept as rows
+Every document gets counts from its whole text. A fixed base rule rejects short and repetitive documents.
+Instead of further fixed cutoffs, quantile sketches of four rates are built per language and source:
+log-linear histograms (32 sub-buckets per power of two, relative error below 1/32), kept as rows
 (lang, source, rate, bucket, count). Such sketches merge by adding counts, do not depend on the order of
 the rows, and their size is bounded by the number of buckets, so a hot source costs no more than another.
-Thresholds are Tukey fences on the sketch's quartiles with a least spread per rate; groups with fewer
-than ``min_group`` documents use the merged sketch of their language, or of everything. The thresholds
-are joined back to the counts.
+
+A rate's upper fence is the larger of a Tukey fence on the quartiles and the quantile above which only a
+given share of the documents lies (``RATES``, in thousandths); the lower fence mirrors it. So every cutoff
+is read from a sketch; the shares only say how much of a source one rate may reject where its quartiles
+coincide, as they do for rates that are mostly zero. Quantiles of a language are averaged with those of
+everything, and quantiles of a source with those of its language, weighted by their numbers of documents
+against ``weight`` documents of the wider sketch: thresholds move without a step as a source grows. The
+thresholds are joined back to the counts; values meet fences as buckets.
+
+Repeated windows are told by 64-bit fingerprints of words and windows: two different windows of one text
+are taken as equal with a chance of 2^-64.
 
 Defined cases: a null text has no words; null language or source are groups of their own; repeated rows
 are judged alike and stay; an empty table gives an empty result; other columns are ignored.
@@ -18,24 +26,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .expressions import let
 from .workspace import Workspace, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-#: Rates in thousandths, as integer expressions over the counts, and the least spread of each fence.
+#: Rates in thousandths, as integer expressions over the counts, and the share of documents (in thousandths)
+#: that may lie beyond the fence on either side where the quartiles leave less room.
 RATES = {
-    "word_len": ("word_chars * 1000 DIV n_words", 1500),
-    "symbols": ("n_symbols * 1000 DIV n_words", 150),
-    "dup_lines": ("n_dup_lines * 1000 DIV n_lines", 400),
-    "repeats": ("n_repeat_words * 1000 DIV n_words", 250),
+    "word_len": ("word_chars * 1000 DIV n_words", 20),
+    "symbols": ("n_symbols * 1000 DIV n_words", 50),
+    "dup_lines": ("n_dup_lines * 1000 DIV n_lines", 5),
+    "repeats": ("n_repeat_words * 1000 DIV n_words", 5),
 }
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _repeat_words(words: Column) -> Column:
     """Words inside windows of eight words that occur twice or more, the first occurrence included."""
 
@@ -117,48 +122,51 @@ def sketch(df: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def quartiles(sketches: DataFrame, groups: list[str], suffix: str) -> DataFrame:
-    """Merge sketches to ``groups`` and read quartile buckets: groups, rate, size, q1, q3."""
+QUANTILES = ("low", "q1", "q3", "high")
+
+
+def quantiles(sketches: DataFrame, groups: list[str], suffix: str) -> DataFrame:
+    """Merge sketches to ``groups`` and read buckets: groups, rate, size, quartiles q1 and q3, tails low and high."""
     merged = sketches.groupBy(*groups, "rate", "bucket").agg(F.sum("n").alias("n"))
     steps = merged.groupBy(*groups, "rate").agg(
         F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b")
     )
+    share = F.create_map(*[x for k, (_, m) in RATES.items() for x in (F.lit(k), F.lit(m))])[F.col("rate")]
 
-    def at(part: int) -> Column:
+    def at(part) -> Column:
         found = F.aggregate(
             "b",
             F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("q")),
             lambda a, x: F.struct(
                 (a["n"] + x["n"]).alias("n"),
-                F.coalesce(a["q"], F.when((a["n"] + x["n"]) * 4 >= F.col("size") * part, x["bucket"])).alias("q"),
+                F.coalesce(a["q"], F.when((a["n"] + x["n"]) * 1000 >= F.col("size") * part, x["bucket"])).alias("q"),
             ),
         )
         return found["q"]
 
-    return steps.select(
-        *groups, "rate", F.col("size").alias(f"size{suffix}"), at(1).alias(f"q1{suffix}"), at(3).alias(f"q3{suffix}")
-    )
+    parts = zip(QUANTILES, (share, F.lit(250), F.lit(750), 1000 - share), strict=True)
+    return steps.select(*groups, "rate", F.col("size").alias(f"size{suffix}"), *[at(p).alias(f"{k}{suffix}") for k, p in parts])
 
 
-def thresholds(sketches: DataFrame, min_group: int, reach: int) -> DataFrame:
-    """lang, source, and low and high fences per rate, from the smallest group that is large enough."""
-    own = quartiles(sketches, ["lang", "source"], "")
-    lang = quartiles(sketches, ["lang"], "_l")
-    every = quartiles(sketches, [], "_e")
-    pick = lambda q: (
-        F.when(F.col("size") >= min_group, F.col(q))
-        .when(F.col("size_l") >= min_group, F.col(f"{q}_l"))
-        .otherwise(F.col(f"{q}_e"))
-    )
-    least = F.create_map(*[x for k, (_, m) in RATES.items() for x in (F.lit(k), F.lit(m).cast("long"))])
+def thresholds(sketches: DataFrame, weight: int, reach: int) -> DataFrame:
+    """lang, source, and low and high fences per rate."""
+    own = quantiles(sketches, ["lang", "source"], "")
+    lang = quantiles(sketches, ["lang"], "_l")
+    every = quantiles(sketches, [], "_e")
+
+    def mean(q: str) -> Column:
+        wide = f"((size_l * {q}_l + {weight} * {q}_e) DIV (size_l + {weight}))"
+        return F.expr(f"(size * {q} + {weight} * {wide}) DIV (size + {weight})").alias(q)
+
+    room = (F.col("q3") - F.col("q1")) * reach
     found = (
         own.join(lang.withColumnRenamed("lang", "lang_l").withColumnRenamed("rate", "rate_l"),
                  F.col("lang").eqNullSafe(F.col("lang_l")) & (F.col("rate") == F.col("rate_l")))
         .join(every.withColumnRenamed("rate", "rate_e"), F.col("rate") == F.col("rate_e"))
-        .select("lang", "source", "rate", pick("q1").alias("q1"), pick("q3").alias("q3"))
-        .withColumn("spread", F.greatest((F.col("q3") - F.col("q1")) * reach, least[F.col("rate")]))
+        .select("lang", "source", "rate", *[mean(q) for q in QUANTILES])
+        .select("lang", "source", "rate", F.least(F.col("q1") - room, "low").alias("low"), F.greatest(F.col("q3") + room, "high").alias("high"))
     )
-    fence = F.struct((F.col("q1") - F.col("spread")).alias("low"), (F.col("q3") + F.col("spread")).alias("high"))
+    fence = F.struct("low", "high")
     one = [F.first(F.when(F.col("rate") == k, fence), ignorenulls=True).alias(f"{k}_fence") for k in RATES]
     return found.groupBy("lang", "source").agg(*one)
 
@@ -169,11 +177,12 @@ def quality_rules(
     text: str = "text",
     min_words: int = 20,
     repeat_percent: int = 30,
-    min_group: int = 100,
+    weight: int = 100,
     reach: int = 3,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Judge every document: doc_id, lang, source, the counts, base_failed, kept."""
-    counted = text_counts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "lang", "source"))
+    """Judge every document: doc_id, lang, source, columns to ``carry``, the counts, base_failed, kept."""
+    counted = text_counts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "lang", "source", *carry))
     counted = counted.drop("text").withColumn(
         "base_failed",
         (F.col("n_words") < min_words)
@@ -184,12 +193,12 @@ def quality_rules(
     rated = counts.withColumns(
         {k: F.when(~F.col("base_failed"), F.expr(e)).otherwise(F.lit(0).cast("long")) for k, (e, _) in RATES.items()}
     )
-    fences = thresholds(sketch(rated, ["lang", "source"]), min_group, reach).withColumnsRenamed(
+    fences = thresholds(sketch(rated, ["lang", "source"]), weight, reach).withColumnsRenamed(
         {"lang": "fence_lang", "source": "fence_source"}
     )
     inside = F.lit(True)
     for k in RATES:
-        inside = inside & F.col(k).between(F.col(f"{k}_fence.low"), F.col(f"{k}_fence.high"))
+        inside = inside & bucket(F.col(k)).between(F.col(f"{k}_fence.low"), F.col(f"{k}_fence.high"))
     return (
         rated.join(
             fences,
@@ -208,26 +217,40 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, with their own columns.
+    """Pipeline stage: the rows whose document the rules keep, with their own columns.
 
-    Verdicts are joined by doc_id: rows with a null doc_id go, whatever their text, and different texts under
-    one doc_id stay if one of them is kept.
+    Each row is judged by its own text, language and source: rows with a null or repeated doc_id like all
+    others. Repeated rows stay or go together; a null or blank text goes; an empty table gives no rows.
     """
-    good = quality_rules(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    names, mark = docs.columns, "_text_print"
+    keys = ["doc_id", "lang", "source", mark]
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    good = quality_rules(marked, carry=(mark,)).filter("kept").select(*[F.col(k).alias(f"_good_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_good_{k}"))
+    return marked.join(good, same, "left_semi").select(*names)
 
 
 _BUCKET = "(v - v % (1::BIGINT << greatest(length(bin(v)) - 6, 0)))"
 
 
-def _quartile_sql(name: str, groups: str, source: str) -> str:
+_SHARE = "(CASE rate " + " ".join(f"WHEN '{k}' THEN {m}" for k, (_, m) in RATES.items()) + " END)"
+
+
+def _quantile_sql(name: str, groups: str, source: str) -> str:
     keys = f"{groups}, rate" if groups else "rate"
     return f"""
-{name}_c AS (SELECT {keys}, bucket, sum(n) AS n,
-    sum(sum(n)) OVER (PARTITION BY {keys} ORDER BY bucket) AS c,
-    sum(sum(n)) OVER (PARTITION BY {keys}) AS size FROM sk GROUP BY {keys}, bucket),
-{name} AS (SELECT {keys}, any_value(size) AS size, min(bucket) FILTER (c * 4 >= size) AS q1,
-    min(bucket) FILTER (c * 4 >= size * 3) AS q3 FROM {name}_c GROUP BY {keys})"""
+{name}_c AS (SELECT {keys}, bucket, sum(n)::BIGINT AS n,
+    (sum(sum(n)) OVER (PARTITION BY {keys} ORDER BY bucket))::BIGINT AS c,
+    (sum(sum(n)) OVER (PARTITION BY {keys}))::BIGINT AS size FROM sk GROUP BY {keys}, bucket),
+{name} AS (SELECT {keys}, any_value(size) AS size, min(bucket) FILTER (c * 1000 >= size * {_SHARE}) AS low,
+    min(bucket) FILTER (c * 1000 >= size * 250) AS q1, min(bucket) FILTER (c * 1000 >= size * 750) AS q3,
+    min(bucket) FILTER (c * 1000 >= size * (1000 - {_SHARE})) AS high FROM {name}_c GROUP BY {keys})"""
+
+
+def _mean_sql(q: str) -> str:
+    return f"(own.size * own.{q} + 100 * ((lng.size * lng.{q} + 100 * evy.{q}) // (lng.size + 100))) // (own.size + 100) AS {q}"
 
 
 OP3_SQL = rf"""
@@ -250,15 +273,12 @@ m AS (SELECT doc_id, lang, source, unnest([
         {{'rate': 'dup_lines', 'v': n_dup_lines * 1000 // n_lines}}, {{'rate': 'repeats', 'v': n_repeat_words * 1000 // n_words}}
         ], recursive := true) FROM b WHERE NOT base_failed),
 sk AS (SELECT lang, source, rate, {_BUCKET} AS bucket, count(*) AS n FROM m GROUP BY ALL),
-{_quartile_sql('own', 'lang, source', 'sk')}, {_quartile_sql('lng', 'lang', 'sk')}, {_quartile_sql('evy', '', 'sk')},
-p AS (SELECT own.lang, own.source, own.rate,
-        CASE WHEN own.size >= 100 THEN own.q1 WHEN lng.size >= 100 THEN lng.q1 ELSE evy.q1 END AS q1,
-        CASE WHEN own.size >= 100 THEN own.q3 WHEN lng.size >= 100 THEN lng.q3 ELSE evy.q3 END AS q3
+{_quantile_sql('own', 'lang, source', 'sk')}, {_quantile_sql('lng', 'lang', 'sk')}, {_quantile_sql('evy', '', 'sk')},
+p AS (SELECT own.lang, own.source, own.rate, {', '.join(map(_mean_sql, QUANTILES))}
       FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.rate = lng.rate JOIN evy ON own.rate = evy.rate),
-f AS (SELECT *, greatest((q3 - q1) * 3, CASE rate WHEN 'word_len' THEN 1500 WHEN 'symbols' THEN 150
-        WHEN 'dup_lines' THEN 400 ELSE 250 END) AS s FROM p),
+f AS (SELECT lang, source, rate, least(q1 - 3 * (q3 - q1), low) AS lo, greatest(q3 + 3 * (q3 - q1), high) AS hi FROM p),
 bad AS (SELECT DISTINCT doc_id FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang
-        AND m.source IS NOT DISTINCT FROM f.source AND m.rate = f.rate WHERE v < q1 - s OR v > q3 + s)
+        AND m.source IS NOT DISTINCT FROM f.source AND m.rate = f.rate WHERE {_BUCKET} < lo OR {_BUCKET} > hi)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b
 """
