@@ -9,23 +9,29 @@ doc_id. Three passes find those strings without comparing everything with everyt
    megabytes of text at a time; the answer names the documents whose seed occurs in another one too.
    Seeds that several documents of one batch share are answered on the spot and sent once, so a passage
    that a third of all documents hold costs a row per batch.
-2. *Indexes.* Only stretches of text around such seeds go on, dealt by seed. For each deal a suffix order
-   is made and its Burrows-Wheeler transform is kept as runs, with the rank of the row that each run's
-   end samples; the smallest document of each group of suffixes that agree in ``length`` bytes is kept as
-   runs over the rows too. All stretches are then streamed backwards through the runs at once. At every
-   byte this gives the row of the suffix and so whether its match with an earlier document reaches
-   ``length``; those windows are marked. A hot seed, one with ``HOT`` different stretches or more, would make
-   one deal too large: its windows are dealt one by one, by a hash of their own bytes, so that equal windows
-   meet and the rest of its documents spread over all deals. Of equal windows in a few megabytes of text only
-   the smallest document's goes on. Which seeds are hot is counted in a sample of the documents; it decides
-   where windows meet, never which are removed.
+2. *Indexes.* Only stretches of text around such seeds go on, dealt by seed. Of the stretches of one seed all
+   but the last document's are indexed, and all but the first document's are streamed. The index of a deal is
+   a run-compressed Burrows-Wheeler transform with the suffix positions at both ends of every run, and the
+   earliest document of each group of suffixes that agree in ``length`` bytes, as runs over the rows: all in
+   proportion to the runs. Streaming a stretch backwards gives its matching statistics, for every byte the
+   length of the longest match that starts there (up to ``length``) and a place of it in the indexed text:
+   while the next byte continues the match it is a step within a run, else the nearest runs of that byte above
+   and below are tried, and the text at their sampled positions tells which keeps more of the match. Where the
+   length reaches ``length`` the window is marked if the earliest document at that place comes before its own.
+   A hot seed, one with ``HOT`` different stretches or more, would make one deal too large: its windows are
+   dealt one by one, by a hash of their own bytes, so that equal windows meet and the rest of its documents
+   spread over all deals. Of equal windows in a few megabytes of text only the smallest document's goes on.
+   Which seeds are hot is counted in a sample of the documents; it decides where windows meet, never which are
+   removed.
 3. The marked spans are joined with their documents, and what is left is written out.
 
 Seeds are a filter only: a window is removed for equal bytes, never for an equal fingerprint.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep everything; documents with a null
-doc_id are neither compared nor cut; doc_id is a key, and rows that repeat it must repeat the text;
-matches inside one document do not count; an empty table gives an empty result; other columns are ignored.
+doc_id are neither compared nor cut; repeated rows are cut alike; different texts under one doc_id are parts
+of one document: each is cut by its own spans, and what they share with each other stays (texts of one
+doc_id are told apart by a 64-bit hash); matches inside one document do not count; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ from .grouping import map_groups
 from .workspace import table
 
 LENGTH, SEED = 50, 16
+#: Symbols that are compared at a time.
+PIECE = 16
 CHUNK, GATHER = 2_000_000, 16_000_000
 #: Different stretches that make a seed hot, and the share of documents (one in so many) in which they are counted.
 HOT, SAMPLE = 8192, 64
@@ -247,19 +255,22 @@ def earlier_windows(prints: np.ndarray, docs: np.ndarray, windows: np.ndarray) -
     return out
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of one document that overlap or touch as one."""
-    by = np.lexsort((start, doc))
-    doc, start, stop = doc[by], start[by], stop[by]
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _merged(doc: np.ndarray, version: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Spans:
+    """Spans of one text that overlap or touch as one."""
+    by = np.lexsort((start, version, doc))
+    doc, version, start, stop = doc[by], version[by], start[by], stop[by]
     if not len(doc):
-        return doc, start, stop
-    new = np.append(True, doc[1:] != doc[:-1])
+        return doc, version, start, stop
+    new = np.append(True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]))
     group = np.cumsum(new) - 1
     shift = group * (int(stop.max()) + 1)
     reach = np.maximum.accumulate(stop + shift)
     cut = np.append(True, (start + shift)[1:] > reach[:-1]) | new
     ends = np.append(np.flatnonzero(cut)[1:], len(doc)) - 1
-    return doc[cut], start[cut], (reach - shift)[ends]
+    return doc[cut], version[cut], start[cut], (reach - shift)[ends]
 
 
 def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,9 +295,11 @@ def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of many short stretches, each of one document.
 
-    ``starts`` and ``rows`` give for each run its first row and the row that its first symbol leads to, so a
-    backward step needs the run alone; ``low`` gives, as runs over the rows, the smallest document among the
-    suffixes that agree in ``length`` bytes. ``run_of`` and ``low_of`` are directories from rows to runs.
+    For each run: ``starts`` and ``stops`` its first row and the one behind it, ``heads`` its symbol, ``leads`` the row that its first symbol leads
+    to, ``first`` and ``last`` the suffix positions at its two ends. ``by_symbol`` has the runs ordered by
+    symbol, to find the nearest run of a symbol. ``earliest`` is the smallest document among the suffixes that
+    agree in ``length`` bytes, as runs of rows that begin at ``earliest_starts``. Beside these stands the
+    text itself, one small number per byte, in which matches are compared.
     """
 
     def __init__(self, stretches: list[bytes], docs: np.ndarray, length: int):
@@ -298,76 +311,126 @@ class RunIndex:
         inside[ends] = False
         used = np.zeros(256, bool)
         used[raw[inside]] = True
-        # The bytes that occur, numbered from 1; ends of stretches sort before all bytes.
-        joined = np.where(inside, np.cumsum(used).astype(np.uint64)[raw], np.uint64(0))
-        left = np.repeat(ends, sizes + 1) - place  # bytes up to the end
-        # Ranks by the first symbols, then doubled; nothing behind an end counts.
-        bits = max(1, int(used.sum()).bit_length())
+        # The bytes that occur, numbered from 1, others -1; ends of stretches sort before all bytes.
+        self.symbol = np.where(used, np.cumsum(used), -1).astype(np.int64)
+        joined = np.where(inside, self.symbol[raw], 0).astype(np.uint64)
+        order, half, width = self._suffixes(joined, np.repeat(ends, sizes + 1) - place, int(sizes.max(initial=0)), length)
+        # Groups of neighbouring suffixes that agree in `length` bytes: two overlapping pieces.
+        full = (np.repeat(ends, sizes + 1) - place)[order] >= length
+        a, b = half[order], half[np.minimum(order + length - width, n - 1)]
+        same = np.append(False, full[1:] & full[:-1] & (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
+        # Shorter suffixes are nobody's match and join the group before them.
+        groups = np.flatnonzero((full & ~same) | (np.arange(n) == 0))
+        doc = np.where(full, np.repeat(docs, sizes + 1)[order], np.iinfo(np.int64).max)
+        low = np.repeat(np.minimum.reduceat(doc, groups), np.diff(np.append(groups, n)))
+        self.earliest_starts = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        self.earliest = low[self.earliest_starts]
+        before = joined[order - 1].astype(np.int64)
+        before[order == 0] = 0
+        self.starts = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        self.stops = np.append(self.starts[1:], n)
+        self.heads, counts = before[self.starts], self.stops - self.starts
+        self.first, self.last = order[self.starts], order[self.stops - 1]
+        by = np.argsort(self.heads, kind="stable")
+        self.by_symbol = self.heads[by] * len(by) + by
+        times = np.bincount(joined.astype(np.int64))
+        within = np.cumsum(counts[by]) - counts[by]
+        begin = np.append(True, self.heads[by][1:] != self.heads[by][:-1])
+        within -= np.maximum.accumulate(np.where(begin, within, 0))
+        self.leads = np.empty(len(by), np.int64)
+        self.leads[by] = (np.cumsum(times) - times)[self.heads[by]] + within
+        self.text = np.append(joined, np.zeros(PIECE + length, np.uint64)).astype(np.min_scalar_type(int(joined.max(initial=0))))
+        self.length = length
+
+    @staticmethod
+    def _suffixes(joined: np.ndarray, left: np.ndarray, longest: int, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Suffix order by prefix doubling, and the ranks by the first ``width`` symbols (at most ``length``).
+
+        ``left`` has the symbols up to the end of the stretch, behind which nothing counts.
+        """
+        n, place = len(joined), np.arange(len(joined))
+        bits = max(1, int(joined.max(initial=0)).bit_length())
         size = min(42 // bits, length)
         key, padded = np.zeros(n, np.uint64), np.append(joined, np.zeros(size, np.uint64))
         for k in range(size):
             key = (key << np.uint64(bits)) | np.where(left >= k, padded[k : k + n], np.uint64(0))
         order, rank = _ranked(key, bits * size)
-        while size <= sizes.max(initial=0):
-            if size <= length:
-                half, width = rank, size
+        half, width = rank, size
+        while size <= longest:
             wide = int(rank.max(initial=0)).bit_length()
             later = np.where(left >= size, rank[np.minimum(place + size, n - 1)], np.uint64(0))
             order, rank = _ranked((rank << np.uint64(wide)) | later, 2 * wide)
             size *= 2
-        if size <= length:
-            half, width = rank, size
-        del key, rank, padded
-        doc = np.repeat(docs, sizes + 1)
-        # Groups of neighbouring suffixes that agree in `length` bytes: two overlapping pieces.
-        full = left[order] >= length
-        a, b = half[order], half[np.minimum(order + length - width, n - 1)]
-        same = np.append(False, full[1:] & full[:-1] & (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
-        groups = np.flatnonzero(~same)
-        low = np.repeat(np.minimum.reduceat(doc[order], groups), np.diff(np.append(groups, n)))
-        before = joined[order - 1]
-        before[order == 0] = 0
-        self.starts = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        heads, counts = before[self.starts].astype(np.uint16), np.diff(np.append(self.starts, n))
-        by = np.argsort(heads, kind="stable")
-        times = np.bincount(joined.astype(np.int64))
-        first = (np.cumsum(times) - times)[heads[by]]
-        within = np.cumsum(counts[by]) - counts[by]
-        begin = np.append(True, heads[by][1:] != heads[by][:-1])
-        within -= np.maximum.accumulate(np.where(begin, within, 0))
-        self.rows = np.empty(len(by), np.int64)
-        self.rows[by] = first + within
-        new_low = np.append(True, low[1:] != low[:-1])
-        self.low = low[new_low]
-        self.run_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        self.low_of = (np.cumsum(new_low) - 1).astype(np.int32)
-        self.sizes, self.docs, self.length = sizes, docs, length
-
-    def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(stretch numbers, window starts) of the windows that start in an earlier document as well."""
-        number, row = np.arange(len(self.sizes)), np.arange(len(self.sizes))  # the ends are the first rows
-        for step in range(1, int(self.sizes.max(initial=0)) + 1):
-            on = self.sizes[number] >= step
-            number, row = number[on], row[on]
-            run = self.run_of[row]
-            row = self.rows[run] + row - self.starts[run]
-            if step >= self.length:
-                low = self.low[self.low_of[row]]
-                hit = low < self.docs[number]
-                yield number[hit], self.sizes[number[hit]] - step
-
-
-def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal spans covered by windows at sorted starts."""
-    first = np.append(True, starts[1:] > starts[:-1] + length)[: len(starts)]
-    return starts[first], (starts[np.append(first[1:], True)[: len(starts)]] + length)
-
-
-def resolve(stretches: list[bytes], docs: np.ndarray, at: np.ndarray, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Removed spans (doc, start, stop) that the stretches of one deal show.
-
-    Equal stretches are indexed once, under their first document; a stretch that is the only one with its
-    seed need not be indexed, as windows of other stretches cannot equal its own.
+            if size <= length:
+                half, width = rank, size
+        return order, half, width
+
+    def _agree(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Symbols in which the texts from places a and b agree, up to ``most``."""
+        out, on, done = np.zeros(len(a), np.int64), np.flatnonzero(most > 0), 0
+        windows = np.lib.stride_tricks.sliding_window_view(self.text, PIECE)
+        while len(on):
+            differ = windows[a[on] + done] != windows[b[on] + done]
+            whole = ~differ.any(1)
+            out[on] = done + np.where(whole, PIECE, differ.argmax(1))
+            on = on[whole & (most[on] > done + PIECE)]
+            done += PIECE
+        return np.minimum(out, most)
+
+    def statistics(self, patterns: list[bytes]) -> Iterator[Spans]:
+        """Matching statistics of all patterns, one byte further back at a time.
+
+        (pattern numbers, starts, lengths of the longest match with the indexed text, up to ``length``, rows of
+        its places); :meth:`before` tells the earliest document at a row.
+        """
+        sizes = np.array([len(s) for s in patterns], np.int64)
+        stream, ends = self.symbol[np.frombuffer(b"".join(patterns), np.uint8)], np.cumsum(sizes)
+        number, runs = np.arange(len(sizes)), len(self.starts)
+        row, at, match = (np.zeros(len(sizes), np.int64) for _ in range(3))
+        at += self.first[0]
+        for step in range(1, int(sizes.max(initial=0)) + 1):
+            on = sizes[number] >= step
+            number, row, at, match = number[on], row[on], at[on], match[on]
+            symbol = stream[ends[number] - step]
+            run = np.searchsorted(self.starts, row, "right") - 1
+            other = np.flatnonzero(self.heads[run] != symbol)
+            wanted = symbol[other]
+            k = np.searchsorted(self.by_symbol, wanted * runs + run[other])
+            sides = []
+            for near, sample in ((np.maximum(k - 1, 0), self.last), (np.minimum(k, runs - 1), self.first)):
+                there = self.by_symbol[near] // runs == wanted
+                place = self.by_symbol[near] % runs
+                kept = np.full(len(other), -1)
+                kept[there] = self._agree(at[other][there], sample[place[there]], match[other][there])
+                sides.append((place, sample[place], kept))
+            (up, up_at, up_kept), (down, down_at, down_kept) = sides
+            below = down_kept > up_kept
+            run[other] = np.where(below, down, up)
+            row[other] = np.where(below, self.starts[down], self.stops[up] - 1)
+            at[other], match[other] = np.where(below, down_at, up_at), np.maximum(up_kept, down_kept)
+            none = match < 0  # the byte does not occur in the index
+            row = np.where(none, 0, self.leads[run] + row - self.starts[run])
+            at = np.where(none, self.first[0], at - 1)
+            match = np.where(none, 0, np.minimum(match + 1, self.length))
+            yield number, sizes[number] - step, match, row
+
+    def before(self, rows: np.ndarray) -> np.ndarray:
+        """The earliest document that holds the first ``length`` bytes of the suffix at each row."""
+        return self.earliest[np.searchsorted(self.earliest_starts, rows, "right") - 1]
+
+    def marks(self, patterns: list[bytes], docs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(pattern numbers, window starts) of the windows that start in an earlier document as well."""
+        for number, start, match, row in self.statistics(patterns):
+            long = np.flatnonzero(match >= self.length)
+            hit = long[self.before(row[long]) < docs[number[long]]]
+            yield number[hit], start[hit]
+
+
+def resolve(stretches: list[bytes], docs: np.ndarray, versions: np.ndarray, at: np.ndarray, prints: np.ndarray, length: int) -> Spans:
+    """Removed spans (doc, version, start, stop) that the stretches of one deal show.
+
+    Equal stretches are taken once, under their first document. Of the stretches with one seed those of the
+    last document cannot be an earlier one's and are not indexed, those of the first are not streamed.
     """
     order = np.argsort(docs, kind="stable")
     number, own = {}, np.empty(len(order), np.int64)
@@ -377,22 +440,28 @@ def resolve(stretches: list[bytes], docs: np.ndarray, at: np.ndarray, prints: np
     np.minimum.at(first, own, docs)
     later = docs > first[own]
     sizes = np.array([len(s) for s in stretches], np.int64)
-    out = [(docs[later], at[later], at[later] + sizes[later])]
+    out = [(docs[later], versions[later], at[later], at[later] + sizes[later])]
     seed = np.empty(len(number), prints.dtype)
     seed[own] = prints
-    _, kind, times = np.unique(seed, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(times[kind] > 1)
-    every = list(number)
-    marks = list(RunIndex([every[k] for k in several.tolist()], first[several], length).stream()) if len(several) else []
+    by = np.lexsort((first, seed))
+    heads = np.flatnonzero(np.append(True, seed[by][1:] != seed[by][:-1])[: len(by)])
+    count = np.diff(np.append(heads, len(by)))
+    lowest, highest = (np.empty(len(by), np.int64) for _ in range(2))
+    lowest[by], highest[by] = np.repeat(first[by][heads], count), np.repeat(first[by][heads + count - 1], count)
+    indexed, streamed = np.flatnonzero(first < highest), np.flatnonzero(first > lowest)
+    every, marks = list(number), []
+    if len(indexed):
+        index = RunIndex([every[k] for k in indexed.tolist()], first[indexed], length)
+        marks = list(index.marks([every[k] for k in streamed.tolist()], first[streamed]))
     if marks:
         seg, start = (np.concatenate(x) for x in zip(*marks, strict=True))
-        seg = several[seg]
+        seg = streamed[seg]
         by = np.lexsort((start, seg))
         seg, start = seg[by], start[by]
         lo, hi = np.searchsorted(seg, own[~later], "left"), np.searchsorted(seg, own[~later], "right")
         take = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
         s = np.repeat(at[~later], hi - lo) + start[take]
-        out.append((np.repeat(docs[~later], hi - lo), s, s + length))
+        out.append((np.repeat(docs[~later], hi - lo), np.repeat(versions[~later], hi - lo), s, s + length))
     return _merged(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
@@ -415,17 +484,17 @@ def dealt_stretches(rows: DataFrame, length: int, total: int) -> DataFrame:
                 part = keep[lo:hi]
                 out["deal"].append(part[0][0])
                 out["blob"].append(_pack(
-                    np.array([p[1] for p in part], np.int64), _small(np.array([p[2] for p in part], np.int64)),
+                    np.array([p[1] for p in part], np.int64), np.array([p[5] for p in part], np.int64), _small(np.array([p[2] for p in part], np.int64)),
                     _small(np.array([len(p[3]) for p in part], np.int64)), np.frombuffer(b"".join(p[3] for p in part), np.uint8),
                     np.array([p[4] for p in part], np.uint32),
                 ))
             spans = [tuple(np.array(x, np.int64) for x in zip(*covered, strict=True))] if covered else []
             if single:
-                doc, at, windows = (np.concatenate(x) for x in zip(*single, strict=True))
+                doc, version, at, windows = (np.concatenate(x) for x in zip(*single, strict=True))
                 prints = _window_hashes(windows)
                 later = earlier_windows(prints, doc, windows)
-                of, start, stop = _merged(doc[later], at[later], at[later] + length)
-                spans.append((of, start, stop - start))
+                of, text, start, stop = _merged(doc[later], version[later], at[later], at[later] + length)
+                spans.append((of, text, start, stop - start))
                 left = np.flatnonzero(~later)
                 to = (prints[left] % np.uint64(deals)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
@@ -434,44 +503,44 @@ def dealt_stretches(rows: DataFrame, length: int, total: int) -> DataFrame:
                 for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
                     mine = left[lo:hi]
                     out["deal"].append(int(to[lo]))
-                    out["blob"].append(_pack(doc[mine], _small(at[mine]), windows[mine], np.array([length])))
+                    out["blob"].append(_pack(doc[mine], version[mine], _small(at[mine]), windows[mine], np.array([length])))
             spans = [x for x in spans if len(x[0])]
             if spans:
-                doc, at, n = (np.concatenate(x) for x in zip(*spans, strict=True))
+                doc, version, at, n = (np.concatenate(x) for x in zip(*spans, strict=True))
                 out["deal"].append(int(doc[0]) % deals)
-                out["blob"].append(_pack(doc, _small(at), _small(n)))
+                out["blob"].append(_pack(doc, version, _small(at), _small(n)))
             keep.clear(), covered.clear(), known.clear(), single.clear()
             return pa.RecordBatch.from_pydict({"deal": pa.array(out["deal"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
         known, covered, keep, single, held = {}, [], [], [], 0
-        for chunk in _chunks(batches, ["doc_id", "prefixes", "text"]):
-            ids = np.array([r[0] for r in chunk], np.int64)
-            print_, of, first, last, buf = seeds([r[2] for r in chunk], length)
+        for chunk in _chunks(batches, ["doc_id", "prefixes", "version", "text"]):
+            ids, marks = (np.array([r[k] for r in chunk], np.int64) for k in (0, 2))
+            print_, of, first, last, buf = seeds([r[3] for r in chunk], length)
             prefix = (print_ >> np.uint64(64 - 8 * width)).astype(np.int64)
             wanted = np.unique(np.concatenate([np.array(r[1], np.int64) for r in chunk]))
             pick = np.flatnonzero(np.isin(prefix, wanted))
             pick = pick[np.argsort(ids[of[pick]], kind="stable")]
-            origin = np.cumsum([0, *(len(r[2]) for r in chunk[:-1])])
+            origin = np.cumsum([0, *(len(r[3]) for r in chunk[:-1])])
             data, deal, rest = buf.tobytes(), print_[pick] % np.uint64(deals), (print_[pick] >> np.uint64(20)).astype(np.uint32)
-            where, texts = first[pick] - origin[of[pick]], ids[of[pick]]
+            where, texts, versions = first[pick] - origin[of[pick]], ids[of[pick]], marks[of[pick]]
             is_hot, one_by_one = np.isin(print_[pick], hot.value), []
-            columns = (first[pick], last[pick] + length, deal, texts, where, rest, is_hot)
-            for k, (a, b, d, doc, at, p, apart) in enumerate(zip(*(x.tolist() for x in columns), strict=True)):
+            columns = (first[pick], last[pick] + length, deal, texts, versions, where, rest, is_hot)
+            for k, (a, b, d, doc, version, at, p, apart) in enumerate(zip(*(x.tolist() for x in columns), strict=True)):
                 s = data[a:b]
                 if known.setdefault(s, doc) < doc:  # an earlier document of these chunks holds it
-                    covered.append((doc, at, len(s)))
+                    covered.append((doc, version, at, len(s)))
                 elif apart:
                     one_by_one.append(k)
                 else:
-                    keep.append((d, doc, at, s, p))
+                    keep.append((d, doc, at, s, p, version))
             for lo in range(0, len(one_by_one), 10_000):
                 mine = np.array(one_by_one[lo : lo + 10_000])
                 times = (last - first)[pick[mine]] + 1
                 within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 at = np.repeat(first[pick[mine]], times) + within
                 windows = np.lib.stride_tricks.sliding_window_view(buf, length)[at]
-                single.append((np.repeat(texts[mine], times), np.repeat(where[mine], times) + within, windows))
-                if sum(x[2].nbytes for x in single) >= 2 * GATHER:
+                single.append((np.repeat(texts[mine], times), np.repeat(versions[mine], times), np.repeat(where[mine], times) + within, windows))
+                if sum(x[3].nbytes for x in single) >= 2 * GATHER:
                     yield packed()
                     held = 0
             held += len(data)
@@ -480,43 +549,44 @@ def dealt_stretches(rows: DataFrame, length: int, total: int) -> DataFrame:
                 held = 0
         yield packed()
 
-    return rows.join(asked, "doc_id").select("doc_id", "prefixes", "text").mapInArrow(send, "deal int, blob binary")
+    return rows.join(asked, "doc_id").select("doc_id", "prefixes", "version", "text").mapInArrow(send, "deal int, blob binary")
 
 
 def removed_spans(rows: DataFrame, length: int, total: int) -> DataFrame:
-    """doc_id, start, stop of removed stretches, possibly overlapping."""
+    """doc_id, version, start, stop of removed stretches, possibly overlapping; ``rows``: doc_id, version, text."""
 
     def mark(t, bounds):
         import pyarrow as pa
 
-        found = [(np.empty(0, np.int64),) * 3]
+        found = [(np.empty(0, np.int64),) * 4]
         blobs = t["blob"]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            docs, at, prints, stretches, single = [], [], [], [], []
+            docs, versions, at, prints, stretches, single = [], [], [], [], [], []
             for k in range(lo, hi):
                 parts = _unpack(blobs[int(k)].as_py())
-                if len(parts) == 3:
-                    start = parts[1].astype(np.int64)
-                    found.append((parts[0], start, start + parts[2]))
-                    continue
                 if len(parts) == 4:
-                    single.append((parts[0], parts[1].astype(np.int64), parts[2]))
+                    start = parts[2].astype(np.int64)
+                    found.append((*parts[:2], start, start + parts[3]))
+                    continue
+                if len(parts) == 5:
+                    single.append((*parts[:2], parts[2].astype(np.int64), parts[3]))
                     continue
                 docs.append(parts[0])
-                at.append(parts[1].astype(np.int64))
-                prints.append(parts[4])
-                data, end = parts[3].tobytes(), np.cumsum(parts[2].astype(np.int64))
+                versions.append(parts[1])
+                at.append(parts[2].astype(np.int64))
+                prints.append(parts[5])
+                data, end = parts[4].tobytes(), np.cumsum(parts[3].astype(np.int64))
                 stretches += [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
             if stretches:
-                found.append(resolve(stretches, *map(np.concatenate, (docs, at, prints)), length))
+                found.append(resolve(stretches, *map(np.concatenate, (docs, versions, at, prints)), length))
             if single:
-                doc, start, windows = (np.concatenate(x) for x in zip(*single, strict=True))
+                doc, version, start, windows = (np.concatenate(x) for x in zip(*single, strict=True))
                 later = earlier_windows(_window_hashes(windows), doc, windows)
-                found.append(_merged(doc[later], start[later], start[later] + length))
+                found.append(_merged(doc[later], version[later], start[later], start[later] + length))
         columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "stop"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "start", "stop"])
 
-    return map_groups(dealt_stretches(rows, length, total), ["deal"], mark, "doc_id long, start long, stop long")
+    return map_groups(dealt_stretches(rows, length, total), ["deal"], mark, "doc_id long, version long, start long, stop long")
 
 
 def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -528,10 +598,10 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     every = df.select(
         key if doc_id == "doc_id" else key.alias("doc_id"), F.col(text) if text == "text" else F.col(text).alias("text")
     )
-    rows = every.filter("doc_id IS NOT NULL")
+    rows = every.filter("doc_id IS NOT NULL").withColumn("version", F.xxhash64("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     spans = removed_spans(rows, length, total)
-    listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("version", "start", "stop"))).alias("spans"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -539,13 +609,15 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             merged, kept = [], []
-            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+            for text, version, spans in zip(*(batch[c].to_pylist() for c in ("text", "version", "spans")), strict=True):
                 raw, out, parts, at = (text or "").encode("utf-8", "surrogatepass"), [], [], 0
                 for s in spans or ():
+                    if s["version"] != version:
+                        continue
                     if out and s["start"] <= out[-1]["stop"]:
                         out[-1]["stop"] = max(out[-1]["stop"], s["stop"])
                     else:
-                        out.append(dict(s))
+                        out.append({"start": s["start"], "stop": s["stop"]})
                 for s in out:
                     parts.append(raw[at : s["start"]])
                     at = s["stop"]
@@ -557,8 +629,10 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
             )
 
     # The same dealing of the documents by doc_id serves the join above and this one.
-    joined = rows.join(listed, "doc_id", "left").select("doc_id", "text", "spans")
-    without_id = every.filter("doc_id IS NULL").withColumn("spans", F.lit(None).cast(dict(joined.dtypes)["spans"]))
+    joined = rows.join(listed, "doc_id", "left").select("doc_id", "text", "version", "spans")
+    without_id = every.filter("doc_id IS NULL").withColumns(
+        {"version": F.lit(0).cast("long"), "spans": F.lit(None).cast(dict(joined.dtypes)["spans"])}
+    )
     return joined.unionByName(without_id).mapInArrow(
         cut, "doc_id long, text string, spans array<struct<start:long,stop:long>>, kept binary"
     )
@@ -580,19 +654,23 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Pipeline stage: texts without what an earlier document holds; documents left without a word go.
 
     Where a cut splits a character its other bytes are dropped, so that texts stay valid; n_chars is the
-    new length.
+    new length. Rows with a null doc_id keep their text; repeated rows all stay, cut alike; an empty table
+    gives no rows.
     """
+
     def clean(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             text = [k.decode("utf-8", "ignore") for k in batch["kept"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(text, pa.string())], ["doc_id", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(text, pa.string())], ["_doc", "_version", "_kept"])
 
     names, kinds = docs.columns, dict(docs.dtypes)
-    left = substring_dedup(docs).select("doc_id", "kept").mapInArrow(clean, "doc_id long, kept_text string")
-    left = left.filter(F.col("kept_text").rlike(r"\S")).dropDuplicates(["doc_id"])
-    new = {"text": F.col("kept_text")}
+    left = substring_dedup(docs).select("doc_id", F.xxhash64("text").alias("version"), "kept")
+    left = left.mapInArrow(clean, "_doc long, _version long, _kept string").filter(F.col("_kept").rlike(r"\S")).dropDuplicates(["_doc", "_version"])
+    new = {"text": F.col("_kept")}
     if "n_chars" in names:
-        new["n_chars"] = F.length("kept_text").cast(kinds["n_chars"])
-    return docs.join(left, "doc_id").withColumns(new).select(*names)
+        new["n_chars"] = F.length("_kept").cast(kinds["n_chars"])
+    marked = docs.withColumn("_version_of", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_version_of") == F.col("_version"))
+    return marked.join(left, same).withColumns(new).select(*names)
