@@ -12,8 +12,9 @@ def components(edges: DataFrame, space: Workspace, name: str, most: int = 60) ->
     """Smallest id of the component of every id: (id, root). ``edges`` has long columns a and b.
 
     Large-star and small-star steps by turns: each step links the neighbours of a node to the smallest
-    one. Sums over a node's neighbours are aggregated before they are shuffled, and each round is written
-    to the shared folder.
+    one. The smallest neighbour is aggregated before it is shuffled and written before it is joined, so that
+    the join has plain exchanges on both sides and Spark can split a node with very many neighbours. Each round
+    is written to the shared folder.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -22,6 +23,7 @@ def components(edges: DataFrame, space: Workspace, name: str, most: int = 60) ->
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = space.save(low, f"{name}-low")
         out = both.join(low, "a")
         if large:
             out = out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -34,7 +36,8 @@ def components(edges: DataFrame, space: Workspace, name: str, most: int = 60) ->
     now = space.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     mark = None
     for k in range(1, most):
-        new = space.save(star(star(now, True), False), f"{name}-{k}")
+        wide = space.save(star(now, True), f"{name}-wide")
+        new = space.save(star(wide, False), f"{name}-{k}")
         found = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         space.drop(f"{name}-{k - 1}")
         now = new

@@ -4,7 +4,10 @@ A benchmark item leaks into a document if tiles - non-overlapping common runs of
 tokens, in any order - cover a given share of the item. Documents meet items over shared token seeds
 (runs of ``least`` tokens). The seeds of an item that occur in the document bound what tiles can cover,
 so only pairs whose seeds cover enough are tiled: running Karp-Rabin looks for matches of a length that
-falls from the longest possible to ``least``, and marks the longest unmarked matches first.
+falls from the longest possible to ``least``, and marks the longest unmarked matches first. A match is found
+once, at its first token, and its length is read off prefix fingerprints by halving; so a long run of one
+repeated token, or of a repeated phrase, gives as many matches as it has tokens, not as many as it has pairs
+of tokens. Marked matches are compared token by token.
 
 The benchmark is the small side of the seed join. It is sent to the tasks in blocks of ``block_chars``
 characters, cut by running length (the last item of a block may go beyond). A task holds some
@@ -19,6 +22,7 @@ contaminated, or no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .workspace import table
 
@@ -52,47 +57,97 @@ def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
         power = np.uint64(int(power) ** 2 % 2**64)
 
 
+class Prints:
+    """Fingerprints of any run of ids of one text, from prefix sums."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        x = ids.astype(np.uint64) + np.uint64(2)
+        x = x * np.uint64(0xD6E8FEB86659FD93) ^ (x << np.uint64(32))
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.append(np.uint64(1), np.full(len(x), BASE)), dtype=np.uint64)
+            self.sums = np.append(np.uint64(0), np.cumsum(x * self.power[:-1], dtype=np.uint64))
+
+    def agree(self, at: np.ndarray, other: Prints, there: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Length of the common run from ``at`` here and from ``there`` in the other text, up to ``most``."""
+        low, high = np.zeros(len(at), np.int64), most.astype(np.int64)
+        power = self.power if len(self.power) >= len(other.power) else other.power
+        while (open_ := low < high).any():
+            middle = np.where(open_, (low + high + 1) // 2, low)
+            a, b = self.sums[at + middle] - self.sums[at], other.sums[there + middle] - other.sums[there]
+            same = a * power[there] == b * power[at]
+            low, high = np.where(same, middle, low), np.where(same, high, np.maximum(middle - 1, low))
+        return low
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (doc start, item start, length), the longest matches first."""
     free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
-    found, size = [], max(least, min(len(item), len(doc)))
+    of_d, of_i = Prints(doc), Prints(item)
+    found, size, left = [], max(least, min(len(item), len(doc))), len(item)
     while True:
-        matches = _matches(doc, item, free_d, free_i, size)
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_d[i : i + n].all() and free_i[j : j + n].all():
-                free_d[i : i + n] = free_i[j : j + n] = False
-                found.append((i, j, n))
-        if size == least:
-            # What an occluded match leaves may still hold matches of this length.
-            if not matches:
-                return found
-        else:
-            size = max(least, size // 2)
-
-
-def _matches(doc, item, free_d, free_i, size) -> list[tuple[int, int, int]]:
-    """Maximal matches of at least ``size`` unmarked tokens."""
-    whole = lambda free: np.convolve(free, np.ones(size, int), "valid") == size if len(free) >= size else free[:0]
-    at_i = np.flatnonzero(whole(free_i))
-    at_d = np.flatnonzero(whole(free_d))
-    of_i, of_d = window_hashes(item, size)[at_i], window_hashes(doc, size)[at_d]
-    hit = np.isin(of_d, of_i)
-    where = defaultdict(list)
-    for h, j in zip(of_i.tolist(), at_i.tolist(), strict=True):
-        where[h].append(j)
-    out, seen = [], set()
-    for h, i in zip(of_d[hit].tolist(), at_d[hit].tolist(), strict=True):
-        for j in where[h]:
-            if (i - 1, j - 1) in seen:  # inside the match that began one token earlier
-                seen.add((i, j))
+        matches = _matches(of_d, of_i, free_d, free_i, size)
+        heapq.heapify(matches)
+        while matches and left:
+            n, i, j = heapq.heappop(matches)
+            n = -n
+            # What was marked before is as long as this or longer, so it covers an end of it or nothing.
+            if free_d[i] and free_d[i + n - 1] and free_i[j] and free_i[j + n - 1]:
+                if (doc[i : i + n] == item[j : j + n]).all():
+                    free_d[i : i + n] = free_i[j : j + n] = False
+                    found.append((i, j, n))
+                    left -= n
                 continue
-            n = 0
-            while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and free_d[i + n] and free_i[j + n]:
-                n += 1
-            if n >= size:
-                out.append((n, i, j))
-                seen.add((i, j))
-    return out
+            for k, m in _free_runs(free_d[i : i + n] & free_i[j : j + n], size):
+                heapq.heappush(matches, (-m, i + k, j + k))
+        if size == least or not left:
+            return found
+        size = max(least, size // 2)
+
+
+def _free_runs(free: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(start, length) of the runs of unmarked tokens of at least ``size``."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    return [(a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= size]
+
+
+def _room(free: np.ndarray) -> np.ndarray:
+    """Unmarked tokens from each place on."""
+    at = np.arange(len(free))
+    blocked = np.where(free, len(free), at)
+    return np.minimum.accumulate(blocked[::-1])[::-1] - at
+
+
+def _matches(doc: Prints, item: Prints, free_d: np.ndarray, free_i: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(-length, doc start, item start) of the maximal matches of at least ``size`` unmarked tokens."""
+    room_d, room_i = _room(free_d), _room(free_i)
+    at_d, at_i = np.flatnonzero(room_d >= size), np.flatnonzero(room_i >= size)
+    of_d, of_i = window_hashes(doc.ids, size)[at_d], window_hashes(item.ids, size)[at_i]
+    # The unmarked token before, or one that equals nothing: where both sides have the same one the match began earlier.
+    before = lambda ids, free, at, none: np.where((at > 0) & free[at - 1], ids[at - 1], none)
+    hit = np.isin(of_d, of_i)
+    at_d, of_d = at_d[hit], of_d[hit]
+    prior_d, prior_i = before(doc.ids, free_d, at_d, -2), before(item.ids, free_i, at_i, -3)
+    # Windows of one fingerprint and one token before them stand together.
+    by = np.lexsort((at_i, prior_i, of_i))
+    at_i, of_i, prior_i = at_i[by], of_i[by], prior_i[by]
+    by = np.lexsort((at_d, prior_d, of_d))
+    at_d, of_d, prior_d = at_d[by], of_d[by], prior_d[by]
+    heads = np.flatnonzero(np.append(True, (of_d[1:] != of_d[:-1]) | (prior_d[1:] != prior_d[:-1]))[: len(of_d)])
+    lo, hi = np.searchsorted(of_i, of_d[heads], "left"), np.searchsorted(of_i, of_d[heads], "right")
+    out_d, out_j = [], []
+    for x, y, p, a, b in zip(heads, np.append(heads[1:], len(of_d)), prior_d[heads], lo, hi, strict=False):
+        other = at_i[a:b][prior_i[a:b] != p]
+        if len(other):
+            here = at_d[x:y]
+            out_d.append(np.repeat(here, len(other)))
+            out_j.append(np.tile(other, len(here)))
+    if not out_d:
+        return []
+    i, j = np.concatenate(out_d), np.concatenate(out_j)
+    n = doc.agree(i, item, j, np.minimum(room_d[i], room_i[j]))
+    keep = n >= size
+    return list(zip((-n[keep]).tolist(), i[keep].tolist(), j[keep].tolist(), strict=True))
 
 
 class Benchmark:
@@ -154,7 +209,7 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]:
     return keys[first].tolist(), np.add.reduceat(values, first).tolist()
 
 
-def _blocks(items: DataFrame, chars: int) -> Iterator[list[tuple[int | None, str | None]]]:
+def _blocks(items: DataFrame, chars: int) -> Iterator[list[tuple[object, str | None]]]:
     """The items in lists of ``chars`` characters, the last item of each included; one empty list if there are none."""
     block, size, none = [], 0, True
     for r in items.toLocalIterator():
@@ -180,9 +235,11 @@ def _groups(batches: Iterator) -> Iterator[list]:
         yield group
 
 
-def _rank(item: int | None, coverage: float) -> tuple[float, int]:
-    """The largest is the best covered item, of equal coverages the smallest id, a null id last."""
-    return coverage, -(item if item is not None else 1 << 63)
+def _better(new: tuple[object, float], old: tuple[object, float] | None) -> bool:
+    """Whether an item and its coverage go before the best so far: of equal coverages the smallest id, a null id last."""
+    if old is None or new[1] != old[1]:
+        return old is None or new[1] > old[1]
+    return new[0] is not None and (old[0] is None or new[0] < old[0])
 
 
 def _judged(sent: list, least: int, share: float, batches: Iterator) -> Iterator[tuple]:
@@ -202,13 +259,13 @@ def _judged(sent: list, least: int, share: float, batches: Iterator) -> Iterator
                 for k, found in enumerate(index.judge(some, share)):
                     n[k] += len(found)
                     for item, covered, _ in found:
-                        if top[k] is None or _rank(item, covered) > _rank(*top[k]):
+                        if _better((item, covered), top[k]):
                             top[k] = (item, covered)
         yield from zip(group, counts, best, strict=True)
 
 
 def _broadcast(benchmark: DataFrame, chars: int) -> list:
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("text"))
+    items = benchmark.select("item_id", "text")
     return [benchmark.sparkSession.sparkContext.broadcast(block) for block in _blocks(items, chars)]
 
 
@@ -223,8 +280,9 @@ def decontaminate(
 ) -> DataFrame:
     """Per document: doc_id, n_items, item_id and coverage of the best covered item, contaminated."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_items long, item_id long, coverage double"
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_items long, item_id {dict(benchmark.dtypes)['item_id']}, coverage double"
     sent = _broadcast(benchmark, block_chars)
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def judge(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -234,7 +292,7 @@ def decontaminate(
                 [
                     batch["doc_id"],
                     pa.array(n),
-                    pa.array([m[0] if m else None for m in top], pa.int64()),
+                    pa.array([m[0] if m else None for m in top], kind),
                     pa.array([m[1] if m else None for m in top], pa.float64()),
                 ],
                 ["doc_id", "n_items", "item_id", "coverage"],

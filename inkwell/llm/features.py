@@ -18,15 +18,17 @@ def words(text: str) -> Column:
     return F.filter(F.split(clean, r"[\s!-/:-@\[-`{-~]+"), lambda x: x != "")
 
 
-def hashed(df: DataFrame, tokens: str, features: str, size: int, binary: bool = False) -> DataFrame:
-    """Adds the hashed token counts, scaled to length 1."""
+def hashed(df: DataFrame, tokens: str, features: str, size: int, binary: bool = False, unit: bool = True) -> DataFrame:
+    """Adds the hashed token counts, or with ``binary`` ones, scaled to length 1 with ``unit``."""
+    if not unit:
+        return HashingTF(inputCol=tokens, outputCol=features, numFeatures=size, binary=binary).transform(df)
     counts = HashingTF(inputCol=tokens, outputCol=f"_{features}", numFeatures=size, binary=binary)
     return Normalizer(inputCol=f"_{features}", outputCol=features).transform(counts.transform(df)).drop(f"_{features}")
 
 
 def fit(train: DataFrame, features: str, label: str, weight: str | None = None, reg: float = 1e-4, iterations: int = 40, standardize: bool = False) -> LogisticRegressionModel:
     model = LogisticRegression(
-        featuresCol=features, labelCol=label, regParam=reg, maxIter=iterations, standardization=standardize,
+        featuresCol=features, labelCol=label, regParam=reg, maxIter=iterations, standardization=standardize, tol=1e-4,
         **({"weightCol": weight} if weight else {}),
     )
     return model.fit(train.coalesce(TASKS))

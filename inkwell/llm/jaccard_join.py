@@ -2,29 +2,36 @@
 
 Documents are sets of runs of five words. Sets that are equal become one representative with a number of
 copies. Every representative gets a MinHash signature; equal signature values stand for shared tokens
-that are sampled with a chance of the Jaccard similarity. The join runs ``runs`` times, each with its own
-path of coordinates: sets are split by the value at the path's first coordinate; a bucket that is still
-large is split again by the next one, and so on. Small buckets are compared by brute force on the
-signatures, with a margin far below the threshold. A pair of similarity 0.8 is missed in all 12 runs with
-a chance of 0.2^12 (4e-9) in small buckets and below 1e-4 where two more splits were needed. Members of
-a large bucket are compared with its first member too, and what is still large after the last split goes
-to one family as it is, so nothing is dropped.
+that are sampled with a chance of the Jaccard similarity. The join is repeated in runs, each with a first
+coordinate of its own: sets are split by the value there. Small buckets are compared by brute force on the
+signatures, with a margin far below the threshold. A larger bucket is split on, into the values at several
+further coordinates that no set on this path was split by before. Of a large bucket one member, drawn by a
+hash of the path, is compared with all others: those within the threshold of it need no further split,
+since by the triangle inequality of the Jaccard distance every set similar to them is within twice that
+distance of the drawn member, and whatever is near enough for that is linked to it. What is still large
+after the last split is linked as it is, so nothing is dropped.
+
+The number of runs follows from ``target``, the share of pairs at the threshold that must meet: see
+:func:`plan`. At 0.8 and 0.99999 two branches and 12 runs are needed; a pair all of whose meetings lie six
+splits deep is missed with a chance of 8e-6, one that meets in buckets that are small at once with 4e-9.
 
 The pairs found link sets to families (connected components). Within a family all pairs are verified
 exactly on the sets of the whole texts, by matrix products; a large family is dealt to tasks by pairs of
 blocks. Only counts and one link to the smallest linked member leave a task, never all pairs.
 
-Result: doc_id, class_id (smallest doc_id reachable over links), n_links (other documents of similarity at
-least 0.8, equal ones included), n_similar_texts (different sets among them).
+Result, one row per row of the table: doc_id, class_id (smallest doc_id reachable over links), n_links (other
+documents of similarity at least 0.8, equal ones included), n_similar_texts (different sets among them).
 
 Words are separated by white space and compared as they are; a text of one to four words is one run of
-all its words. Defined cases: a null or blank text is a class of its own without links; doc_id must not
-be null (such rows are left out); repeated rows of one doc_id and text are one document; empty table:
-empty result; other columns are ignored.
+all its words. Defined cases: a null or blank text is a class of its own without links; different texts
+under one doc_id count as documents each, repeated rows of one doc_id and set as one; rows with a null
+doc_id are documents each, and a class of such rows alone has a null class_id; empty table: empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +42,10 @@ from .components import components
 from .grouping import map_groups
 from .workspace import Workspace, table
 
-N, COORDINATES, RUNS = 5, 128, 12
+N, COORDINATES, TARGET = 5, 128, 0.99999
 SMALL, SPLITS, MARGIN = 128, 6, 0.2
+#: A pair survives one split with at least this chance.
+SURVIVE = 0.95
 BLOCK_DOCS, BLOCK_SHINGLES = 750, 2_000_000
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 _draw = np.random.default_rng(20_240_501)
@@ -44,6 +53,26 @@ FACTORS = _draw.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2)
 SHIFTS = _draw.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 
 
+#: The order in which coordinates are taken: the first ones by the runs, the others by the splits.
+ORDER = _draw.permutation(COORDINATES).tolist()
+
+
+def plan(percent: int, target: float = TARGET, splits: int = SPLITS) -> tuple[int, int]:
+    """(runs, branches) such that a pair at the threshold meets with a chance of ``target`` at the least.
+
+    A pair of similarity j agrees at a run's first coordinate with chance j and survives a split into b
+    branches with 1 - (1 - j)^b; b is the smallest number that makes this ``SURVIVE`` or more. A run that
+    needs all splits then succeeds with j times that to the power of ``splits``, and runs are independent.
+    """
+    j = min(percent / 100, 1 - 1e-9)
+    branches = math.ceil(math.log(1 - SURVIVE) / math.log(1 - j))
+    deep = j * (1 - (1 - j) ** branches) ** splits
+    runs = math.ceil(math.log(1 - target) / math.log(1 - deep))
+    if runs + branches * splits > COORDINATES:
+        raise ValueError(f"{percent} per cent and a recall of {target} need more than {COORDINATES} coordinates")
+    return runs, branches
+
+
 class Shingler:
     """Sets of word runs as sorted arrays of 64-bit hashes; the same hashes in every task."""
 
@@ -84,7 +113,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, h1, h2 (identity of the set), sig (128 values of 32 bits as int)."""
+    """doc_id, version, size, h1, h2 (identity of the set), sig (128 values of 32 bits as int)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -102,11 +131,11 @@ def sketches(df: DataFrame, n: int) -> DataFrame:
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(np.arange(len(sigs) + 1, dtype=np.int32) * COORDINATES, flat)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), lists],
-                ["doc_id", "size", "h1", "h2", "sig"],
+                [batch["doc_id"], batch["version"], pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), lists],
+                ["doc_id", "version", "size", "h1", "h2", "sig"],
             )
 
-    return df.mapInArrow(run, "doc_id long, size long, h1 long, h2 long, sig array<int>")
+    return df.mapInArrow(run, "doc_id long, version long, size long, h1 long, h2 long, sig array<int>")
 
 
 def _near(sig: np.ndarray, least: float) -> np.ndarray:
@@ -130,14 +159,18 @@ def _roots(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def candidate_links(reps: DataFrame, space: Workspace, least: float, small: int = SMALL, splits: int = SPLITS, runs: int = RUNS) -> DataFrame:
-    """Links (a, b) that join all representatives that may be similar; ``reps``: doc_id, sig."""
+def candidate_links(reps: DataFrame, space: Workspace, percent: int, small: int = SMALL, splits: int = SPLITS, target: float = TARGET) -> DataFrame:
+    """Links (a, b) that join all representatives that may be similar; ``reps``: id, sig."""
     schema = "a long, b long"
+    runs, branches = plan(percent, target, splits)
+    least = percent / 100 - MARGIN
+    # Twice the distance at the threshold, with half the margin.
+    around = 1 - 2 * (1 - percent / 100) - MARGIN / 2
 
     def bucket(t, bounds):
         import pyarrow as pa
 
-        ids = t["doc_id"].to_numpy()
+        ids = t["id"].to_numpy()
         sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
         a, b = [], []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
@@ -149,31 +182,40 @@ def candidate_links(reps: DataFrame, space: Workspace, least: float, small: int
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     links = []
-    step = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(runs - 1)),
-            lambda r: F.xxhash64(r, F.get("sig", F.pmod(F.xxhash64(F.lit("path"), r), F.lit(COORDINATES)).cast("int"))),
-        )
-    )
-    paths = reps.select("doc_id", step.alias("path"))
+    first = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.get("sig", F.lit(ORDER[r]))).alias("path")) for r in range(runs)])
+    paths = reps.select("id", F.explode(first).alias("p")).select("id", "p.*")
+    later = F.array(*map(F.lit, ORDER[runs:]))
     for level in range(splits):
-        sizes = paths.groupBy("path").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+        # Written, so that the join below has plain exchanges on both sides and a hot path can be split.
+        sizes = space.save(
+            paths.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("path", "id"), "id")).alias("m"))
+            .filter("n > 1").select("path", "n", F.col("m.id").alias("head")),
+            f"sizes-{level}",
+        )
         shared = space.save(paths.join(sizes, "path"), f"paths-{level}")
-        few = shared.filter(F.col("n") <= small).join(reps, "doc_id").select("path", "doc_id", "sig")
+        few = shared.filter(F.col("n") <= small).join(reps, "id").select("path", "id", "sig")
         links.append(space.save(map_groups(few, ["path"], bucket, schema).distinct(), f"links-{level}"))
         many = shared.filter(F.col("n") > small)
         if not many.take(1):
             return _union(links)
-        with_sig = many.join(reps, "doc_id")
-        first = reps.select(F.col("doc_id").alias("first"), F.col("sig").alias("first_sig"))
-        heads = many.select("path", "first").distinct().join(first, "first")
-        same = F.aggregate(F.zip_with("sig", "first_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-        alike = with_sig.drop("first").join(heads, "path").filter(same >= least * COORDINATES).filter("doc_id <> first")
-        links.append(space.save(alike.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), f"heads-{level}"))
-        at = F.pmod(F.xxhash64(F.lit("split"), F.lit(level), F.col("path")), F.lit(COORDINATES)).cast("int")
-        paths = with_sig.select("doc_id", F.xxhash64("path", at, F.get("sig", at)).alias("path"))
-    sizes = paths.groupBy("path").agg(F.min("doc_id").alias("first"))
-    links.append(paths.join(sizes, "path").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+        heads = sizes.filter(F.col("n") > small).join(
+            reps.select(F.col("id").alias("head"), F.col("sig").alias("head_sig")), "head"
+        ).select("path", "head_sig")
+        same = F.aggregate(F.zip_with("sig", "head_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+        split = []
+        for k in range(branches):  # no coordinate twice on a path
+            at = F.get(later, (F.col("run") * 7 + level * branches + k) % (COORDINATES - runs))
+            split.append(F.xxhash64("path", at, F.get("sig", at)))
+        met = space.save(
+            many.join(reps, "id").join(heads, "path")
+            .select("id", "run", "head", same.alias("same"), F.array(*split).alias("next")),
+            f"met-{level}",
+        )
+        near = met.filter((F.col("same") >= around * COORDINATES) & (F.col("id") != F.col("head")))
+        links.append(space.save(near.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), f"heads-{level}"))
+        paths = met.filter(F.col("same") * 100 < percent * COORDINATES).select("id", "run", F.explode("next").alias("path"))
+    sizes = space.save(paths.groupBy("path").agg(F.min("id").alias("head")), "left")
+    links.append(paths.join(sizes, "path").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
     return _union(links)
 
 
@@ -207,18 +249,18 @@ def similar_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return both * 100 >= percent * (size[:, None] + size[None, :] - both)
 
 
-def verified(df: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per representative and block pair: doc_id, root (smallest linked), n_similar, n_links.
+def verified(texts: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per representative and block pair: id, root (smallest linked), n_similar, n_links.
 
-    ``members``: doc_id, family, docs and shingles of the family, copies of the representative.
+    ``texts``: id, text; ``members``: id, family, docs and shingles of the family, copies of the representative.
     """
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = (
         members.withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "doc_id", "copies", "own", "family",
+            "id", "copies", "own", "family",
             F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         )
     )
@@ -227,7 +269,7 @@ def verified(df: DataFrame, members: DataFrame, n: int, percent: int) -> DataFra
         import pyarrow as pa
 
         shingle = Shingler(n)
-        ids, own, copies, i, j = (t[c].to_numpy() for c in ("doc_id", "own", "copies", "i", "j"))
+        ids, own, copies, i, j = (t[c].to_numpy() for c in ("id", "own", "copies", "i", "j"))
         text, out = t["text"], []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             at = lo + np.argsort(ids[lo:hi])
@@ -237,51 +279,60 @@ def verified(df: DataFrame, members: DataFrame, n: int, percent: int) -> DataFra
                 links &= own[at][:, None] != own[at][None, :]
             out.append((ids[at], ids[at][_roots(links)], links.sum(1), links @ copies[at]))
         columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "root", "n_similar", "n_links"])
+        return pa.RecordBatch.from_arrays(columns, ["id", "root", "n_similar", "n_links"])
 
-    texts = df.join(dealt, "doc_id").select("family", "i", "j", "doc_id", "own", "copies", "text")
-    return map_groups(texts, ["family", "i", "j"], verify, "doc_id long, root long, n_similar long, n_links long")
+    met = texts.join(dealt, "id").select("family", "i", "j", "id", "own", "copies", "text")
+    return map_groups(met, ["family", "i", "j"], verify, "id long, root long, n_similar long, n_links long")
 
 
-def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = 80) -> DataFrame:
-    """doc_id, class_id, n_links, n_similar_texts for every document."""
+def classified(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = 80, target: float = TARGET) -> DataFrame:
+    """Per row: doc_id, version (hash of the text), root (the class as a number, null for blank texts), class_id, n_links, n_similar_texts."""
     space = Workspace(df.sparkSession, "jaccard-join")
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     sketch = space.save(sketches(rows, n), "sketches")
-    same = [F.col(c) for c in ("h1", "h2", "size")]
-    sets = sketch.filter("size > 0").select("doc_id", *same).distinct()
-    reps = sets.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = space.save(reps, "reps")
-    signed = (
-        sketch.select("doc_id", "h1", "h2", "size", "sig")
-        .join(reps.select(F.col("rep").alias("doc_id"), *same), ["doc_id", "h1", "h2", "size"])
-        .dropDuplicates(["doc_id"]).select("doc_id", "sig")
+    same = ["h1", "h2", "size"]
+    full = sketch.filter("size > 0")
+    # A document counts once for each of its sets; without an id each row is one.
+    counted = full.filter("doc_id IS NOT NULL").select("doc_id", "version", *same).dropDuplicates(["doc_id", *same])
+    counted = counted.unionByName(full.filter("doc_id IS NULL").select("doc_id", "version", *same))
+    shown = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("shown")
+    reps = counted.groupBy(*same).agg(shown, F.count("*").alias("copies"))
+    reps = space.save(reps.select(F.monotonically_increasing_id().alias("id"), *same, "copies", "shown.doc_id", "shown.version"), "reps")
+    keys = reps.select("id", *same, F.col("doc_id").alias("_doc"), F.col("version").alias("_version"))
+    is_shown = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version"))
+    signed = full.select("doc_id", "version", *[F.col(c).alias(f"_{c}") for c in same], "sig").join(
+        keys, is_shown & F.expr(" AND ".join(f"{c} = _{c}" for c in same))
     )
-    signed = space.save(signed, "signed")
-    links = candidate_links(signed, space, percent / 100 - MARGIN)
-    family = components(links, space, "families")
-    members = family.join(reps.select(F.col("rep").alias("id"), "size", "copies"), "id").select(
-        F.col("id").alias("doc_id"), F.col("root").alias("family"), "size", "copies"
-    )
-    totals = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
+    signed = space.save(signed.dropDuplicates(["id"]).select("id", "sig"), "signed")
+    links = candidate_links(signed, space, percent, target=target)
+    family = components(links, space, "families").withColumnRenamed("root", "family")
+    members = family.join(reps.select("id", "size", "copies", "doc_id", "version"), "id")
+    totals = space.save(members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles")), "totals")
     members = space.save(members.join(totals, "family"), "members")
-    found = space.save(verified(rows, members, n, percent), "verified")
-    counts = found.groupBy("doc_id").agg(F.sum("n_similar").alias("n_similar"), F.sum("n_links").alias("n_links"))
-    classes = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), space, "classes")
-    of_rep = (
-        reps.join(counts.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-        .select(
-            *same,
-            F.coalesce("root", "rep").alias("class_id"),
-            (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("n_similar", F.lit(0)).alias("n_similar_texts"),
-        )
+    wanted = members.select("id", F.col("doc_id").alias("_doc"), F.col("version").alias("_version"))
+    texts = space.save(rows.join(wanted, is_shown).select("id", "text"), "texts")  # repeated rows give one each
+    found = space.save(verified(texts.dropDuplicates(["id"]), members, n, percent), "verified")
+    counts = found.groupBy("id").agg(F.sum("n_similar").alias("n_similar"), F.sum("n_links").alias("n_links"))
+    classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), space, "classes")
+    of_rep = reps.join(counts, "id", "left").join(classes, "id", "left").select(
+        *same, "doc_id", F.coalesce("root", "id").alias("root"),
+        (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("n_similar", F.lit(0)).alias("n_similar_texts"),
     )
-    alone = sketch.filter("size = 0").select("doc_id").distinct().select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_similar_texts")
+    of_rep = space.save(of_rep, "of-rep")
+    smallest = space.save(of_rep.groupBy("root").agg(F.min("doc_id").alias("class_id")), "smallest")
+    of_rep = of_rep.drop("doc_id").join(smallest, "root")
+    out = ["doc_id", "version", "root", "class_id", "n_links", "n_similar_texts"]
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    alone = sketch.filter("size = 0").select(
+        "doc_id", "version", none.alias("root"), F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_similar_texts")
     )
-    return sets.join(of_rep, ["h1", "h2", "size"]).select("doc_id", "class_id", "n_links", "n_similar_texts").unionByName(alone)
+    return full.select("doc_id", "version", *same).join(of_rep, same).select(*out).unionByName(alone)
+
+
+def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = 80, target: float = TARGET) -> DataFrame:
+    """doc_id, class_id, n_links, n_similar_texts for every row."""
+    return classified(df, doc_id, text, n, percent, target).drop("version", "root")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,10 +340,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each class.
+    """Pipeline stage: of each class the document with the smallest doc_id, null ids last.
 
-    Of repeated rows of one doc_id and text one stays. Rows with a null doc_id belong to no class and go;
-    doc_id is a key, so different texts under one doc_id stay or go together.
+    Of repeated rows of one doc_id and text one stays; different texts under one doc_id are documents each;
+    blank texts are classes of their own and stay; an empty table gives no rows.
     """
-    first = jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    found = classified(docs)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("m")
+    first = found.filter("root IS NOT NULL").groupBy("root").agg(best).select("m.doc_id", "m.version")
+    first = first.unionByName(found.filter("root IS NULL").select("doc_id", "version").distinct())
+    first = first.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"))
+    marked = docs.withColumn("_version_of", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_version_of") == F.col("_version"))
+    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", "_version_of"]).select(*docs.columns)

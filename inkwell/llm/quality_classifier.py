@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .expressions import let
 from .features import bounded, fit, hashed, score
-from .quality_rules import text_counts
+from .quality_rules import SPACE, repeat_words
 from .workspace import Workspace, table
 
 SIZE = 1 << 15
@@ -38,17 +38,28 @@ LABELLERS = ("length", "symbols", "repeats", "capitals", "function_words", "excl
 def votes(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``pattern``: one character per labeller, 1 good, 0 bad, - no vote."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    split = F.split(whole, r"[\x20\x09-\x0D]+")
-    counted = text_counts(df, text).withColumns(
+    words = F.filter(F.split(whole, SPACE, -1), lambda w: w != "")
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).alias("n_words"),
+            repeat_words(w).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(FUNCTION_WORDS))).alias("_function"),
+            F.size(F.filter(w, lambda x: x == "|")).alias("_bars"),
+            F.size(F.array_distinct(w)).alias("_distinct"),
+            F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).alias("_runs"),
+        )
+
+    without = lambda signs: F.length(whole) - F.length(F.translate(whole, signs, ""))
+    counted = df.withColumns(
         {
+            "_of_words": let(words, of_words),
+            "word_chars": F.length(F.translate(whole, " \t\n\x0b\f\r", "")),
+            "n_symbols": without("#*$%&|<>"),
             "_upper": F.length(whole) - F.length(F.regexp_replace(whole, r"\p{Lu}", "")),
-            "_function": F.size(F.filter(split, lambda w: F.lower(w).isin(FUNCTION_WORDS))),
-            "_exclaims": F.length(whole) - F.length(F.translate(whole, "!", "")),
-            "_bars": F.size(F.filter(split, lambda w: w == "|")),
-            "_distinct": F.size(F.array_distinct(split)),
-            "_runs": let(split, lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))),
+            "_exclaims": without("!"),
         }
-    )
+    ).select("*", "_of_words.*")
     n = F.col("n_words")
 
     def vote(bad: Column, good: Column) -> Column:

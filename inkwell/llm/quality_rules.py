@@ -41,7 +41,7 @@ RATES = {
 }
 
 
-def _repeat_words(words: Column) -> Column:
+def repeat_words(words: Column) -> Column:
     """Words inside windows of eight words that occur twice or more, the first occurrence included."""
 
     def of_hashes(h: Column) -> Column:
@@ -82,7 +82,7 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
     words = F.filter(F.split(whole, SPACE, -1), lambda x: x != "")
-    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r")))
+    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r")))
     bare = F.length(F.translate(whole, " \t\n\x0b\f\r", ""))
     got = df.withColumns(
         {

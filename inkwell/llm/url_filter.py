@@ -3,9 +3,11 @@
 Host and path are cut from the URL as text. Where a rule (host, path) fits - the host is the rule's or a
 subdomain of it, and the path starts with the rule's - the longest fitting rule decides; elsewhere a
 linear model on the character 3- and 4-grams of host and path decides. The model is trained on a small
-labelled table; rules and labels are configuration, at most ``MAX_RULES`` and ``MAX_LABELLED`` rows.
+labelled table (url, label), at most ``MAX_LABELLED`` rows, both labels with equal weight in all; rules are configuration, at most ``MAX_RULES``.
+:func:`labelled_urls` makes the table that the query uses from two lists of host words; no host that the
+query judges is among them.
 
-Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged by
+Defined cases: null URLs and labels in the labelled table are left out; a null URL, or one without ``://``, has empty host and path, fits no rule and is judged by
 the model; repeated URLs are judged alike and stay; equally long rules: the one that sorts last; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -30,25 +32,30 @@ RULES = (
 )
 #: The host words of the small labelled table.
 UNWANTED = (
-    "spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets", "ads-track", "win-casino", "pills-shop",
-    "bets-free", "x-adult", "track-ads", "farm-spam", "casino-bonus", "cheap-loans", "adult-cams", "spam-links",
+    "grand-casino", "casinoslots", "slot-winners", "poker-winnings", "lottery-wins", "online-pills", "pillshop24",
+    "cheapmeds", "cheap-watches", "discount-viagra", "adultchat", "adult-dating", "xxx-videos", "xcams", "sportsbets",
+    "bets-now", "freebets-club", "free-money", "free-prizes", "linkspam", "spammers", "spam-links", "link-farm",
+    "content-farm", "adserver", "ads-network", "popup-ads", "clicktrack", "track-pixel", "payday-loans",
 )
 WANTED = (
     "library", "museum", "weather", "garden", "history", "science", "kitchen", "teacher", "village", "journal",
-    "archive", "theatre", "mountain", "railway", "painting", "orchestra", "another", "nothing", "mother",
-    "northern", "theory", "method", "thread", "station", "nation", "reader", "writer", "therapy", "together", "letters",
+    "archive", "theatre", "mountain", "railway", "painting", "orchestra", "harbour", "bakery", "cycling", "chemistry",
+    "geology", "furniture", "football", "language", "poetry", "parliament", "hospital", "university", "recipes", "astronomy",
+    "wildlife", "carpentry", "translation", "dictionary", "printing", "lighthouse", "festival", "ceramics", "economics", "philosophy",
+    "grammar", "nursery", "bicycle", "concert", "medicine", "fisheries", "insurance", "textiles", "climbing", "gallery",
+    "observatory", "folklore", "heritage", "beekeeping", "charity", "fashion", "engineering", "community", "newspaper", "research",
 )
 
 
-def labelled_urls() -> list[tuple[str, float]]:
-    """The labelled table: each host word under a few prefixes, domains and paths; label 1 is unwanted."""
-    out = []
-    for label, stems in ((1.0, UNWANTED), (0.0, WANTED)):
-        for k, stem in enumerate(stems):
-            for j, (front, domain) in enumerate((("", "com"), ("www.", "org"), ("m.", "net"), ("blog.", "com"))):
-                lang, tail = ("en", "fr", "de", "es")[(j + k) % 4], ("", ".html", "/", "?page=2")[(j + k // 4) % 4]
-                out.append((f"https://{front}{stem}.example.{domain}/{lang}/{37 * k + 11 * j}{tail}", label))
-    return out
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The labelled table (url, label): each host word under a few prefixes, domains and paths; label 1 is unwanted."""
+    words = spark.createDataFrame([(w, 1.0) for w in UNWANTED] + [(w, 0.0) for w in WANTED], "word string, label double")
+    return words.selectExpr("word", "label", "explode(sequence(0, 3)) AS j", "pmod(crc32(word), 9000) AS k").selectExpr(
+        """concat('https://', element_at(array('', 'www.', 'm.', 'blog.'), j + 1), word, '.example.',
+            element_at(array('com', 'org', 'net', 'com'), j + 1), '/', element_at(array('en', 'fr', 'de', 'es'), int(pmod(j + k, 4)) + 1), '/',
+            k + 11 * j, element_at(array('', '.html', '/', '?page=2'), int(pmod(j + k DIV 4, 4)) + 1)) AS url""",
+        "label",
+    )
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -112,14 +119,17 @@ def url_filter(
     key: str = "page_id",
     url: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    labelled: Sequence[tuple[str, float]] | None = None,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
     """Judge every URL: key, host, path, rule, score (probability of unwanted), verdict."""
-    labelled = labelled_urls() if labelled is None else list(labelled)
-    if not 0 < len(labelled) <= MAX_LABELLED:
+    labelled = labelled_urls(df.sparkSession) if labelled is None else labelled
+    train = labelled.select("url", F.col("label").cast("double").alias("label")).dropna()
+    if not 0 < train.limit(MAX_LABELLED + 1).count() <= MAX_LABELLED:
         raise ValueError(f"1 to {MAX_LABELLED} labelled URLs")
-    train = df.sparkSession.createDataFrame(list(labelled), "url string, label double").coalesce(1)
-    model = fit(with_features(train, "url"), "_features", "label", reg=1e-3, iterations=60)
+    kinds = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}  # two labels
+    balance = F.create_map(*[F.lit(x) for k, n in kinds.items() for x in (k, sum(kinds.values()) / (len(kinds) * n))])
+    known = with_features(train.coalesce(1), "url").withColumn("_weight", balance[F.col("label")])
+    model = fit(known, "_features", "label", weight="_weight", reg=1e-5, iterations=60)
     rows = with_features(df.select(F.col(key).alias("page_id"), F.col(url).alias("url")), "url")
     found = score(model, rows, "_features", "score").withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
     by_model = F.when(F.col("score") >= 0.5, "block").otherwise("allow")

@@ -1,5 +1,7 @@
 """Greedy string tiling against a plain search for the longest matches."""
 
+import time
+
 import numpy as np
 
 from inkwell.llm import decontaminate as D
@@ -39,7 +41,27 @@ def test_tiles_match_a_plain_search():
             for t in got:
                 used[t[side] : t[side] + t[2]] += 1
             assert used.max(initial=0) <= 1
-        assert abs(sum(t[2] for t in got) - _plain(doc.tolist(), item.tolist(), 3)) <= 3
+        assert sum(t[2] for t in got) == _plain(doc.tolist(), item.tolist(), 3)
+
+
+def test_tiles_of_repetitive_texts():
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 3):
+        for _ in range(40):
+            doc, item = rng.integers(0, size, int(rng.integers(0, 40))), rng.integers(0, size, int(rng.integers(1, 25)))
+            assert sum(t[2] for t in tiles(doc, item, 2)) == _plain(doc.tolist(), item.tolist(), 2)
+    took = []
+    for k in (1, 8):
+        start = time.perf_counter()
+        assert tiles(np.zeros(20_000 * k, np.int64), np.zeros(2000 * k, np.int64), 5) == [(0, 0, 2000 * k)]
+        took.append(time.perf_counter() - start)
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_item_ids_of_any_type(spark):
+    bench = spark.createDataFrame([("q2", ITEM), ("q1", ITEM), (None, ITEM)], "item_id string, text string")
+    got = decontaminate(spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), bench).first()
+    assert (got.n_items, got.item_id, got.contaminated) == (3, "q1", True)
 
 
 def test_leaks(spark):

@@ -1,11 +1,17 @@
 """Nulls, empty tables, repeated rows, ties and clashing column names."""
 
 import hashlib
+import os
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import chat_format as c
 from inkwell.llm.quality_classifier import expectation_maximisation
 from inkwell.llm.quality_rules import quality_rules
-from inkwell.llm.url_filter import url_filter
+from inkwell.llm.url_filter import labelled_urls, url_filter, url_parts
 
 
 def test_chat_round_trip(spark):
@@ -46,6 +52,73 @@ def test_url_rules(spark):
     assert url_filter(df.filter("false")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """The six unwanted hosts of the table, none of which is in the labelled table, against all others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    stem = F.regexp_extract("host", r"^(?:(?:www|m|blog)\.)?([^.]+)\.", 1)
+    known = labelled_urls(spark).select(url_parts(F.col("url"))[0].alias("host")).select(stem.alias("stem")).distinct()
+    judged = url_filter(pages).select(stem.alias("stem"), "host", (F.col("score") >= 0.5).alias("bad")).cache()
+    assert judged.join(known, "stem", "left_semi").count() == 0
+    unwanted = F.col("stem").isin("spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets", "ads-track")
+    share = {r.unwanted: r.share for r in judged.groupBy(unwanted.alias("unwanted")).agg(F.avg(F.col("bad").cast("int")).alias("share")).collect()}
+    assert share[True] > 0.95 and share[False] < 0.02
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_url_parts_and_rules_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    want = con.execute(URL_SQL).fetchall()
+    got = url_filter(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in got) == sorted(want, key=lambda r: r[0])
+
+
+#: Host, path, rule and the rule's verdict.
+URL_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+r(verdict, h, t) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/'))
+SELECT page_id, host, path, arg_max(h || t, length(h || t)) AS rule, arg_max(verdict, length(h || t)) AS verdict
+FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t) GROUP BY page_id, host, path
+"""
+
+
 def test_estimation_finds_the_good_side():
     post, right, share = expectation_maximisation(["111", "100", "001", "11-"], [80, 10, 2, 8])
     assert post[0] > 0.9 and post[1] < 0.1 and right.shape == (3, 2) and 0.5 < share < 1
+
+
+def test_estimation_equals_a_plain_version():
+    """One document at a time, straight from the formulas."""
+    rng = np.random.default_rng(2)
+    patterns = ["".join(rng.choice(list("01-"), 4)) for _ in range(40)]
+    patterns = sorted(set(patterns))
+    counts = rng.integers(1, 30, len(patterns)).tolist()
+    start = []
+    for p in patterns:
+        cast = [c for c in p if c != "-"]
+        good = cast.count("1") / len(cast) if cast else 0.5
+        start.append(min(good, 0.3) if "0" in p else good)
+    docs = [(p, q) for p, n, q in zip(patterns, counts, start, strict=True) for _ in range(n)]
+    for _ in range(5):
+        share = (sum(q for _, q in docs) + 1) / (len(docs) + 2)
+        right = {}
+        for j in range(4):
+            for k in "01":
+                weight = [q if k == "1" else 1 - q for _, q in docs]
+                hits = sum(w for (p, _), w in zip(docs, weight, strict=True) if p[j] == k)
+                right[j, k] = (hits + 1) / (sum(w for (p, _), w in zip(docs, weight, strict=True) if p[j] != "-") + 2)
+        new = []
+        for p, _ in docs:
+            good, bad = share, 1 - share
+            for j, c in enumerate(p):
+                if c != "-":
+                    good *= right[j, "1"] if c == "1" else 1 - right[j, "1"]
+                    bad *= right[j, "0"] if c == "0" else 1 - right[j, "0"]
+            new.append((p, good / (good + bad)))
+        docs = new
+    post, accuracy, estimate = expectation_maximisation(patterns, counts, steps=5)
+    assert np.allclose([dict(docs)[p] for p in patterns], post) and abs(share - estimate) < 1e-9
+    assert np.allclose(accuracy, [[right[j, "0"], right[j, "1"]] for j in range(4)])

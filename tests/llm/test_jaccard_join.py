@@ -51,8 +51,46 @@ def test_join_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, size int")
     want = _brute(docs)
     for small, block in ((128, 750), (8, 20)):
-        monkeypatch.setattr(j.candidate_links, "__defaults__", (small, 4, 12))
+        monkeypatch.setattr(j.candidate_links, "__defaults__", (small, 6, j.TARGET))
         monkeypatch.setattr(j, "BLOCK_DOCS", block)
         got = {r.doc_id: (r.class_id, r.n_links, r.n_similar_texts) for r in j.jaccard_join(df).collect()}
         assert got == want
     assert j.jaccard_join(df.filter("false")).count() == 0
+
+
+def test_plan_meets_the_target():
+    assert j.plan(80) == (12, 2)
+    for percent in (50, 60, 80, 95, 100):
+        runs, branches = j.plan(percent)
+        p = percent / 100
+        deep = p * (1 - (1 - p) ** branches) ** j.SPLITS
+        assert (1 - deep) ** runs <= 1 - j.TARGET
+    assert sorted(j.ORDER) == list(range(j.COORDINATES))
+
+
+def test_recall_where_every_bucket_is_large(spark, monkeypatch):
+    """Texts that share a passage of half their length, in similar pairs, with buckets of four."""
+    rng = np.random.default_rng(3)
+    word = lambda k: [f"v{x}" for x in rng.integers(0, 90_000, k)]
+    passage, docs = word(60), []
+    for g in range(150):
+        base = passage + word(60)
+        for c in range(2):
+            w = list(base)
+            w[70 + 3 * c] = f"x{g}"
+            docs.append((2 * g + c, " ".join(w)))
+    monkeypatch.setattr(j.candidate_links, "__defaults__", (4, 6, j.TARGET))
+    got = {r.doc_id: r.class_id for r in j.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {i: w[0] for i, w in _brute(docs).items()}
+    assert sum(got[i] == want[i] for i in want) >= j.TARGET * len(want) and len(set(want.values())) == 150
+
+
+def test_null_ids_repeated_rows_and_several_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    near = a.replace("a59", "x")
+    rows = [(3, a), (3, a), (3, b), (5, near), (None, a), (None, b), (None, b), (None, None), (4, ""), (4, "")]
+    got = sorted([tuple(r) for r in j.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=str)
+    assert got == sorted([
+        (3, 3, 2, 1), (3, 3, 2, 1), (3, 3, 2, 0), (5, 3, 2, 1), (None, 3, 2, 1), (None, 3, 2, 0), (None, 3, 2, 0),
+        (None, None, 0, 0), (4, 4, 0, 0), (4, 4, 0, 0),
+    ], key=str)

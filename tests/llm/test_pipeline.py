@@ -30,7 +30,7 @@ def _kept(df):
 def test_near_duplicates_stage_keeps_one_row_of_a_group(spark, folder):
     same, near = _words("a"), _words("a", 58)
     docs = _docs(spark, [(3, same), (3, same), (5, same), (7, near), (8, _words("b")), (None, _words("c"))])
-    assert _kept(P.jaccard_join(spark, docs, folder)) == [(3, same), (8, _words("b"))]
+    assert _kept(P.jaccard_join(spark, docs, folder)) == sorted([(3, same), (8, _words("b")), (None, _words("c"))], key=str)
 
 
 def test_decontamination_judges_each_row_by_its_own_text(spark, folder):
