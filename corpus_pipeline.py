@@ -9,7 +9,7 @@ from inkwell.llm.jaccard_join import near_duplicates_stage
 from inkwell.llm.packing import packing_stage
 from inkwell.llm.quality_rules import verdict_stage
 from inkwell.llm.substring_dedup import substring_stage
-from inkwell.llm.workspace import Workspace
+from inkwell.llm.workspace import Workspace, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("packing", packing),
 ]
-#: Tokenising and tiling have no SQL form; tests/test_pipeline.py holds stages against plain results on small tables.
+#: Tokenising and tiling have no SQL form; the tests hold the stages and run() against plain versions on small tables.
 ORACLE_SQL = None
 
 
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "corpus-pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = space.save(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = space.save(stage(spark, docs, sf_dir), name)
     return docs
