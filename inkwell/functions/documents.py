@@ -9,6 +9,9 @@ from ..schemas import PLATFORM_LABEL, THEME_LABEL
 from .text import escape_html, html_theme, joined, lookup, missing, unescape_html
 
 
+# The markup of a page below is a fixed format: existing pages have it and extract() reads it.
+
+
 def render(df: DataFrame, site: str) -> DataFrame:
     """slug, html: a record as a draft page. A record without known theme has a null page."""
     e = lambda c: escape_html(F.coalesce(F.col(c), F.lit("")))
@@ -37,6 +40,20 @@ def render(df: DataFrame, site: str) -> DataFrame:
     return df.select("slug", F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("html"))
 
 
+def page_title(html: Column) -> Column:
+    return F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+
+
+def page_lang(html: Column) -> Column:
+    """Language code of a page, null without one."""
+    return F.nullif(F.regexp_extract(html, '<html lang="([a-z]+)"', 1), F.lit(""))
+
+
+def page_links(html: Column) -> Column:
+    """Link targets of a page in order."""
+    return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
+
+
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
     """Adds the fields of an article page; a field that is not there is null."""
     h = F.col(html)

@@ -72,27 +72,45 @@ def unresolved_links(articles: DataFrame) -> DataFrame:
     return links.join(articles.select(F.col("slug").alias("related_slug")).distinct(), "related_slug", "left_anti")
 
 
-def text_of(rows: DataFrame, line: Column, head: str = "", order: str = "pos") -> DataFrame:
-    """One row ``text``: the lines in order below a head."""
+def text_of(rows: DataFrame, line: Column, head: str = "", order: str = "pos", keys: tuple[str, ...] = (), sep: str = "\n") -> DataFrame:
+    """keys, text: the lines in order below a head, one text per key. For texts of bounded length, such as a message."""
     lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"])
-    return rows.agg(F.concat(F.lit(head), F.array_join(lines, "\n", "")).alias("text"))
+    return rows.groupBy(*keys).agg(F.concat(F.lit(head), F.array_join(lines, sep, "")).alias("text"))
 
 
-def url_list_text(catalog: DataFrame, head: str) -> DataFrame:
-    """The URL list of a catalog in its order; rows without URL are left out, repeated URLs stay."""
-    return text_of(catalog.filter(~missing(F.col("sourceUrl"))), F.concat(F.lit("- "), F.col("sourceUrl")), head)
+def url_lines(catalog: DataFrame, url: str = "sourceUrl") -> DataFrame:
+    """Adds ``line``, the entry in a URL list; rows without URL are left out, repeated URLs stay."""
+    return catalog.filter(~missing(F.col(url))).withColumn("line", F.concat(F.lit("- "), F.col(url)))
+
+
+def numbered(rows: DataFrame, order: str, keys: tuple[str, ...] = (), name: str = "number", width: int = 1 << 16) -> DataFrame:
+    """Adds the number of each row, from 1, within its keys in the order of a whole number that is unique there.
+
+    Rows are numbered within ranges of ``width`` values of ``order`` and moved up by the rows of the ranges
+    before, which are counted first; so a key that holds most of the rows is spread over many tasks, and only
+    the counts of its ranges meet in one.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
+    before = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    same = F.col("_range").eqNullSafe(F.col("_of"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    out = ranged.withColumn("_within", within).join(counts, same)
+    return out.withColumn(name, (F.col("_within") + F.col("_before")).cast("long")).select(*rows.columns, name)
 
 
 def notification(rows: DataFrame, head: str = "") -> DataFrame:
     """Numbered message on drafts: title, labels and link of each."""
-    number = F.row_number().over(Window.partitionBy().orderBy("pos"))
     said = lambda c: F.coalesce(F.col(c), F.lit(""))
     line = F.concat(
         F.col("number").cast("string"), F.lit(". *"), said("title"), F.lit("*\n   "), F.coalesce(F.array_join("platforms", "/", ""), F.lit("")),
         F.lit(" / "), said("viewpoint"), F.lit(" / "), said("theme"), F.lit(" / "), said("source"), F.lit(" / "), said("date"),
         F.lit("\n   下書き: "), said("draft_url"),
     )
-    return text_of(rows.withColumn("number", number), line, head)
+    return text_of(numbered(rows, "pos"), line, head)
 
 
 def newest(files: DataFrame, n: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_present, lookup, strip, truncate
 from ..functions.times import reset_time, seconds
-from ..schemas import FAILURE_MARK, TOOL_LABEL
+from ..schemas import EOF_MARK, FAILURE_MARK, TOOL_LABEL
 from ..sources.readers import events
 
 
@@ -34,10 +34,23 @@ def summary_lines(lines: DataFrame) -> DataFrame:
     return each.select(*rest, F.coalesce("block", F.lit(0)).alias("block"), line.alias("line")).filter("line IS NOT NULL")
 
 
-def last_result(lines: DataFrame) -> DataFrame:
-    """One row: is_error and result of the last result event."""
-    found = lines.filter(F.col("value").rlike('(?i)"type":"result"')).agg(F.max_by("value", F.col("pos")).alias("value"))
-    return found.select(F.from_json("value", "is_error boolean, result string").alias("r")).select("r.*")
+def _last(keep: Column) -> list[Column]:
+    """Aggregates: the last value among those to keep, and its place."""
+    at = F.when(keep, F.col("pos"))
+    return [F.max_by(F.when(keep, F.col("value")), at).alias("value"), F.max(at).alias("pos")]
+
+
+def _is_result() -> Column:
+    return F.col("value").rlike('(?i)"type":"result"')
+
+
+_RESULT = "is_error boolean, result string"
+
+
+def last_result(lines: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per key: pos, is_error and result of the last result event; one row of nulls without keys and events."""
+    found = lines.filter(_is_result()).groupBy(*keys).agg(*_last(_is_result()))
+    return found.select(*keys, "pos", F.from_json("value", _RESULT).alias("r")).select(*keys, "pos", "r.*")
 
 
 def classify(exit_code: Column, is_error: Column, error_text: Column, mark: Column, output: Column) -> Column:
@@ -51,15 +64,14 @@ def classify(exit_code: Column, is_error: Column, error_text: Column, mark: Colu
     return F.struct(reason.isNotNull().alias("failed"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def run_outcome(lines: DataFrame, exit_code: int) -> DataFrame:
-    """One row: failed, reason, error_text of a captured run."""
+def run_outcome(lines: DataFrame, exit_code: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per run (all lines, or those of each key): failed, reason, error_text."""
     mark = F.regexp_extract("value", f"(?i){FAILURE_MARK}", 1)
-    whole = lines.agg(
-        F.min_by(mark, F.when(mark != "", F.col("pos"))).alias("mark"), F.max(F.col("value")).alias("output")
-    )
-    rows = whole.join(last_result(lines))  # one row each
-    done = classify(F.lit(exit_code), F.col("is_error"), F.col("result"), F.col("mark"), F.col("output"))
-    return rows.select(done.alias("o"), F.col("result").alias("error_text")).select("o.*", "error_text")
+    whole = lines.groupBy(*keys).agg(
+        F.min_by(mark, F.when(mark != "", F.col("pos"))).alias("mark"), F.max(F.col("value")).alias("output"), _last(_is_result())[0]
+    ).withColumn("r", F.from_json("value", _RESULT))
+    done = classify(F.lit(exit_code), F.col("r.is_error"), F.col("r.result"), F.col("mark"), F.col("output"))
+    return whole.select(*keys, done.alias("o"), F.col("r.result").alias("error_text")).select(*keys, "o.*", "error_text")
 
 
 def retry_at(outcome: DataFrame, now: str, no_retry: bool = False) -> DataFrame:
@@ -70,4 +82,4 @@ def retry_at(outcome: DataFrame, now: str, no_retry: bool = False) -> DataFrame:
 
 def terminal(line: Column) -> Column:
     """Whether a log line ends a run."""
-    return F.coalesce(F.contains(line, F.lit("自動リサーチが完了しました")) | line.rlike(r"^\[.*\] 失敗: "), F.lit(False))
+    return F.coalesce(F.contains(line, F.lit(EOF_MARK)) | line.rlike(r"^\[.*\] 失敗: "), F.lit(False))

@@ -29,9 +29,11 @@ def migrate(pages: DataFrame, blocks: list[tuple[str, str]], old_crumb: str, sit
 
 
 def report(done: DataFrame) -> DataFrame:
-    """migrated, skipped, and the skipped pages with their reasons in order."""
-    return done.agg(
-        F.count_if(F.col("skip_reason").isNull()).alias("migrated"),
-        F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"),
-        F.sort_array(F.collect_list(F.when(F.col("skip_reason").isNotNull(), F.struct("slug", "skip_reason")))).alias("pages"),
-    )
+    """migrated, skipped: numbers of pages."""
+    skipped = F.col("skip_reason").isNotNull()
+    return done.agg(F.count_if(~skipped).alias("migrated"), F.count_if(skipped).alias("skipped"))
+
+
+def skipped(done: DataFrame) -> DataFrame:
+    """slug, skip_reason of the pages that were left as they are, in order."""
+    return done.filter("skip_reason IS NOT NULL").select("slug", "skip_reason").orderBy("slug")

@@ -28,6 +28,23 @@ def quotas(n: int) -> tuple[int, int]:
     return n, math.ceil(n * 1.5)
 
 
+def within_quota(candidates: DataFrame, n: int, *order) -> DataFrame:
+    """The best candidates, as many as a run may take."""
+    return candidates.orderBy(*order).limit(quotas(n)[1])
+
+
+def alive(pids: DataFrame, processes: DataFrame, pid: str = "pid") -> DataFrame:
+    """Recorded processes that still run."""
+    return pids.join(processes.select(pid).distinct(), pid, "left_semi")
+
+
+def final_report(done: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per key, from slug, is_foreign, ok: records, those from foreign sources, and whether all succeeded."""
+    return done.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if("is_foreign").alias("n_foreign"), F.bool_and("ok").alias("all_ok")
+    )
+
+
 def prompt(template: DataFrame, n: int, column: str = "value") -> DataFrame:
     """Fill the placeholders of a prompt, whatever their case."""
     low, high = quotas(n)

@@ -12,7 +12,7 @@ LISTS = ("bullets", "cardBullets")
 
 
 def _name() -> F.Column:
-    return F.coalesce(present(F.col("slug")), F.lit("(slug未設定)"))
+    return F.coalesce(present(F.col("slug")), F.lit("(no slug)"))
 
 
 def required(df: DataFrame, fields: list[str] = REQUIRED) -> DataFrame:
@@ -26,7 +26,7 @@ def required(df: DataFrame, fields: list[str] = REQUIRED) -> DataFrame:
         )
     )
     rows = df.select("pos", _name().alias("name"), F.explode(bad).alias("b"))
-    return rows.select("pos", F.lit("required").alias("rule"), "b.ord", F.format_string('[%d] %s: "%s" が空です', "pos", "name", "b.field").alias("message"))
+    return rows.select("pos", F.lit("required").alias("rule"), "b.ord", F.format_string('[%d] %s: no value for "%s"', "pos", "name", "b.field").alias("message"))
 
 
 def card_bullets(df: DataFrame) -> DataFrame:
@@ -34,13 +34,13 @@ def card_bullets(df: DataFrame) -> DataFrame:
     n = F.coalesce(F.size("cardBullets"), F.lit(0))
     count = df.filter((n != CARD_BULLETS) | F.col("cardBullets").isNull()).select(
         "pos", F.lit("card_count").alias("rule"), F.lit(0).alias("ord"),
-        F.format_string(f'[%d] %s: "cardBullets" は必ず{CARD_BULLETS}件にしてください（現在%d件）', "pos", _name(), n).alias("message"),
+        F.format_string(f"[%d] %s: %d card bullets instead of {CARD_BULLETS}", "pos", _name(), n).alias("message"),
     )
     each = df.filter(n == CARD_BULLETS).select("pos", F.col("slug"), F.posexplode("cardBullets").alias("ord", "b"))
     wide = each.filter(width(F.col("b")) > CARD_WIDTH).select(
         "pos", F.lit("card_width").alias("rule"), "ord",
         F.format_string(
-            f'[%d] %s: cardBullets[%d] が全角換算%s文字あります（上限{CARD_WIDTH}文字）。切り詰めず、{CARD_WIDTH}文字以内に収まる文章に書き直してください: "%s"',
+            f"[%d] %s: card bullet %d is %s units wide, {CARD_WIDTH} at most; to be written anew: %s",
             "pos", "slug", "ord", one_decimal(width(F.col("b"))), "b",
         ).alias("message"),
     )
@@ -54,7 +54,7 @@ def without_digits(df: DataFrame) -> DataFrame:
 
 def strict(df: DataFrame) -> None:
     """Raise with the ordered list of violations: required fields first, then card bullets."""
-    for head, rule in (("必須項目が不足しています", required), ("cardBullets が不正です", card_bullets)):
+    for head, rule in (("records lack required fields", required), ("card bullets break the rules", card_bullets)):
         found = rule(df).orderBy("pos", "ord").collect()
         if found:
             raise ValueError("\n".join([head, *(r.message for r in found)]))
@@ -72,6 +72,6 @@ def promotable(slugs: DataFrame, drafts: DataFrame, metas: DataFrame, catalog: D
     return rows.select("pos", "slug", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
-def quality_report(df: DataFrame) -> DataFrame:
-    """Share of foreign-language candidates and the number of records, per theme."""
-    return df.groupBy("theme").agg(F.count("*").alias("n"), F.avg((F.col("lang") != "ja").cast("int")).alias("foreign_share"))
+def quality_report(df: DataFrame, keys: tuple[str, ...] = ("theme",), home: str = "ja") -> DataFrame:
+    """Number of records and share of those in another language than ``home``, per theme or other keys."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col("lang") != home).cast("int")).alias("foreign_share"))

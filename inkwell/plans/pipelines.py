@@ -44,8 +44,7 @@ def promote(spark: SparkSession, slugs: Sequence[str], drafts: str, metas: str,
     [new] = C.as_catalog(rows, today).collect()  # the catalog is one file by its format
     sinks.files_by_key(pages, published, "slug", "html", ".html")
     sinks.put(catalog, sinks.pretty(new.asDict(recursive=True)))
-    [urls] = C.url_list_text(rows, head).collect()
-    sinks.put(url_list, urls.text + "\n")
+    sinks.lines(C.url_lines(rows), url_list, "pos", head=head)
     sinks.remove(p for s in slugs for p in (f"{drafts}/{s}.html", f"{metas}/{s}.json"))
     return len(slugs)
 
@@ -67,13 +66,13 @@ def notify(spark: SparkSession, slugs: Sequence[str], drafts: str, metas: str, d
     return sinks.notify(send, url, C.notification(rows, head).first().text)
 
 
-def migrate(spark: SparkSession, folder: str, out: str, blocks: list[tuple[str, str]], old_crumb: str, site: str) -> DataFrame:
-    """Write migrated pages to a new folder; returns the report."""
+def migrate(spark: SparkSession, folder: str, out: str, blocks: list[tuple[str, str]], old_crumb: str, site: str) -> tuple[DataFrame, DataFrame]:
+    """Write migrated pages to a new folder; returns the numbers of migrated and skipped pages, and the skipped ones."""
     if os.path.abspath(folder) == os.path.abspath(out):
         raise ValueError("write to another folder, then swap")
     done = M.migrate(readers.pages(spark, folder), blocks, old_crumb, site).cache()
     sinks.files_by_key(done.filter("skip_reason IS NULL"), out, "slug", "html", ".html")
-    return M.report(done)
+    return M.report(done), M.skipped(done)
 
 
 def summarise(spark: SparkSession, path: str, exit_code: int, now: str, no_retry: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -82,11 +81,13 @@ def summarise(spark: SparkSession, path: str, exit_code: int, now: str, no_retry
     return events.summary_lines(lines).orderBy("pos", "block"), events.retry_at(events.run_outcome(lines, exit_code), now, no_retry)
 
 
-def missed_run(spark: SparkSession, last: str | None, notified: str | None, today: str, url: str | None, send: sinks.Transport) -> int | None:
-    """Report missed days once; returns their number."""
+def missed_run(spark: SparkSession, folder: str, today: str, url: str | None, send: sinks.Transport) -> int | None:
+    """Report missed days once per last run; returns their number. State cells: last-run, notified in ``folder``."""
+    last, notified = (readers.cell_text(f"{folder}/{name}") for name in ("last-run", "notified"))
     state = spark.createDataFrame([(last, notified, today)], "last_run_date string, notified_date string, today string")
     due = runs.due_notice(state).first()
     if due is None:
         return None
     sinks.alert(send, url, f"{due.missed} days without a run (last run: {last})")
+    sinks.put(f"{folder}/notified", last)
     return due.missed

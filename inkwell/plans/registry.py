@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import documents as D
 from ..functions import text as X
 from ..functions import times as T
 from ..operators import catalog as C
-from ..operators.events import classify
+from ..operators import events as E
+from ..operators import migrate as M
+from ..operators import validate
 from ..operators.runs import run_gaps
-from ..operators.validate import without_digits
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,7 +34,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, len(regexp_extract_all(html, 'href="'))::INT AS n_links FROM pages""")
 def page_catalog(spark, d):
     return _t(spark, d, "pages").select(
-        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), X.url_host(F.col("url")).alias("host"),
+        "page_id", D.page_title(F.col("html")).alias("title"), X.url_host(F.col("url")).alias("host"),
         F.size(F.regexp_extract_all("html", F.lit('href="'), F.lit(0))).alias("n_links"),
     )
 
@@ -45,8 +47,7 @@ def text_fullwidth_length(spark, d):
 @query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS lang FROM pages""")
 def page_title_extract(spark, d):
     return _t(spark, d, "pages").select(
-        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.nullif(F.regexp_extract("html", '<html lang="([a-z]+)"', 1), F.lit("")).alias("lang"),
+        "page_id", D.page_title(F.col("html")).alias("title"), D.page_lang(F.col("html")).alias("lang"),
     )
 
 
@@ -58,7 +59,7 @@ def html_escape_url(spark, d):
 @query("""SELECT page_id, (i - 1)::INT AS pos, l[i] AS href FROM (
     SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))""")
 def page_links_explode(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    return _t(spark, d, "pages").select("page_id", F.posexplode(D.page_links(F.col("html"))).alias("pos", "href"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
@@ -75,18 +76,21 @@ def activity_gaps(spark, d):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def latest_event_per_user(spark, d):
-    return _t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+    line = F.to_json(F.struct(F.lit("result").alias("type"), F.col("event_type").alias("result")))
+    rows = _t(spark, d, "events").select("user_id", F.col("event_id").alias("pos"), line.alias("value"))
+    return E.last_result(rows, ("user_id",)).select("user_id", F.col("result").alias("event_type"), F.col("pos").alias("event_id"))
 
 
 @query("SELECT event_id, round_even(value / 10, 0)::BIGINT AS tens FROM events")
 def half_even_round(spark, d):
-    return _t(spark, d, "events").select("event_id", F.bround(F.col("value") / 10, 0).cast("long").alias("tens"))
+    return _t(spark, d, "events").select("event_id", T.seconds(F.col("value") * 100).alias("tens"))
 
 
 @query("SELECT conv_id, string_agg(role, '/' ORDER BY turn) AS path, count(*) AS n FROM conversations GROUP BY conv_id")
 def ordered_role_path(spark, d):
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["role"]), "/").alias("path"), F.count("*").alias("n"))
+    rows = _t(spark, d, "conversations")
+    path = C.text_of(rows, F.col("role"), order="turn", keys=("conv_id",), sep="/").withColumnRenamed("text", "path")
+    return path.join(rows.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id")
 
 
 @query("SELECT doc_id, CASE WHEN length(s) > 200 THEN substr(s, 1, 200) || '...' ELSE s END AS short FROM (SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) AS s FROM documents)")
@@ -105,13 +109,12 @@ def url_host_query(spark, d):
 @query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[0-9０-９]')")
 def docs_without_digits(spark, d):
     rows = _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("slug"), F.split("text", "\n").alias("bullets"))
-    return without_digits(rows).select(F.col("slug").alias("doc_id"))
+    return validate.without_digits(rows).select(F.col("slug").alias("doc_id"))
 
 
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents")
 def numbering(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return _t(spark, d, "documents").select("doc_id", "source", F.row_number().over(w).cast("long").alias("number"))
+    return C.numbered(_t(spark, d, "documents").select("doc_id", "source"), "doc_id", ("source",))
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 4")
@@ -135,19 +138,17 @@ SELECT doc_id, 'card_count' AS rule, 0 AS ord FROM l WHERE len(a) <> 3
 UNION ALL SELECT doc_id, 'card_width', (i - 1)::INT FROM (SELECT doc_id, unnest(range(1, 4)) AS i, a FROM l WHERE len(a) = 3)
 WHERE length(a[i]) - 0.5 * length(regexp_replace(a[i], '[^\x20-\x7E]', '', 'g')) > 55""")
 def card_rule_violations(spark, d):
-    from ..operators.validate import card_bullets
-
     rows = _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("slug"), F.split("text", "\n", -1).alias("cardBullets"))
-    return card_bullets(rows).select(F.col("pos").alias("doc_id"), "rule", "ord")
+    return validate.card_bullets(rows).select(F.col("pos").alias("doc_id"), "rule", "ord")
 
 
 @query("""SELECT doc_id, 'text' AS field FROM documents WHERE text IS NULL OR text = ''
 UNION ALL SELECT doc_id, 'lang' FROM documents WHERE lang IS NULL OR lang = '' OR lang = 'es'""")
 def required_fields(spark, d):
     """Empty fields, Spanish counted as an empty language so that there are some."""
-    rows = _t(spark, d, "documents").select("doc_id", "text", F.when(F.col("lang") != "es", F.col("lang")).alias("lang"))
-    bad = F.array_compact(F.array(*[F.when(X.missing(F.col(f)), f) for f in ("text", "lang")]))
-    return rows.select("doc_id", F.explode(bad).alias("field"))
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.lit("").alias("slug"), "text", F.when(F.col("lang") != "es", F.col("lang")).alias("lang"))
+    fields = ["text", "lang"]
+    return validate.required(rows, fields).select(F.col("pos").alias("doc_id"), F.get(F.array(*map(F.lit, fields)), "ord").alias("field"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View' ELSE event_type END AS label FROM events")
@@ -166,7 +167,7 @@ def first_truthy_detail(spark, d):
 FROM (SELECT event_id, props, (event_id % 7 = 0)::INT AS code, event_id % 5 = 0 AS err, regexp_extract(props, '"k": (9[0-9]*)', 1) AS mark FROM events)""")
 def outcome_classifier(spark, d):
     i = F.col("event_id")
-    done = classify((i % 7 == 0).cast("int"), i % 5 == 0, F.col("props"), F.regexp_extract("props", '"k": (9[0-9]*)', 1), F.col("props"))
+    done = E.classify((i % 7 == 0).cast("int"), i % 5 == 0, F.col("props"), F.regexp_extract("props", '"k": (9[0-9]*)', 1), F.col("props"))
     return _t(spark, d, "events").select("event_id", done.alias("o")).select("event_id", "o.*")
 
 
@@ -202,32 +203,35 @@ def catalog_prepend(spark, d):
     return C.prepend(promoted, rest).select(F.col("slug").cast("long").alias("doc_id"), "pos")
 
 
-@query("SELECT url FROM pages WHERE page_id % 2 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+@query(r"""SELECT url FROM (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS url FROM pages)
+    WHERE url NOT IN (SELECT url FROM pages)""")
 def exact_url_dedup(spark, d):
+    """Links within the sites of all pages, as candidates, without those whose exact URL is a page's."""
     pages = _t(spark, d, "pages")
-    return C.unused(pages.filter("page_id % 2 = 0").select("url"), pages.filter("page_id % 3 = 0"))
+    links = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
+    candidates = pages.select(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("site"), F.explode(links).alias("link"))
+    return C.unused(candidates.select(F.concat("site", "link").alias("url")), pages)
 
 
-@query("SELECT source, string_agg('- ' || doc_id, chr(10) ORDER BY doc_id) AS text FROM documents WHERE lang <> '' GROUP BY source")
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, '- ' || doc_id AS line FROM documents WHERE lang <> ''")
 def url_list_by_source(spark, d):
-    line = F.concat(F.lit("- "), F.col("doc_id").cast("string"))
-    rows = F.sort_array(F.collect_list(F.struct("doc_id", line.alias("l"))))
-    return _t(spark, d, "documents").filter(~X.missing(F.col("lang"))).groupBy("source").agg(F.array_join(F.transform(rows, lambda r: r["l"]), "\n").alias("text"))
+    """The numbered lines of each source's list; no list is put together in one row."""
+    rows = _t(spark, d, "documents").filter(~X.missing(F.col("lang"))).select("doc_id", "source", F.col("doc_id").cast("string").alias("sourceUrl"))
+    return C.numbered(C.url_lines(rows), "doc_id", ("source",)).select("doc_id", "source", "number", "line")
 
 
 @query("""SELECT page_id, CASE WHEN NOT contains(html, '</article>') OR NOT contains(html, '</nav>') THEN 'markup'
     WHEN nullif(regexp_extract(html, '<html lang="(en|fr|de)"', 1), '') IS NULL THEN 'theme' WHEN NOT contains(html, '</body>') THEN 'breadcrumb' END AS reason FROM pages""")
 def migration_reasons(spark, d):
-    html: Column = F.col("html")
-    theme = F.nullif(F.regexp_extract(html, '<html lang="(en|fr|de)"', 1), F.lit(""))
-    reason = (
-        F.when(~(F.contains(html, F.lit("</article>")) & F.contains(html, F.lit("</nav>"))), "markup")
-        .when(theme.isNull(), "theme").when(~F.contains(html, F.lit("</body>")), "breadcrumb")
-    )
-    return _t(spark, d, "pages").select("page_id", reason.alias("reason"))
+    html = F.col("html")
+    for lang, theme in (("en", "visibility"), ("fr", "optimization"), ("de", "measurement")):
+        html = F.replace(html, F.lit(f'<html lang="{lang}"'), F.lit(f'<html class="cat theme-{theme}"'))
+    pages = _t(spark, d, "pages").select(F.col("page_id").alias("slug"), html.alias("html"))
+    done = M.migrate(pages, [("</article>", ""), ("</nav>", "")], "</body>", "")
+    return done.select(F.col("slug").alias("page_id"), F.col("skip_reason").alias("reason"))
 
 
 @query("SELECT quality, lang, count(*) AS n, avg((lang <> 'en')::INT) AS foreign_share FROM documents JOIN labels USING (doc_id) GROUP BY quality, lang")
 def balance_report(spark, d):
     rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
-    return rows.groupBy("quality", "lang").agg(F.count("*").alias("n"), F.avg((F.col("lang") != "en").cast("int")).alias("foreign_share"))
+    return validate.quality_report(rows, ("quality", "lang"), home="en")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, strip
-from ..schemas import ARTICLE, CATALOG, EVENT, META
+from ..schemas import ARTICLE, CANDIDATE, CATALOG, EVENT, META
 
 
 def batch(spark: SparkSession, path: str) -> DataFrame:
@@ -20,12 +20,7 @@ def batch(spark: SparkSession, path: str) -> DataFrame:
 
 def _struct(ddl: str) -> str:
     """A column list as the inside of a struct type."""
-    out, depth = "", 0
-    for part in ddl.split(", "):
-        name, kind = part.split(" ", 1)
-        out += f"{', ' if out else ''}{name}:{kind}"
-        depth += kind.count("<")
-    return out
+    return ", ".join(":".join(part.split(" ", 1)) for part in ddl.split(", "))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -68,11 +63,30 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).filter(F.col("value").startswith("- ")).select("pos", F.substr("value", F.lit(3)).alias("url"))
 
 
+def template(spark: SparkSession, path: str) -> DataFrame:
+    """A prompt template as one row."""
+    return spark.read.text(path, wholetext=True)
+
+
+def candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Results of a web search as JSON lines: url, status, corp_header, og_image, published, lang."""
+    return spark.read.schema(CANDIDATE).json(folder)
+
+
 def cell(spark: SparkSession, path: str) -> DataFrame:
     """A one-value state file, stripped."""
     return spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("value"))
 
 
+def cell_text(path: str) -> str | None:
+    """A one-value state file as a stripped string; None where it is missing or blank."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return f.read().strip() or None
+    except FileNotFoundError:
+        return None
+
+
 def arguments(spark: SparkSession, slugs: Sequence[str]) -> DataFrame:
     """pos, slug of a list given on the command line."""
     if not slugs:

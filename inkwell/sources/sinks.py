@@ -60,6 +60,17 @@ def remove(paths: Iterable[str]) -> list[str]:
     return gone
 
 
+def lines(df: DataFrame, path: str, order: str, line: str = "line", head: str = "") -> None:
+    """One text file of ordered lines below a head; the driver holds one partition of the sorted rows at a time."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    fd, name = tempfile.mkstemp(dir=os.path.dirname(path))
+    with os.fdopen(fd, "w", encoding="utf-8", newline="") as f:
+        f.write(head)
+        for r in df.orderBy(order).select(line).toLocalIterator():
+            f.write(f"{r[0]}\n")
+    os.replace(name, path)
+
+
 def append_line(path: str, line: str) -> None:
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "a", encoding="utf-8") as f:

@@ -80,10 +80,10 @@ def test_time_functions(spark):
 def test_validation(spark):
     df = frame(spark, [article("ok"), article("a", title="", bullets=[]), article("", source=None, background=" "), article("c", cardBullets=["x"]), article("d", cardBullets=["あ" * 55, "あ" * 55 + "a", "z"], bullets=["三"])])
     got = [(r.pos, r.message) for r in validate.required(df).orderBy("pos", "ord").collect()]
-    assert got == [(1, '[1] a: "title" が空です'), (1, '[1] a: "bullets" が空です'), (2, '[2] (slug未設定): "slug" が空です'), (2, '[2] (slug未設定): "source" が空です')]
+    assert got == [(1, '[1] a: no value for "title"'), (1, '[1] a: no value for "bullets"'), (2, '[2] (no slug): no value for "slug"'), (2, '[2] (no slug): no value for "source"')]
     cards = validate.card_bullets(df).orderBy("pos").collect()
     assert [(r.pos, r.rule, r.ord) for r in cards] == [(3, "card_count", 0), (4, "card_width", 1)]
-    assert "55.5" in cards[1].message and "現在1件" in cards[0].message
+    assert "55.5" in cards[1].message and "1 card bullets" in cards[0].message
     assert [r.slug for r in validate.without_digits(df).collect()] == ["a", "d"]
     with pytest.raises(ValueError, match="title"):
         validate.strict(df)
@@ -138,9 +138,9 @@ def test_migrate(spark, tmp_path):
     page = lambda theme="visibility", c=crumb, extra="<H><F>": f'{extra}<span class="cat theme-{theme}">{c}'
     for k, text in {"a": page(), "b": page("none"), "c": page(c="?"), "d": page(extra="<H>"), "e": page(extra="<H><F><F>")}.items():
         write(tmp_path / f"in/{k}.html", text)
-    got = P.migrate(spark, str(tmp_path / "in"), str(tmp_path / "new"), [("<H>", "<h/>"), ("<F>", "<f/>")], crumb, SITE).first()
-    assert (got.migrated, got.skipped) == (2, 3)
-    assert [(p.slug, p.skip_reason) for p in got.pages] == [("b", "theme"), ("c", "breadcrumb"), ("d", "markup")]
+    counts, left = P.migrate(spark, str(tmp_path / "in"), str(tmp_path / "new"), [("<H>", "<h/>"), ("<F>", "<f/>")], crumb, SITE)
+    assert tuple(counts.first()) == (2, 3)
+    assert [(p.slug, p.skip_reason) for p in left.collect()] == [("b", "theme"), ("c", "breadcrumb"), ("d", "markup")]
     assert open(tmp_path / "new/e.html").read().startswith("<h/><f/><F>")
 
 
@@ -186,9 +186,14 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_runs_and_lists(spark, tmp_path):
     sent = []
     send = lambda u, b: (sent.append(b), (True, "ok"))[1]
-    assert P.missed_run(spark, "2026-01-01", None, "2026-01-05", "hook", send) == 3 and len(sent) == 1
-    assert P.missed_run(spark, "2026-01-01", "2026-01-01", "2026-01-05", "hook", send) is None
-    assert P.missed_run(spark, "2026-01-04", None, "2026-01-05", "hook", send) is None and P.missed_run(spark, None, None, "2026-01-05", "hook", send) is None
+    state = str(tmp_path / "state")
+    assert P.missed_run(spark, state, "2026-01-05", "hook", send) is None
+    write(tmp_path / "state/last-run", " 2026-01-01\n")
+    assert P.missed_run(spark, state, "2026-01-02", "hook", send) is None and not sent
+    assert P.missed_run(spark, state, "2026-01-05", "hook", send) == 3 and len(sent) == 1
+    assert P.missed_run(spark, state, "2026-01-06", "hook", send) is None and len(sent) == 1
+    write(tmp_path / "state/last-run", "2026-01-03")
+    assert P.missed_run(spark, state, "2026-01-06", "hook", send) == 2 and len(sent) == 2
     assert sinks.alert(lambda u, b: 1 / 0, "hook", "x") is False and sinks.alert(send, None, "x") is False
     status = readers.status_lines(spark, "?? automation/articles-batch-x.json\n M automation/articles-batch-y.json\n?? automation/other.json")
     assert [r.name for r in C.stale_batches(status).collect()] == ["articles-batch-x.json"]
