@@ -309,7 +309,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that hold no benchmark item.
 
-    Each row is judged by its own text: rows with a null or repeated doc_id like all others.
+    Each row is judged by its own text: rows with a null or repeated doc_id like all others. A null text stays,
+    an empty table gives no rows.
     """
     sent = _broadcast(table(spark, sf_dir, "benchmark"), BLOCK_CHARS)
 

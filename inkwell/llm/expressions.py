@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
     return F.transform(F.array(value), body)[0]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores in front, as many as it takes to differ from all columns of ``df``."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]

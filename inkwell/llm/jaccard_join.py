@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .expressions import fresh
 from .grouping import map_groups
 from .workspace import Workspace, table
 
@@ -345,11 +346,12 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Of repeated rows of one doc_id and text one stays; different texts under one doc_id are documents each;
     blank texts are classes of their own and stay; an empty table gives no rows.
     """
+    of, doc, version = fresh(docs, "version_of", "doc", "version")
     found = classified(docs)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("m")
     first = found.filter("root IS NOT NULL").groupBy("root").agg(best).select("m.doc_id", "m.version")
     first = first.unionByName(found.filter("root IS NULL").select("doc_id", "version").distinct())
-    first = first.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"))
-    marked = docs.withColumn("_version_of", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_version_of") == F.col("_version"))
-    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", "_version_of"]).select(*docs.columns)
+    first = first.select(F.col("doc_id").alias(doc), F.col("version").alias(version))
+    marked = docs.withColumn(of, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(of) == F.col(version))
+    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", of]).select(*docs.columns)

@@ -168,5 +168,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of the documents that are left."""
+    """Pipeline stage: the pieces of the documents that are left.
+
+    Every row is packed: null and repeated ids like others, a null text as its end token; an empty table gives no rows.
+    """
     return pack_documents(docs)

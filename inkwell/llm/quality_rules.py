@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .expressions import let
+from .expressions import fresh, let
 from .workspace import Workspace, table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -222,14 +222,15 @@ def verdict_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Each row is judged by its own text, language and source: rows with a null or repeated doc_id like all
     others. Repeated rows stay or go together; a null or blank text goes; an empty table gives no rows.
     """
-    names, mark = docs.columns, "_text_print"
+    mark, *good_keys = fresh(docs, "text_print", "good_id", "good_lang", "good_source", "good_print")
     keys = ["doc_id", "lang", "source", mark]
     marked = docs.withColumn(mark, F.xxhash64("text"))
-    good = quality_rules(marked, carry=(mark,)).filter("kept").select(*[F.col(k).alias(f"_good_{k}") for k in keys]).distinct()
+    good = quality_rules(marked, carry=(mark,)).filter("kept")
+    good = good.select(*[F.col(k).alias(g) for k, g in zip(keys, good_keys, strict=True)]).distinct()
     same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_good_{k}"))
-    return marked.join(good, same, "left_semi").select(*names)
+    for k, g in zip(keys, good_keys, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(g))
+    return marked.join(good, same, "left_semi").select(*docs.columns)
 
 
 _BUCKET = "(v - v % (1::BIGINT << greatest(length(bin(v)) - 6, 0)))"

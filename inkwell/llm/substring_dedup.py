@@ -42,6 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .expressions import fresh
 from .grouping import map_groups
 from .workspace import table
 
@@ -663,14 +664,15 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
         for batch in batches:
             text = [k.decode("utf-8", "ignore") for k in batch["kept"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(text, pa.string())], ["_doc", "_version", "_kept"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(text, pa.string())], [doc, version, kept])
 
     names, kinds = docs.columns, dict(docs.dtypes)
+    of, doc, version, kept = fresh(docs, "version_of", "doc", "version", "kept")
     left = substring_dedup(docs).select("doc_id", F.xxhash64("text").alias("version"), "kept")
-    left = left.mapInArrow(clean, "_doc long, _version long, _kept string").filter(F.col("_kept").rlike(r"\S")).dropDuplicates(["_doc", "_version"])
-    new = {"text": F.col("_kept")}
+    left = left.mapInArrow(clean, f"{doc} long, {version} long, {kept} string").filter(F.col(kept).rlike(r"\S")).dropDuplicates([doc, version])
+    new = {"text": F.col(kept)}
     if "n_chars" in names:
-        new["n_chars"] = F.length("_kept").cast(kinds["n_chars"])
-    marked = docs.withColumn("_version_of", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_version_of") == F.col("_version"))
+        new["n_chars"] = F.length(kept).cast(kinds["n_chars"])
+    marked = docs.withColumn(of, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(of) == F.col(version))
     return marked.join(left, same).withColumns(new).select(*names)
