@@ -26,7 +26,7 @@ def components(edges: DataFrame, space: Workspace, name: str, most: int = 60) ->
         low = space.save(low, f"{name}-low")
         out = both.join(low, "a")
         if large:
-            out = out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            return out.filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
                 low.select("a", F.col("m").alias("b"))

@@ -5,15 +5,15 @@ copies. Every representative gets a MinHash signature; equal signature values st
 that are sampled with a chance of the Jaccard similarity. The join is repeated in runs, each with a first
 coordinate of its own: sets are split by the value there. Small buckets are compared by brute force on the
 signatures, with a margin far below the threshold. A larger bucket is split on, into the values at several
-further coordinates that no set on this path was split by before. Of a large bucket one member, drawn by a
-hash of the path, is compared with all others: those within the threshold of it need no further split,
-since by the triangle inequality of the Jaccard distance every set similar to them is within twice that
-distance of the drawn member, and whatever is near enough for that is linked to it. What is still large
-after the last split is linked as it is, so nothing is dropped.
+further pairs of coordinates that no set on this path was split by before. Of a large bucket a few members,
+drawn by hashes of the path, are compared with all others: those near enough to one of them need no further
+split, since by the triangle inequality of the Jaccard distance every set similar to them lies within the sum
+of both distances of the drawn member, and whatever is near enough for that is linked to it. What is still
+large after the last split is linked as it is, so nothing is dropped.
 
 The number of runs follows from ``target``, the share of pairs at the threshold that must meet: see
-:func:`plan`. At 0.8 and 0.99999 two branches and 12 runs are needed; a pair all of whose meetings lie six
-splits deep is missed with a chance of 8e-6, one that meets in buckets that are small at once with 4e-9.
+:func:`plan`. At 0.8 and 0.99999 three branches and 12 runs are needed; a pair all of whose meetings lie five
+splits deep is missed with a chance of 7e-6, one that meets in buckets that are small at once with 4e-9.
 
 The pairs found link sets to families (connected components). Within a family all pairs are verified
 exactly on the sets of the whole texts, by matrix products; a large family is dealt to tasks by pairs of
@@ -44,9 +44,10 @@ from .grouping import map_groups
 from .workspace import Workspace, table
 
 N, COORDINATES, TARGET = 5, 128, 0.99999
-SMALL, SPLITS, MARGIN = 128, 6, 0.2
-#: A pair survives one split with at least this chance.
-SURVIVE = 0.95
+SMALL, SPLITS, MARGIN = 256, 5, 0.2
+#: Coordinates that a branch is split by together, the chance at least with which a pair survives one split, and the
+#: members of a large bucket that are compared with all others.
+TOGETHER, SURVIVE, HEADS = 2, 0.95, 4
 BLOCK_DOCS, BLOCK_SHINGLES = 750, 2_000_000
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 _draw = np.random.default_rng(20_240_501)
@@ -62,14 +63,15 @@ def plan(percent: int, target: float = TARGET, splits: int = SPLITS) -> tuple[in
     """(runs, branches) such that a pair at the threshold meets with a chance of ``target`` at the least.
 
     A pair of similarity j agrees at a run's first coordinate with chance j and survives a split into b
-    branches with 1 - (1 - j)^b; b is the smallest number that makes this ``SURVIVE`` or more. A run that
-    needs all splits then succeeds with j times that to the power of ``splits``, and runs are independent.
+    branches of k coordinates with 1 - (1 - j^k)^b; b is the smallest number that makes this ``SURVIVE`` or
+    more. A run that needs all splits then succeeds with j times that to the power of ``splits``, and runs are
+    independent.
     """
     j = min(percent / 100, 1 - 1e-9)
-    branches = math.ceil(math.log(1 - SURVIVE) / math.log(1 - j))
-    deep = j * (1 - (1 - j) ** branches) ** splits
+    branches = math.ceil(math.log(1 - SURVIVE) / math.log(1 - j**TOGETHER))
+    deep = j * (1 - (1 - j**TOGETHER) ** branches) ** splits
     runs = math.ceil(math.log(1 - target) / math.log(1 - deep))
-    if runs + branches * splits > COORDINATES:
+    if runs + branches * TOGETHER * splits > COORDINATES:
         raise ValueError(f"{percent} per cent and a recall of {target} need more than {COORDINATES} coordinates")
     return runs, branches
 
@@ -165,8 +167,10 @@ def candidate_links(reps: DataFrame, space: Workspace, percent: int, small: int
     schema = "a long, b long"
     runs, branches = plan(percent, target, splits)
     least = percent / 100 - MARGIN
-    # Twice the distance at the threshold, with half the margin.
-    around = 1 - 2 * (1 - percent / 100) - MARGIN / 2
+    # Sets with an estimate of ``settled`` or more with a drawn member are split no further; all that are similar to
+    # them have ``around`` or more with it, a quarter of the margin taken off. Where the threshold is low, fewer are settled.
+    settled = max(percent / 100 - MARGIN / 2, 1 - percent / 100 + 0.3 + MARGIN / 4)
+    around = settled - (1 - percent / 100) - MARGIN / 4
 
     def bucket(t, bounds):
         import pyarrow as pa
@@ -188,33 +192,36 @@ def candidate_links(reps: DataFrame, space: Workspace, percent: int, small: int
     later = F.array(*map(F.lit, ORDER[runs:]))
     for level in range(splits):
         # Written, so that the join below has plain exchanges on both sides and a hot path can be split.
-        sizes = space.save(
-            paths.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("path", "id"), "id")).alias("m"))
-            .filter("n > 1").select("path", "n", F.col("m.id").alias("head")),
-            f"sizes-{level}",
-        )
+        sizes = space.save(paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), f"sizes-{level}")
         shared = space.save(paths.join(sizes, "path"), f"paths-{level}")
         few = shared.filter(F.col("n") <= small).join(reps, "id").select("path", "id", "sig")
         links.append(space.save(map_groups(few, ["path"], bucket, schema).distinct(), f"links-{level}"))
         many = shared.filter(F.col("n") > small)
         if not many.take(1):
             return _union(links)
-        heads = sizes.filter(F.col("n") > small).join(
-            reps.select(F.col("id").alias("head"), F.col("sig").alias("head_sig")), "head"
-        ).select("path", "head_sig")
-        same = F.aggregate(F.zip_with("sig", "head_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+        drawn = many.groupBy("path").agg(*[F.min_by("id", F.xxhash64("path", "id", F.lit(k))).alias(f"h{k}") for k in range(HEADS)])
+        heads = drawn.select("path", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)]))).alias("id")).join(reps, "id")
+        heads = space.save(heads.groupBy("path").agg(F.collect_list(F.struct("id", "sig")).alias("heads")), f"drawn-{level}")
+        agree = lambda h: F.struct(
+            h["id"].alias("head"),
+            F.aggregate(F.zip_with("sig", h["sig"], lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y).alias("same"),
+        )
         split = []
         for k in range(branches):  # no coordinate twice on a path
-            at = F.get(later, (F.col("run") * 7 + level * branches + k) % (COORDINATES - runs))
-            split.append(F.xxhash64("path", at, F.get("sig", at)))
+            value = F.col("path")
+            for c in range(TOGETHER):
+                at = F.get(later, (F.col("run") * 7 + (level * branches + k) * TOGETHER + c) % (COORDINATES - runs))
+                value = F.xxhash64(value, at, F.get("sig", at))
+            split.append(value)
         met = space.save(
             many.join(reps, "id").join(heads, "path")
-            .select("id", "run", "head", same.alias("same"), F.array(*split).alias("next")),
+            .select("id", "run", F.transform("heads", agree).alias("heads"), F.array(*split).alias("next")),
             f"met-{level}",
         )
-        near = met.filter((F.col("same") >= around * COORDINATES) & (F.col("id") != F.col("head")))
-        links.append(space.save(near.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), f"heads-{level}"))
-        paths = met.filter(F.col("same") * 100 < percent * COORDINATES).select("id", "run", F.explode("next").alias("path"))
+        near = met.select("id", F.explode(F.filter("heads", lambda h: h["same"] >= around * COORDINATES)).alias("h")).filter("id <> h.head")
+        links.append(space.save(near.select(F.col("id").alias("a"), F.col("h.head").alias("b")).distinct(), f"heads-{level}"))
+        on = met.filter(~F.exists("heads", lambda h: h["same"] >= settled * COORDINATES))
+        paths = on.select("id", "run", F.explode("next").alias("path"))
     sizes = space.save(paths.groupBy("path").agg(F.min("id").alias("head")), "left")
     links.append(paths.join(sizes, "path").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
     return _union(links)

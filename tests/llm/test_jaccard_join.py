@@ -51,7 +51,7 @@ def test_join_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, size int")
     want = _brute(docs)
     for small, block in ((128, 750), (8, 20)):
-        monkeypatch.setattr(j.candidate_links, "__defaults__", (small, 6, j.TARGET))
+        monkeypatch.setattr(j.candidate_links, "__defaults__", (small, 5, j.TARGET))
         monkeypatch.setattr(j, "BLOCK_DOCS", block)
         got = {r.doc_id: (r.class_id, r.n_links, r.n_similar_texts) for r in j.jaccard_join(df).collect()}
         assert got == want
@@ -59,11 +59,11 @@ def test_join_equals_brute_force(spark, monkeypatch):
 
 
 def test_plan_meets_the_target():
-    assert j.plan(80) == (12, 2)
-    for percent in (50, 60, 80, 95, 100):
+    assert j.plan(80) == (12, 3)
+    for percent in (60, 80, 95, 100):
         runs, branches = j.plan(percent)
         p = percent / 100
-        deep = p * (1 - (1 - p) ** branches) ** j.SPLITS
+        deep = p * (1 - (1 - p**j.TOGETHER) ** branches) ** j.SPLITS
         assert (1 - deep) ** runs <= 1 - j.TARGET
     assert sorted(j.ORDER) == list(range(j.COORDINATES))
 
@@ -79,7 +79,7 @@ def test_recall_where_every_bucket_is_large(spark, monkeypatch):
             w = list(base)
             w[70 + 3 * c] = f"x{g}"
             docs.append((2 * g + c, " ".join(w)))
-    monkeypatch.setattr(j.candidate_links, "__defaults__", (4, 6, j.TARGET))
+    monkeypatch.setattr(j.candidate_links, "__defaults__", (4, 5, j.TARGET))
     got = {r.doc_id: r.class_id for r in j.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = {i: w[0] for i, w in _brute(docs).items()}
     assert sum(got[i] == want[i] for i in want) >= j.TARGET * len(want) and len(set(want.values())) == 150
@@ -94,3 +94,17 @@ def test_null_ids_repeated_rows_and_several_texts(spark):
         (3, 3, 2, 1), (3, 3, 2, 1), (3, 3, 2, 0), (5, 3, 2, 1), (None, 3, 2, 1), (None, 3, 2, 0), (None, 3, 2, 0),
         (None, None, 0, 0), (4, 4, 0, 0), (4, 4, 0, 0),
     ], key=str)
+
+
+def test_near_copies_that_drift_apart(spark, monkeypatch):
+    """A chain of 400 texts, each an edited copy of the one before, in buckets of eight."""
+    rng = np.random.default_rng(5)
+    w, docs = [f"v{x}" for x in rng.integers(0, 5000, 150)], []
+    for k in range(400):
+        for _ in range(1 + k % 2):
+            w[int(rng.integers(0, 150))] = f"x{k}"
+        docs.append((k, " ".join(w)))
+    monkeypatch.setattr(j.candidate_links, "__defaults__", (8, 5, j.TARGET))
+    monkeypatch.setattr(j, "BLOCK_DOCS", 100)
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_similar_texts) for r in j.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _brute(docs)
