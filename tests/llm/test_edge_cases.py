@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import chat_format as c
 from inkwell.llm.quality_classifier import expectation_maximisation
 from inkwell.llm.quality_rules import quality_rules
+from inkwell.llm.workspace import Workspace, scratch
 from inkwell.llm.url_filter import labelled_urls, url_filter, url_parts
 
 
@@ -85,6 +86,16 @@ FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(pa
 """
 
 
+def test_scratch_deletes_the_tables_of_a_call(spark):
+    kept = Workspace(spark, "kept")
+    with scratch(spark):
+        inner = Workspace(spark, "inner")
+        assert inner.save(spark.range(3), "t").count() == 3
+        again = kept.save(spark.range(2), "t")
+    path = lambda w: w.root.removeprefix("file://")
+    assert not os.path.exists(path(inner)) and os.path.exists(path(kept)) and again.count() == 2
+
+
 def test_estimation_finds_the_good_side():
     post, right, share = expectation_maximisation(["111", "100", "001", "11-"], [80, 10, 2, 8])
     assert post[0] > 0.9 and post[1] < 0.1 and right.shape == (3, 2) and 0.5 < share < 1
