@@ -93,6 +93,11 @@ def whole_number(c: Column, default: int = 10) -> Column:
     return F.coalesce(F.when(c.rlike(r"^\d+$"), c.try_cast("int")), F.lit(default))
 
 
+def menu(table: dict[str, str], code: Column, default: str = "") -> Column:
+    """The value of a menu code; a default for codes that are not on the menu."""
+    return F.coalesce(lookup(table, strip(code), fallback=False), F.lit(default))
+
+
 def or_default(c: Column, label: str = "既定") -> Column:
     """The value, or a label where it is null or empty."""
     return F.coalesce(present(c), F.lit(label))

@@ -335,6 +335,12 @@ def tool_labels(spark, d):
     return _t(spark, d, "events").select("event_id", X.lookup(TOOL_LABEL, name, fold=True).alias("label"))
 
 
+@query("SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'low' WHEN 2 THEN 'high' ELSE '' END AS effort FROM events")
+def menu_choices(spark, d):
+    code = F.concat(F.lit(" "), (F.col("event_id") % 4).cast("string"))
+    return _t(spark, d, "events").select("event_id", X.menu({"1": "low", "2": "high"}, code).alias("effort"))
+
+
 @query("SELECT conv_id, string_agg(turn || ' ' || role, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def ordered_texts(spark, d):
     line = F.concat_ws(" ", F.col("turn").cast("string"), "role")
