@@ -38,10 +38,10 @@ from pyspark.util import inheritable_thread_target
 from .features import TASKS, bounded, fit, hashed, score, words
 from .workspace import Workspace, table
 
-SIZE = 1 << 20
+SIZE = 1 << 18
 LEVEL = 0.05
-#: Models that are fitted at a time.
-PARALLEL = 2
+#: Models that are fitted at a time; each brings two vectors of ``SIZE`` numbers to the driver.
+PARALLEL = 1
 #: The links of the chain, in order, over the columns of the labelled table.
 CATEGORIES = {
     "toxic_clutter": "toxic = 1 AND quality = 0",
