@@ -668,11 +668,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     names, kinds = docs.columns, dict(docs.dtypes)
     of, doc, version, kept = fresh(docs, "version_of", "doc", "version", "kept")
-    left = substring_dedup(docs).select("doc_id", F.xxhash64("text").alias("version"), "kept")
+    # Rows without an id are not cut. The others meet their cut texts by plain keys, so those are dealt once.
+    known = docs.filter("doc_id IS NOT NULL")
+    left = substring_dedup(known).select("doc_id", F.xxhash64("text").alias("version"), "kept")
     left = left.mapInArrow(clean, f"{doc} long, {version} long, {kept} string").filter(F.col(kept).rlike(r"\S")).dropDuplicates([doc, version])
     new = {"text": F.col(kept)}
     if "n_chars" in names:
         new["n_chars"] = F.length(kept).cast(kinds["n_chars"])
-    marked = docs.withColumn(of, F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(of) == F.col(version))
-    return marked.join(left, same).withColumns(new).select(*names)
+    cut = known.withColumn(of, F.xxhash64("text")).join(left, (F.col("doc_id") == F.col(doc)) & (F.col(of) == F.col(version)))
+    whole = docs.filter("doc_id IS NULL").withColumn(kept, F.col("text")).filter(F.col(kept).rlike(r"\S"))
+    return cut.withColumns(new).select(*names).unionByName(whole.withColumns(new).select(*names))
