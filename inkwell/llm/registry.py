@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontaminate import op4_decontaminate
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .jaccard_join import op10_jaccard_join
 from .packing import op7_packing
 from .quality_classifier import op2_quality_classifier
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL, "op11_filter_audit": OP11_SQL}
