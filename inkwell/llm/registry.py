@@ -13,6 +13,7 @@ from .substring_dedup import op8_substring_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op9_toxicity
 from .url_filter import op6_url_filter
+from .warc import OP12_SQL, op12_warc
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_filter_audit": op11_filter_audit,
+    "op12_warc": op12_warc,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL, "op11_filter_audit": OP11_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL, "op11_filter_audit": OP11_SQL, "op12_warc": OP12_SQL}
