@@ -6,6 +6,7 @@ from .chat_format import OP1_SQL, op1_chat_format
 from .decontaminate import op4_decontaminate
 from .filter_audit import OP11_SQL, op11_filter_audit
 from .jaccard_join import op10_jaccard_join
+from .merkle import OP13_SQL, op13_merkle
 from .packing import op7_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_filter_audit": op11_filter_audit,
     "op12_warc": op12_warc,
+    "op13_merkle": op13_merkle,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL, "op11_filter_audit": OP11_SQL, "op12_warc": OP12_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL, "op11_filter_audit": OP11_SQL, "op12_warc": OP12_SQL, "op13_merkle": OP13_SQL}

@@ -101,10 +101,10 @@ def _records(batches: Iterator) -> Iterator:
         return path, head.decode("utf-8", "replace"), http + end, payload, whole
 
     def size(piece: bytes) -> int:
-        """Bytes of the record that begins with this piece; without a length, as many as there are."""
+        """Bytes of the record that begins with this piece, 0 if it has no length."""
         at = piece.find(END.encode())
         found = length.search(piece, 0, at + 1) if at >= 0 else None
-        return at + len(END) + int(found[1]) + len(END) if found else len(piece)
+        return at + len(END) + int(found[1]) + len(END) if found else 0
 
     for batch in batches:
         out = []
@@ -119,7 +119,7 @@ def _records(batches: Iterator) -> Iterator:
             else:
                 held += version + piece
             if len(held) >= need:
-                out.append(cut(bytes(held), len(held) == need and bool(length.search(held))))
+                out.append(cut(bytes(held), len(held) == need))
                 held = None
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names)
     if held is not None:
