@@ -47,9 +47,11 @@ def _head(*fields: tuple[str, Column]) -> Column:
 
 
 def _uri(c: Column) -> Column:
+    """A URL with its control characters and blanks percent-encoded."""
+    clean = c
     for code in (*range(0x21), 0x7F):
-        c = F.replace(c, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    return c
+        clean = F.replace(clean, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(c.rlike(r"[\x00-\x20\x7F]"), clean).otherwise(c)
 
 
 def _named(c: Column) -> Column:
@@ -81,8 +83,9 @@ def revisit_text(record_id: Column, uri: Column, date: Column, digest: Column, h
 
 
 def write_archives(texts: DataFrame, folder: str, text: str = "value") -> None:
-    """Write record texts as gzip archives, one file a task."""
-    texts.select(F.col(text).alias("value")).write.mode("overwrite").option("lineSep", END).option("compression", "gzip").text(folder)
+    """Write record texts as gzip archives, one file a task; compressed for speed, as they are written and read more than once."""
+    out = texts.select(F.col(text).alias("value")).write.mode("overwrite").option("lineSep", END)
+    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(folder)
 
 
 def _records(batches: Iterator) -> Iterator:
