@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,12 +67,19 @@ def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression that names a value several times, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def replace_first(c: Column, old: Column, new: Column) -> Column:
-    """Replace the first occurrence of a literal."""
-    at = F.position(old, c)
-    return F.when(
-        at > 0, F.concat(F.substr(c, F.lit(1), at - 1), new, F.substr(c, at + F.length(old)))
-    ).otherwise(c)
+    """Replace the first occurrence of a literal; the plan grows by one step for each of nested calls."""
+
+    def cut(text: Column) -> Column:
+        end = lambda at: F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(old)))
+        return once(F.position(old, text), lambda at: F.when(at > 0, end(at)).otherwise(text))
+
+    return once(c, cut)
 
 
 def promote_links(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import first_present, lookup, strip, truncate
@@ -11,15 +11,16 @@ from ..schemas import EOF_MARK, FAILURE_MARK, TOOL_LABEL
 from ..sources.readers import events
 
 
-def summary_lines(lines: DataFrame) -> DataFrame:
+def summary_lines(lines: DataFrame, observe: str | Observation | None = None) -> DataFrame:
     """The columns of ``lines`` besides value, with block (place in the event) and line.
 
-    Tool calls become a label with a detail, texts are stripped and cut, results report turns and seconds.
+    Tool calls become a label with a detail, texts are stripped and cut, results report turns and seconds. ``observe``
+    counts the lines that are no events, see :func:`~inkwell.sources.readers.events`.
     """
     rest = [c for c in lines.columns if c != "value"]
     kind = F.lower("event.type")
     some = F.when(kind == "assistant", F.col("event.message.content"))
-    each = events(lines).select(*rest, "event", F.posexplode_outer(some).alias("block", "b"))
+    each = events(lines, observe).select(*rest, "event", F.posexplode_outer(some).alias("block", "b"))
     i = lambda f: F.col(f"b.input.{f}")
     detail = F.concat(F.lit(" - "), first_present(*map(i, ("description", "command", "file_path", "query", "url"))))
     said = strip(F.col("b.text"))
@@ -40,7 +41,7 @@ def _last(keep: Column) -> list[Column]:
     return [F.max_by(F.when(keep, F.col("value")), at).alias("value"), F.max(at).alias("pos")]
 
 
-def _is_result() -> Column:
+def is_result() -> Column:
     return F.col("value").rlike('(?i)"type":"result"')
 
 
@@ -49,7 +50,7 @@ _RESULT = "is_error boolean, result string"
 
 def last_result(lines: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per key: pos, is_error and result of the last result event; one row of nulls without keys and events."""
-    found = lines.filter(_is_result()).groupBy(*keys).agg(*_last(_is_result()))
+    found = lines.filter(is_result()).groupBy(*keys).agg(*_last(is_result()))
     return found.select(*keys, "pos", F.from_json("value", _RESULT).alias("r")).select(*keys, "pos", "r.*")
 
 
@@ -68,7 +69,7 @@ def run_outcome(lines: DataFrame, exit_code: int, keys: tuple[str, ...] = ()) ->
     """Per run (all lines, or those of each key): failed, reason, error_text."""
     mark = F.regexp_extract("value", f"(?i){FAILURE_MARK}", 1)
     whole = lines.groupBy(*keys).agg(
-        F.min_by(mark, F.when(mark != "", F.col("pos"))).alias("mark"), F.max(F.col("value")).alias("output"), _last(_is_result())[0]
+        F.min_by(mark, F.when(mark != "", F.col("pos"))).alias("mark"), F.max(F.col("value")).alias("output"), _last(is_result())[0]
     ).withColumn("r", F.from_json("value", _RESULT))
     done = classify(F.lit(exit_code), F.col("r.is_error"), F.col("r.result"), F.col("mark"), F.col("output"))
     return whole.select(*keys, done.alias("o"), F.col("r.result").alias("error_text")).select(*keys, "o.*", "error_text")

@@ -11,7 +11,8 @@ from ..schemas import THEME_LABEL
 
 def migrate(pages: DataFrame, blocks: list[tuple[str, str]], old_crumb: str, site: str) -> DataFrame:
     """slug, html, skip_reason; html is the new page, or null where it is skipped."""
-    html, theme = F.col("html"), html_theme(F.col("html"))
+    html, theme = F.col("html"), F.col("_theme")
+    # Fixed value: the format of a page's breadcrumb.
     crumb = F.concat(
         F.lit(f'<p class="crumb"><a href="{site}">トップ</a><span>›</span><a href="{site}?theme='), theme, F.lit('">'),
         lookup(THEME_LABEL, theme), F.lit("</a><span>›</span>この記事</p>"),
@@ -25,7 +26,8 @@ def migrate(pages: DataFrame, blocks: list[tuple[str, str]], old_crumb: str, sit
     new = replace_first(html, F.lit(old_crumb), crumb)
     for old, fresh in blocks:
         new = replace_first(new, F.lit(old), F.lit(fresh))
-    return pages.select("slug", F.when(reason.isNull(), new).alias("html"), reason.alias("skip_reason"))
+    known = pages.select("slug", "html", html_theme(html).alias("_theme"))
+    return known.select("slug", F.when(reason.isNull(), new).alias("html"), reason.alias("skip_reason"))
 
 
 def report(done: DataFrame) -> DataFrame:

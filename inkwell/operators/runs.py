@@ -24,6 +24,13 @@ def due_notice(state: DataFrame) -> DataFrame:
     )
 
 
+def notices(checks: DataFrame, key: str = "key") -> DataFrame:
+    """From checks (key, last_run_date, today): one row per key and last run that was missed, of the first day that shows it."""
+    last, today = F.col("last_run_date").cast("date"), F.col("today").cast("date")
+    due = checks.withColumn("missed", missed_run(last, today)).filter("missed IS NOT NULL")
+    return due.groupBy(key, "last_run_date").agg(F.min("today").alias("today"), F.min_by("missed", "today").alias("missed"))
+
+
 def quotas(n: int) -> tuple[int, int]:
     return n, math.ceil(n * 1.5)
 

@@ -15,11 +15,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import stamp
+from ..functions.times import minutes_since
 from ..operators import catalog as C
 from ..operators import events, runs
 from ..schemas import EOF_MARK
 from ..sources import readers, sinks
+from ..streaming import summary
+from ..streaming.tail import tail
 
 Run = Callable[[str, str], int]
 Clock = Callable[[], datetime]
@@ -39,15 +41,10 @@ def control_line(folder: str, now: datetime, text: str) -> None:
     sinks.append_line(f"{folder}/control.log", f"[{now:%Y-%m-%d %H:%M:%S}] {text}")
 
 
-def stamped_lines(lines: DataFrame, now: datetime) -> DataFrame:
-    """Summary lines of an event log with the time they were written in front."""
-    at = F.concat(F.lit("["), stamp(F.lit(now), "line"), F.lit("] "))
-    return events.summary_lines(lines).withColumn("line", F.concat(at, F.col("line")))
-
-
-def keep_raw(lines: DataFrame, table: str, run: str) -> None:
-    """Append the captured lines to the raw table, one folder per run."""
-    lines.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(table)
+def keep_raw(lines: DataFrame, table: str, run: str, batch: int = 0) -> None:
+    """Append the lines of a run to the raw table. A batch of a run that is written again takes the place of itself."""
+    tagged = lines.withColumns({"run": F.lit(run), "batch": F.lit(batch)})
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch").parquet(table)
 
 
 def prepare(spark: SparkSession, folder: str, template: str, n: int) -> str:
@@ -58,25 +55,34 @@ def prepare(spark: SparkSession, folder: str, template: str, n: int) -> str:
 
 
 def attempt(spark: SparkSession, folder: str, prompt: str, run: Run, clock: Clock, number: int) -> DataFrame:
-    """One attempt: run, keep the raw lines, write the summary; returns the outcome row."""
+    """One attempt: run, while a stream writes its summary log line by line; keep the raw lines; returns the outcome row."""
     name = f"{clock():%Y%m%d-%H%M%S}-{number}"
-    captured = f"{folder}/captured/{name}.jsonl"
-    os.makedirs(os.path.dirname(captured), exist_ok=True)
+    captured, log = f"{folder}/captured/{name}.jsonl", f"{folder}/{name}-summary.log"
+    for path in (captured, log):
+        sinks.put(path, "")
     sinks.put(f"{folder}/run.pid", str(os.getpid()))
+    written = summary.summary_log(tail(spark, captured), log, f"{folder}/checkpoints/{name}")
     try:
         code = run(prompt, captured)
+        _end_line(captured)
+        written.processAllAvailable()
     finally:
         sinks.remove([f"{folder}/run.pid"])
-    if not os.path.exists(captured):
-        sinks.put(captured, "")
+        written.stop()
     lines = readers.lines(spark, captured)
     keep_raw(lines.drop("path"), f"{folder}/raw", name)
-    summary = stamped_lines(lines, clock())
-    at = F.struct("pos", "block")
-    sinks.lines(summary.withColumn("_at", at), f"{folder}/summary-{name}.log", "_at")
+    n, dropped = summary.line_counts(written)
+    control_line(folder, clock(), f"{n} lines, {dropped} of them no events")
     return events.run_outcome(lines, code)
 
 
+def _end_line(path: str) -> None:
+    """A line end after what a run wrote last, where it wrote none; lines are followed to their ends."""
+    with open(path, "rb+") as f:
+        if f.seek(0, os.SEEK_END) and f.seek(-1, os.SEEK_END) >= 0 and f.read(1) != b"\n":
+            f.write(b"\n")
+
+
 def wait_until(until: datetime, clock: Clock, sleep: Callable[[float], None], tell: Callable[[str], None], poll: float = 30, every: float = 600) -> None:
     """Look at the clock every ``poll`` seconds until a wall-clock time; says every ``every`` seconds how long it takes."""
     told = None
@@ -121,16 +127,35 @@ def delete_newest_logs(spark: SparkSession, folder: str, n: int = 4, pattern: st
     return sinks.remove([f"{folder}/{r.name}" for r in newest])
 
 
-def stop(spark: SparkSession, folder: str, processes: DataFrame, end: Callable[[int], None]) -> bool:
-    """End the recorded process if it still runs; the record goes in any case. True if one was ended."""
-    text = readers.cell_text(f"{folder}/run.pid")
-    try:
-        if text is None or not text.isdigit():
-            return False
-        alive = runs.alive(spark.createDataFrame([(int(text),)], "pid long"), processes).first()
-        if alive is None:
-            return False
-        end(alive.pid)
-        return True
-    finally:
-        sinks.remove([f"{folder}/run.pid"])
+@dataclass
+class Stopped:
+    """exit_code 1: the process outlived the grace time, and its record stays. ``lines`` are the last of the newest summary log."""
+
+    exit_code: int
+    ended: bool
+    minutes: float | None = None
+    log: str | None = None
+    lines: tuple[str, ...] = ()
+
+
+def stop(
+    spark: SparkSession, folder: str, processes: Callable[[], DataFrame], end: Callable[[int], None], clock: Clock, sleep: Callable[[float], None], grace: float = 2,
+) -> Stopped:
+    """End the recorded process if it still runs, and see that it has ended; processes: pid, started."""
+    record, text = f"{folder}/run.pid", readers.cell_text(f"{folder}/run.pid")
+    asked = spark.createDataFrame([(int(text),)] if text and text.isdigit() else [], "pid long")
+    since = minutes_since(F.col("started"), F.lit(clock()))
+    found = processes().join(asked, "pid", "left_semi").select("pid", since.alias("minutes")).first()
+    if found is None:
+        sinks.remove([record])
+        return Stopped(0, False)
+    end(found.pid)
+    sleep(grace)
+    if runs.alive(asked, processes()).take(1):
+        return Stopped(1, False, found.minutes)
+    sinks.remove([record])
+    newest = C.newest(readers.listing(spark, folder, "*-summary.log"), 1).first()
+    if newest is None:
+        return Stopped(0, True, found.minutes)
+    last = readers.last_lines(readers.lines(spark, newest.path), 10).collect()
+    return Stopped(0, True, found.minutes, newest.path, tuple(r.value for r in last))

@@ -5,7 +5,6 @@ Checks run on all inputs before the first side effect, unlike a loop that would
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,8 @@ from ..operators import catalog as C
 from ..operators import events, runs, validate
 from ..operators import migrate as M
 from ..sources import readers, sinks
+from ..sources.changes import Changes, recover
+from ..sources.storage import Store
 
 
 def build(spark: SparkSession, path: str, drafts: str, metas: str, site: str) -> tuple[int, list[str]]:
@@ -26,13 +27,18 @@ def build(spark: SparkSession, path: str, drafts: str, metas: str, site: str) ->
     warned = [r.slug for r in validate.without_digits(batch).orderBy("pos").collect()]
     last = batch.groupBy("slug").agg(F.max("pos").alias("pos"))  # of a slug named twice the last record counts
     rows = batch.join(last, ["slug", "pos"], "left_semi")
-    sinks.files_by_key(render(rows, site), drafts, "slug", "html", ".html")
-    sinks.json_by_key(C.to_meta(rows, site), metas, "slug")
+    store = Store(spark)
+    recover(store, drafts)
+    with Changes(store, drafts) as change:
+        change.files_by_key(render(rows, site), drafts, "slug", "html", ".html")
+        change.files_by_key(sinks.json_texts(C.to_meta(rows, site), "slug"), metas, "slug", "text", ".json")
     return batch.count(), warned
 
 
 def promote(spark: SparkSession, slugs: Sequence[str], drafts: str, metas: str, published: str, catalog: str, url_list: str, today: str, head: str = "") -> int:
-    """Move drafts to the published pages, put them in front of the catalog, renew the URL list."""
+    """Move drafts to the published pages, put them in front of the catalog, renew the URL list: all of it or nothing."""
+    store = Store(spark)
+    recover(store, published)
     asked = readers.arguments(spark, slugs)
     have, meta = readers.pages(spark, drafts), readers.metas(spark, metas)
     old = readers.catalog_articles(readers.catalog(spark, catalog))
@@ -42,10 +48,13 @@ def promote(spark: SparkSession, slugs: Sequence[str], drafts: str, metas: str,
     pages = C.in_list_order(asked, have).select("slug", promote_links(F.col("html")).alias("html"))
     rows = C.prepend(C.in_list_order(asked, meta), old).cache()
     [new] = C.as_catalog(rows, today).collect()  # the catalog is one file by its format
-    sinks.files_by_key(pages, published, "slug", "html", ".html")
-    sinks.put(catalog, sinks.pretty(new.asDict(recursive=True)))
-    sinks.lines(C.url_lines(rows), url_list, "pos", head=head)
-    sinks.remove(p for s in slugs for p in (f"{drafts}/{s}.html", f"{metas}/{s}.json"))
+    with Changes(store, published) as change:
+        change.files_by_key(pages, published, "slug", "html", ".html")
+        change.put(catalog, sinks.pretty(new.asDict(recursive=True)))
+        change.put(url_list, sinks.ordered_lines(C.url_lines(rows), "pos", head=head))
+        for s in slugs:
+            change.delete(f"{drafts}/{s}.html")
+            change.delete(f"{metas}/{s}.json")
     return len(slugs)
 
 
@@ -66,19 +75,26 @@ def notify(spark: SparkSession, slugs: Sequence[str], drafts: str, metas: str, d
     return sinks.notify(send, url, C.notification(rows, head).first().text)
 
 
-def migrate(spark: SparkSession, folder: str, out: str, blocks: list[tuple[str, str]], old_crumb: str, site: str) -> tuple[DataFrame, DataFrame]:
-    """Write migrated pages to a new folder; returns the numbers of migrated and skipped pages, and the skipped ones."""
-    if os.path.abspath(folder) == os.path.abspath(out):
-        raise ValueError("write to another folder, then swap")
+def migrate(spark: SparkSession, folder: str, blocks: list[tuple[str, str]], old_crumb: str, site: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rewrite the pages of a folder that match, in place and all at once, or write them to another folder.
+
+    Returns the numbers of migrated and skipped pages, and the skipped ones. New pages are written beside the old ones
+    before any is replaced, so Spark never overwrites what it reads.
+    """
+    store, out = Store(spark), out or folder
+    recover(store, out)
     done = M.migrate(readers.pages(spark, folder), blocks, old_crumb, site).cache()
-    sinks.files_by_key(done.filter("skip_reason IS NULL"), out, "slug", "html", ".html")
+    done.count()  # read before a page is replaced; the reports below are of the old pages
+    with Changes(store, out) as change:
+        change.files_by_key(done.filter("skip_reason IS NULL"), out, "slug", "html", ".html")
     return M.report(done), M.skipped(done)
 
 
-def summarise(spark: SparkSession, path: str, exit_code: int, now: str, no_retry: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Summary lines of a captured run, in order, and its outcome with the time to retry."""
+def summarise(spark: SparkSession, path: str, exit_code: int, now: str, no_retry: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Summary lines of a captured run, in order, its outcome with the time to retry, and its lines with those that are no events."""
     lines = readers.lines(spark, path)
-    return events.summary_lines(lines).orderBy("pos", "block"), events.retry_at(events.run_outcome(lines, exit_code), now, no_retry)
+    outcome = events.retry_at(events.run_outcome(lines, exit_code), now, no_retry)
+    return events.summary_lines(lines).orderBy("pos", "block"), outcome, readers.line_counts(lines)
 
 
 def missed_run(spark: SparkSession, folder: str, today: str, url: str | None, send: sinks.Transport) -> int | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, strip
@@ -47,9 +47,23 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("pos"))
 
 
-def events(df: DataFrame) -> DataFrame:
-    """Parse event lines (column value); lines that are no events are left out."""
-    return df.withColumn("event", F.from_json("value", EVENT)).filter("event.type IS NOT NULL")
+def events(df: DataFrame, observe: str | Observation | None = None) -> DataFrame:
+    """Parse event lines (column value); lines that are no events are left out.
+
+    With ``observe`` Spark counts them on the way, n lines and dropped of them, in the progress of a stream under that
+    name, or in an observation. A global sort of the rows reads them twice and so counts them twice; see
+    :func:`line_counts` for such plans.
+    """
+    parsed = df.withColumn("event", F.from_json("value", EVENT))
+    if observe is not None:
+        parsed = parsed.observe(observe, F.count(F.lit(1)).alias("n"), F.count_if(F.col("event.type").isNull()).alias("dropped"))
+    return parsed.filter("event.type IS NOT NULL")
+
+
+def line_counts(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per key: n lines, and dropped, those among them that are no events."""
+    none = F.from_json("value", EVENT)["type"].isNull()
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(none).alias("dropped"))
 
 
 def listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:

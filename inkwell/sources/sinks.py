@@ -1,6 +1,7 @@
 """Sinks. Plans stay pure; these functions carry out what a plan decided.
 
-Folders are paths of a file system that all executors mount. ``send`` is the transport of a webhook, a
+Pages, metadata, catalog and lists go through :class:`~inkwell.sources.changes.Changes`, to any file system. Small
+files of the running process (state cells, control log) are local paths. ``send`` is the transport of a webhook, a
 function of URL and JSON text that returns (ok, body); tests give their own.
 """
 
@@ -8,39 +9,35 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def put(path: str, text: str) -> None:
     """Write beside the target, then rename, so readers never see half a file."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    fd, name = tempfile.mkstemp(dir=os.path.dirname(path))
-    with os.fdopen(fd, "w", encoding="utf-8", newline="") as f:
-        f.write(text)
-    os.replace(name, path)
-
-
-def files_by_key(df: DataFrame, folder: str, key: str, text: str, suffix: str) -> None:
-    """One file per row, named by its key; an existing file is replaced."""
-
-    def write(rows: Iterable) -> None:
-        for r in rows:
-            put(f"{folder}/{r[key]}{suffix}", r[text])
-
-    df.select(key, text).foreachPartition(write)
+    name = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}"
+    try:
+        with open(name, "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+        os.replace(name, path)
+    except BaseException:
+        if os.path.exists(name):
+            os.unlink(name)
+        raise
 
 
-def json_by_key(df: DataFrame, folder: str, key: str) -> None:
-    """One JSON file of two-space indents per row; null fields are left out."""
+def json_texts(df: DataFrame, key: str) -> DataFrame:
+    """key, text: each row as JSON with two-space indents and a line end; null fields are left out."""
 
-    def write(rows: Iterable) -> None:
-        for r in rows:
-            put(f"{folder}/{r[key]}.json", pretty(r.asDict(recursive=True)))
+    @F.pandas_udf("string")
+    def indented(rows):
+        return rows.map(lambda r: json.dumps(json.loads(r), ensure_ascii=False, indent=2) + "\n")
 
-    df.foreachPartition(write)
+    return df.select(F.col(key), indented(F.to_json(F.struct(*df.columns))).alias("text"))
 
 
 def pretty(value: dict) -> str:
@@ -60,15 +57,11 @@ def remove(paths: Iterable[str]) -> list[str]:
     return gone
 
 
-def lines(df: DataFrame, path: str, order: str, line: str = "line", head: str = "") -> None:
-    """One text file of ordered lines below a head; the driver holds one partition of the sorted rows at a time."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    fd, name = tempfile.mkstemp(dir=os.path.dirname(path))
-    with os.fdopen(fd, "w", encoding="utf-8", newline="") as f:
-        f.write(head)
-        for r in df.orderBy(order).select(line).toLocalIterator():
-            f.write(f"{r[0]}\n")
-    os.replace(name, path)
+def ordered_lines(df: DataFrame, order: str, line: str = "line", head: str = "") -> Iterator[str]:
+    """A head and ordered lines, as the parts of one text file; the driver holds one partition of the sorted rows at a time."""
+    yield head
+    for r in df.orderBy(order).select(line).toLocalIterator():
+        yield f"{r[0]}\n"
 
 
 def append_line(path: str, line: str) -> None:

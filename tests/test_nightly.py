@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -47,9 +48,10 @@ def test_a_run_that_works(spark, tmp_path):
     w = World((0, [{"type": "assistant", "message": {"content": [{"type": "text", "text": "hi"}]}}, result(False, "done")]))
     assert go(spark, tmp_path, w) == N.Outcome(0, "", 1)
     assert w.prompts == ["4 to 6"] and w.sent == [] and readers.cell_text(f"{tmp_path}/run/last-run") == "2026-01-01"
-    [log] = [f for f in os.listdir(f"{tmp_path}/run") if f.startswith("summary-")]
-    assert open(f"{tmp_path}/run/{log}").read() == "[21:30:00]   💬 hi\n[21:30:00] 処理完了。ターン数: 2 / 所要時間: 2秒\n"
-    assert open(f"{tmp_path}/run/control.log").read() == "[2026-01-01 21:30:00] attempt 1\n[2026-01-01 21:30:00] 自動リサーチが完了しました\n"
+    [log] = [f for f in os.listdir(f"{tmp_path}/run") if f.endswith("-summary.log")]
+    assert re.fullmatch(r"\[\d\d:\d\d:\d\d\]   💬 hi\n\[\d\d:\d\d:\d\d\] 処理完了。ターン数: 2 / 所要時間: 2秒\n", open(f"{tmp_path}/run/{log}").read())
+    said = open(f"{tmp_path}/run/control.log").read().splitlines()
+    assert said == [f"[2026-01-01 21:30:00] {x}" for x in ("attempt 1", "2 lines, 0 of them no events", "自動リサーチが完了しました")]
     raw = spark.read.parquet(f"{tmp_path}/run/raw")
     assert raw.count() == 2 and [r.run for r in raw.select("run").distinct().collect()] == ["20260101-213000-1"]
     assert not os.path.exists(f"{tmp_path}/run/run.pid")
@@ -79,13 +81,29 @@ def test_tidying_up(spark, tmp_path):
     sinks.put(f"{tmp_path}/articles-batch-x.json", "[]")
     status = "?? automation/articles-batch-x.json\n?? automation/articles-batch-y.json\n M automation/other.json"
     assert N.delete_stale_batches(spark, status, str(tmp_path)) == [f"{tmp_path}/articles-batch-x.json"]
-    processes, ended = spark.createDataFrame([(7,), (8,)], "pid long"), []
-    for text, want in ((None, False), ("x", False), ("9", False), ("8", True)):
+
+
+def test_stop_sees_that_the_process_ended(spark, tmp_path):
+    running, slept, w = {7, 8}, [], World()
+    table = lambda: spark.createDataFrame([(p, w.now - timedelta(minutes=90)) for p in sorted(running)], "pid long, started timestamp")
+    stop = lambda end: N.stop(spark, str(tmp_path), table, end, w.clock, slept.append)
+    for text in (None, "x", "9"):
         if text:
             sinks.put(f"{tmp_path}/run.pid", text)
-        assert N.stop(spark, str(tmp_path), processes, ended.append) is want
-        assert not os.path.exists(f"{tmp_path}/run.pid")
-    assert ended == [8]
+        assert stop(running.remove) == N.Stopped(0, False) and not os.path.exists(f"{tmp_path}/run.pid")
+    sinks.put(f"{tmp_path}/run.pid", "8")
+    assert stop(lambda pid: None) == N.Stopped(1, False, 90.0) and os.path.exists(f"{tmp_path}/run.pid") and slept == [2]
+    sinks.put(f"{tmp_path}/1-summary.log", "".join(f"line {k}\n" for k in range(30)))
+    got = stop(running.remove)
+    assert (got.exit_code, got.ended, got.minutes) == (0, True, 90.0) and got.log.endswith("/1-summary.log")
+    assert got.lines == tuple(f"line {k}" for k in range(20, 30)) and not os.path.exists(f"{tmp_path}/run.pid") and running == {7}
+
+
+def test_raw_lines_of_a_batch_are_kept_once(spark, tmp_path):
+    lines = spark.createDataFrame([("a", 1), ("b", 2)], "value string, pos long")
+    for run, batch in (("r", 0), ("r", 0), ("r", 1), ("s", 0), ("r", 1)):
+        N.keep_raw(lines, str(tmp_path / "raw"), run, batch)
+    assert spark.read.parquet(str(tmp_path / "raw")).groupBy("run", "batch").count().orderBy("run", "batch").collect() == [("r", 0, 2), ("r", 1, 2), ("s", 0, 2)]
 
 
 def test_small_readers(spark, tmp_path):
