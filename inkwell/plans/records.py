@@ -6,6 +6,7 @@ expressions; the operator then does the work, and the SQL says the same from the
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
@@ -16,15 +17,16 @@ from ..operators import events as E
 from ..operators import migrate as M
 from ..operators import runs, validate
 from ..schemas import TOOL_LABEL
-from ..sources import readers
-from ..streaming import summary
+from ..sources import readers, scratch
+from ..streaming import state, summary
+from . import nightly
 from .registry import ORACLE_SQL, QUERIES, _t, query
 
 SITE = "https://site.example/media"
 
 
 def _articles(spark, d):
-    """Article records of pages; every fourth has no known theme."""
+    """Article records of pages; every fourth has no known theme. They are related to their first link and to the page of twice their number."""
     page = F.col("page_id")
     themes = F.array(*map(F.lit, ("visibility", "optimization", "measurement", "other")))
     links = D.page_links(F.col("html"))
@@ -35,7 +37,9 @@ def _articles(spark, d):
         F.lit("2024年2月1日").alias("dateDisplay"), F.array(F.lit("google"), F.lit("x")).alias("platforms"), F.lit("seller").alias("viewpoint"),
         F.get(themes, (page % 4).cast("int")).alias("theme"), F.lit("t.png").alias("thumbnail"), F.lit("why & how").alias("background"),
         links.alias("bullets"), F.slice(links, 1, 3).alias("cardBullets"), F.lit("<so>").alias("meaning"),
-        F.transform(F.slice(links, 1, 2), lambda x: F.struct(F.replace(x, F.lit("/"), F.lit("")).alias("slug"), F.lit("R & D").alias("title"))).alias("related"),
+        F.transform(
+            F.array(F.replace(F.get(links, 0), F.lit("/"), F.lit("")), (page * 2 + 1).cast("string")), lambda x: F.struct(x.alias("slug"), F.lit("R & D").alias("title"))
+        ).alias("related"),
     )
 
 
@@ -47,7 +51,7 @@ _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
     'Google/x' AS platforms, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS source, '2024年2月1日' AS date_display,
     CASE WHEN page_id % 2 = 0 THEN '<' || {_TITLE} || '> & "''' END AS orig_title, 'why & how' AS background, '<so>' AS message,
     url AS source_url, 't.png' AS thumbnail_url, array_to_string({_LINKS}, ' ') AS bullets,
-    (SELECT string_agg('../' || replace(x, '/', '') || '.html R & D', ' ') FROM unnest({_LINKS}[1:2]) AS t(x)) AS related
+    '../' || replace({_LINKS}[1], '/', '') || '.html R & D ../' || 2 * page_id + 1 || '.html R & D' AS related
     FROM pages WHERE page_id % 4 < 3""")
 def article_round_trip(spark, d):
     """Rendered pages, read again."""
@@ -87,16 +91,17 @@ def promotion_problems(spark, d):
     return validate.promotable(asked, slug(labels), slug(labels.filter("quality = 1")), slug(labels.filter("toxic = 1"))).select("slug", "problem")
 
 
-_OLD = ("</article>", "</nav>", "</body>")
+#: What every page, most pages and some pages hold.
+_OLD = ("</article>", "</body>", "<br><p>")
 
 
 @query("""WITH h AS (SELECT page_id, replace(replace(html, '<html lang="en"', '<html class="cat theme-visibility"'), '<html lang="fr"', '<html class="cat theme-measurement"') AS h FROM pages),
     t AS (SELECT *, nullif(regexp_extract(h, 'class="cat theme-(visibility|measurement)"', 1), '') AS theme FROM h),
-    r AS (SELECT *, CASE WHEN NOT contains(h, '</article>') OR NOT contains(h, '</nav>') THEN 'markup' WHEN theme IS NULL THEN 'theme' WHEN NOT contains(h, '</body>') THEN 'breadcrumb' END AS reason FROM t),
-    a AS (SELECT *, substr(h, 1, instr(h, '</body>') - 1) || '<p class="crumb"><a href="s">トップ</a><span>›</span><a href="s?theme=' || theme || '">'
-        || CASE theme WHEN 'visibility' THEN '検索結果・購買導線の変化' ELSE '計測・分析' END || '</a><span>›</span>この記事</p>' || substr(h, instr(h, '</body>') + 7) AS b FROM r),
+    r AS (SELECT *, CASE WHEN NOT contains(h, '</article>') OR NOT contains(h, '</body>') THEN 'markup' WHEN theme IS NULL THEN 'theme' WHEN NOT contains(h, '<br><p>') THEN 'breadcrumb' END AS reason FROM t),
+    a AS (SELECT *, substr(h, 1, instr(h, '<br><p>') - 1) || '<p class="crumb"><a href="s">トップ</a><span>›</span><a href="s?theme=' || theme || '">'
+        || CASE theme WHEN 'visibility' THEN '検索結果・購買導線の変化' ELSE '計測・分析' END || '</a><span>›</span>この記事</p>' || substr(h, instr(h, '<br><p>') + 7) AS b FROM r),
     c AS (SELECT *, substr(b, 1, instr(b, '</article>') - 1) || '<hr>' || substr(b, instr(b, '</article>') + 10) AS e FROM a)
-    SELECT page_id::VARCHAR AS slug, reason AS skip_reason, CASE WHEN reason IS NULL THEN md5(substr(e, 1, instr(e, '</nav>') - 1) || '<hr>' || substr(e, instr(e, '</nav>') + 6)) END AS page FROM c""")
+    SELECT page_id::VARCHAR AS slug, reason AS skip_reason, CASE WHEN reason IS NULL THEN md5(substr(e, 1, instr(e, '</body>') - 1) || '<hr>' || substr(e, instr(e, '</body>') + 7)) END AS page FROM c""")
 def migrated_pages(spark, d):
     return _migrated(spark, d).select("slug", "skip_reason", F.md5(F.col("html").cast("binary")).alias("page"))
 
@@ -110,13 +115,14 @@ def _migrated(spark, d):
 
 
 @query("""SELECT count(*) FILTER (ok) AS migrated, count(*) FILTER (NOT ok) AS skipped FROM (
-    SELECT contains(html, '</article>') AND contains(html, '</nav>') AND contains(html, '</body>') AND regexp_matches(html, '<html lang="(en|fr)"') AS ok FROM pages)""")
+    SELECT contains(html, '</article>') AND contains(html, '<br><p>') AND contains(html, '</body>') AND regexp_matches(html, '<html lang="(en|fr)"') AS ok FROM pages)""")
 def migration_report(spark, d):
     return M.report(_migrated(spark, d))
 
 
-def _event_lines(spark, d):
+def _event_lines(spark, d, rows=None):
     """Lines of agent logs, one run per user: results, tool calls, texts, failure marks and lines that are no events."""
+    rows = _t(spark, d, "events") if rows is None else rows
     i = F.col("event_id")
     kind = F.col("event_type")
     tool = F.struct(F.lit("tool_use").alias("type"), F.lit("bASH").alias("name"), F.struct(F.lit("").alias("description"), F.col("props").alias("command")).alias("input"))
@@ -130,7 +136,7 @@ def _event_lines(spark, d):
         F.when(i % 5 == 0, F.to_json(result)).when(i % 5 == 1, F.to_json(message(tool))).when(i % 5 == 2, F.to_json(message(said)))
         .when(i % 35 == 3, F.concat(F.lit("x NIGHTLY_RESEARCH_FAILED: "), kind)).otherwise("no event")
     )
-    return _t(spark, d, "events").select("user_id", i.alias("pos"), value.alias("value"))
+    return rows.select("user_id", i.alias("pos"), value.alias("value"), *(["at"] if "at" in rows.columns else []))
 
 
 @query(r"""SELECT event_id AS pos, 0 AS block, CASE event_id % 5
@@ -172,6 +178,92 @@ def run_outcomes(spark, d):
     return E.retry_at(done, "2024-01-31 18:04:00").withColumn("retry_at", F.col("retry_at").cast("timestamp_ntz"))
 
 
+@query(r"""SELECT doc_id AS pos, '  → コマンド実行' || CASE WHEN coalesce(text, '') = '' THEN '' WHEN length(' - ' || text) > 100 THEN substr(' - ' || text, 1, 100) || '...' ELSE ' - ' || text END AS line FROM documents""")
+def document_tool_lines(spark, d):
+    """Summary lines of tool calls with whole documents as their commands, most of them cut."""
+    block = F.struct(F.lit("tool_use").alias("type"), F.lit("Bash").alias("name"), F.struct(F.col("text").alias("command")).alias("input"))
+    value = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(block).alias("content")).alias("message")))
+    return E.summary_lines(_t(spark, d, "documents").select(F.col("doc_id").alias("pos"), value.alias("value"))).drop("block")
+
+
+@query("""SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 5 >= 3) AS dropped FROM events GROUP BY user_id""")
+def dropped_lines(spark, d):
+    """Lines of each user's run, and those among them that are no events."""
+    return readers.line_counts(_event_lines(spark, d), ("user_id",))
+
+
+@query("SELECT event_id AS pos, (event_id % 9)::INT AS num_turns FROM events WHERE event_id % 5 = 0")
+def captured_results(spark, d):
+    """Result events of a captured log that is written as text files and read back."""
+    path = scratch.folder(spark, "captured")
+    _event_lines(spark, d).select(F.concat(F.col("pos").cast("string"), F.lit("\t"), F.col("value")).alias("value")).write.text(path)
+    cut = F.split("value", "\t", 2)
+    lines = readers.lines(spark, path).select(cut[0].cast("long").alias("pos"), cut[1].alias("value"))
+    return readers.events(lines).filter("event.type = 'result'").select("pos", "event.num_turns")
+
+
+@query("SELECT user_id, event_id AS pos FROM events")
+def raw_lines_kept_once(spark, d):
+    """The raw table of a run whose first batch was written twice, the second time after the second batch."""
+    lines, table = _event_lines(spark, d), scratch.folder(spark, "raw")
+    early = F.col("pos") < 1000
+    for k, part in ((0, lines.filter(early)), (1, lines.filter(~early)), (0, lines.filter(early))):
+        nightly.keep_raw(part, table, "run", k)
+    return spark.read.parquet(table).select("user_id", "pos")
+
+
+_NOTICES = """SELECT user_id::VARCHAR AS key, strftime(last, '%Y-%m-%d') AS last_run_date, strftime(today, '%Y-%m-%d') AS today, (today - last - 1)::INT AS missed
+    FROM (SELECT user_id, last, CASE WHEN day - last > 1 THEN day ELSE day + 3 END AS today FROM (
+        SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS last FROM (SELECT DISTINCT user_id, ts::DATE AS day FROM events))) WHERE last IS NOT NULL"""
+
+
+def _checks(spark, d, later=0):
+    """A check of every user at every event, or some days later: the day with events before is the last run."""
+    days = _t(spark, d, "events").select("user_id", F.to_date("ts").alias("day"))
+    last = days.distinct().withColumn("last", F.lag("day").over(Window.partitionBy("user_id").orderBy("day")))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return days.join(last, ["user_id", "day"]).select(
+        F.col("user_id").cast("string").alias("key"), text("last").alias("last_run_date"), text(F.date_add("day", later)).alias("today")
+    )
+
+
+@query(_NOTICES)
+def run_notices(spark, d):
+    """Missed days of every user, once for each day before them, though every event shows them, and again three days later."""
+    return runs.notices(_checks(spark, d).unionByName(_checks(spark, d, 3))).select("key", "last_run_date", "today", "missed")
+
+
+@query(_NOTICES)
+def streamed_notices(spark, d):
+    """The same from a stream with state, stopped after the checks of the days and started again for the later ones."""
+    folder = scratch.folder(spark, "notices")
+    for later in (0, 3):
+        _checks(spark, d, later).write.mode("append").parquet(f"{folder}/checks")
+        checks = spark.readStream.schema("key string, last_run_date string, today string").parquet(f"{folder}/checks")
+        out = state.notices(checks).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("""SELECT user_id::VARCHAR AS run, max(event_id) AS pos, arg_max(event_id % 15 = 0, event_id) AS is_error, arg_max('resets ' || event_id % 12 + 1 || 'pm', event_id) AS result
+    FROM events WHERE event_id % 5 = 0 GROUP BY user_id""")
+def streamed_last_results(spark, d):
+    """The last result of each user's run as a stream of the table leaves it: the newest row of every run's updates."""
+    folder = scratch.folder(spark, "results")
+    rows = spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events.[p]arquet")  # a pattern, since the table may be one file
+    rows = rows.withColumn("at", F.col("ts").cast("timestamp"))
+    lines = _event_lines(spark, d, rows).select(F.col("user_id").alias("run"), F.col("at").alias("ts"), "pos", "value")
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = state.last_results(lines).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema("run string, pos long, is_error boolean, result string, closed boolean, batch int").parquet(f"{folder}/out")
+    newest = done.groupBy("run").agg(F.max_by(F.struct("pos", "is_error", "result"), F.struct("batch", "pos")).alias("r"))
+    return newest.select("run", "r.*")
+
+
 @query("""SELECT event_id, event_id % 11 < 2 AS ends FROM events""")
 def terminal_lines(spark, d):
     i = F.col("event_id")
@@ -180,10 +272,12 @@ def terminal_lines(spark, d):
 
 
 @query("""SELECT user_id, date_diff('day', last, DATE '2024-02-02') - 1 AS missed FROM (
-    SELECT user_id, max(ts)::DATE AS last, min(ts)::DATE AS notified FROM events GROUP BY user_id) WHERE last < DATE '2024-02-01' AND last <> notified""")
+    SELECT user_id, max(ts)::DATE AS last, max(ts) FILTER (event_type = 'error')::DATE AS notified FROM events GROUP BY user_id) WHERE last < DATE '2024-02-01' AND last IS DISTINCT FROM notified""")
 def due_notices(spark, d):
+    """Users by their last day with an event; those whose last day had an error were notified of it."""
     day = F.date_format("ts", "yyyy-MM-dd")
-    state = _t(spark, d, "events").groupBy("user_id").agg(F.max(day).alias("last_run_date"), F.min(day).alias("notified_date"))
+    error = F.when(F.col("event_type") == "error", day)
+    state = _t(spark, d, "events").groupBy("user_id").agg(F.max(day).alias("last_run_date"), F.max(error).alias("notified_date"))
     return runs.due_notice(state.withColumn("today", F.lit("2024-02-02"))).select("user_id", F.col("missed").cast("long"))
 
 
@@ -251,7 +345,7 @@ def candidates_within_quota(spark, d):
     return runs.within_quota(C.usable(_candidates(spark, d), "2024-02-05"), 4, F.desc("published"), "url").select("url", "published")
 
 
-@query(f"""SELECT page_id::VARCHAR AS slug, s AS related_slug FROM (SELECT page_id, replace(unnest({_LINKS}[1:2]), '/', '') AS s FROM pages)
+@query(f"""SELECT page_id::VARCHAR AS slug, s AS related_slug FROM (SELECT page_id, unnest([replace({_LINKS}[1], '/', ''), (2 * page_id + 1)::VARCHAR]) AS s FROM pages)
     WHERE s NOT IN (SELECT page_id::VARCHAR FROM pages)""")
 def unresolved_links(spark, d):
     return C.unresolved_links(_articles(spark, d).select("slug", "related"))

@@ -203,20 +203,22 @@ def catalog_prepend(spark, d):
     return C.prepend(promoted, rest).select(F.col("slug").cast("long").alias("doc_id"), "pos")
 
 
-@query(r"""SELECT url FROM (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS url FROM pages)
-    WHERE url NOT IN (SELECT url FROM pages)""")
+@query(r"""SELECT url FROM (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') || unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS url FROM pages
+    UNION ALL SELECT regexp_extract(url, '^[^?#]*') FROM pages) WHERE url NOT IN (SELECT url FROM pages)""")
 def exact_url_dedup(spark, d):
-    """Links within the sites of all pages, as candidates, without those whose exact URL is a page's."""
+    """Links within the sites of all pages, and the pages' own URLs without query and fragment, less those that are a page's exact URL."""
     pages = _t(spark, d, "pages")
     links = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
     candidates = pages.select(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("site"), F.explode(links).alias("link"))
-    return C.unused(candidates.select(F.concat("site", "link").alias("url")), pages)
+    bare = pages.select(F.regexp_extract("url", "^[^?#]*", 0).alias("url"))
+    return C.unused(candidates.select(F.concat("site", "link").alias("url")).unionByName(bare), pages)
 
 
-@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, '- ' || doc_id AS line FROM documents WHERE lang <> ''")
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, '- ' || doc_id AS line FROM documents WHERE lang IN ('en', 'de')")
 def url_list_by_source(spark, d):
-    """The numbered lines of each source's list; no list is put together in one row."""
-    rows = _t(spark, d, "documents").filter(~X.missing(F.col("lang"))).select("doc_id", "source", F.col("doc_id").cast("string").alias("sourceUrl"))
+    """The numbered lines of each source's list; Spanish documents have an empty URL, French ones none. No list is put together in one row."""
+    url = F.when(F.col("lang") == "es", "").when(F.col("lang") != "fr", F.col("doc_id").cast("string"))
+    rows = _t(spark, d, "documents").select("doc_id", "source", url.alias("sourceUrl"))
     return C.numbered(C.url_lines(rows), "doc_id", ("source",)).select("doc_id", "source", "number", "line")
 
 
