@@ -35,7 +35,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def page_catalog(spark, d):
     return _t(spark, d, "pages").select(
         "page_id", D.page_title(F.col("html")).alias("title"), X.url_host(F.col("url")).alias("host"),
-        F.size(F.regexp_extract_all("html", F.lit('href="'), F.lit(0))).alias("n_links"),
+        F.size(D.page_links(F.col("html"))).alias("n_links"),
     )
 
 
@@ -134,12 +134,12 @@ def unlabelled_documents(spark, d):
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)
-SELECT doc_id, 'card_count' AS rule, 0 AS ord FROM l WHERE len(a) <> 3
-UNION ALL SELECT doc_id, 'card_width', (i - 1)::INT FROM (SELECT doc_id, unnest(range(1, 4)) AS i, a FROM l WHERE len(a) = 3)
-WHERE length(a[i]) - 0.5 * length(regexp_replace(a[i], '[^\x20-\x7E]', '', 'g')) > 55""")
+SELECT doc_id, 'card_count' AS rule, 0 AS ord, printf('[%d] %d: %d card bullets instead of 3', doc_id, doc_id, len(a)) AS message FROM l WHERE len(a) <> 3
+UNION ALL SELECT doc_id, 'card_width', (i - 1)::INT, printf('[%d] %d: card bullet %d is %.1f units wide, 55 at most; to be written anew: ', doc_id, doc_id, i - 1, w) || a[i]
+FROM (SELECT *, length(a[i]) - 0.5::DOUBLE * length(regexp_replace(a[i], '[^\x20-\x7E]', '', 'g')) AS w FROM (SELECT doc_id, unnest(range(1, 4)) AS i, a FROM l WHERE len(a) = 3)) WHERE w > 55""")
 def card_rule_violations(spark, d):
     rows = _t(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("slug"), F.split("text", "\n", -1).alias("cardBullets"))
-    return validate.card_bullets(rows).select(F.col("pos").alias("doc_id"), "rule", "ord")
+    return validate.card_bullets(rows).select(F.col("pos").alias("doc_id"), "rule", "ord", "message")
 
 
 @query("""SELECT doc_id, 'text' AS field FROM documents WHERE text IS NULL OR text = ''
