@@ -12,8 +12,9 @@ of both distances of the drawn member, and whatever is near enough for that is l
 large after the last split is linked as it is, so nothing is dropped.
 
 The number of runs follows from ``target``, the share of pairs at the threshold that must meet: see
-:func:`plan`. At 0.8 and 0.99999 three branches and 12 runs are needed; a pair all of whose meetings lie five
-splits deep is missed with a chance of 7e-6, one that meets in buckets that are small at once with 4e-9.
+:func:`plan`. At 0.8 and 0.99999 three branches and 19 runs are needed; a pair all of whose meetings lie five
+splits deep is missed with a chance of 7e-6. Runs take their coordinates from one signature, so they are not
+independent; the plan counts that in, and a test holds it against drawn agreements.
 
 The pairs found link sets to families (connected components). Within a family all pairs are verified
 exactly on the sets of the whole texts, by matrix products; a large family is dealt to tasks by pairs of
@@ -55,25 +56,52 @@ FACTORS = _draw.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2)
 SHIFTS = _draw.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 
 
-#: The order in which coordinates are taken: the first ones by the runs, the others by the splits.
-ORDER = _draw.permutation(COORDINATES).tolist()
+def routes(runs: int, branches: int, splits: int = SPLITS) -> list[tuple[int, list[list[list[int]]]]]:
+    """Of each run: its first coordinate, and the coordinates of every branch of every split.
+
+    Each run shuffles all coordinates anew; its splits take disjoint slices, and so do the branches of a split, so that
+    no coordinate comes twice on a path.
+    """
+    draw, out = np.random.default_rng(20_240_502), []
+    first = draw.permutation(COORDINATES).tolist()
+    width = (COORDINATES - 1) // splits
+    for run in range(runs):
+        rest = draw.permutation([c for c in range(COORDINATES) if c != first[run]]).tolist()
+        slices = [rest[k * width : (k + 1) * width] for k in range(splits)]
+        out.append((first[run], [[s[b * TOGETHER : (b + 1) * TOGETHER] for b in range(branches)] for s in slices]))
+    return out
+
+
+def missed(percent: int, runs: int, branches: int, splits: int = SPLITS) -> float:
+    """The chance that a pair of this similarity that needs all splits meets in none of the runs.
+
+    All runs read one signature. How many of its coordinates agree is binomial; given that number, the runs, which
+    shuffle the coordinates, are taken as independent. A run succeeds if its first coordinate agrees and each split
+    has a branch whose coordinates all agree.
+    """
+    j, out = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        share = k / COORDINATES
+        together = math.prod(max(k - i, 0) / (COORDINATES - i) for i in range(TOGETHER))
+        deep = share * (1 - (1 - together) ** branches) ** splits
+        out += math.comb(COORDINATES, k) * j**k * (1 - j) ** (COORDINATES - k) * (1 - deep) ** runs
+    return out
 
 
 def plan(percent: int, target: float = TARGET, splits: int = SPLITS) -> tuple[int, int]:
     """(runs, branches) such that a pair at the threshold meets with a chance of ``target`` at the least.
 
-    A pair of similarity j agrees at a run's first coordinate with chance j and survives a split into b
-    branches of k coordinates with 1 - (1 - j^k)^b; b is the smallest number that makes this ``SURVIVE`` or
-    more. A run that needs all splits then succeeds with j times that to the power of ``splits``, and runs are
-    independent.
+    A pair of similarity j survives a split into b branches of k coordinates with 1 - (1 - j^k)^b; b is the smallest
+    number that makes this ``SURVIVE`` or more. The runs are as many as :func:`missed` asks for. Signatures of
+    ``COORDINATES`` values have room for that from 50 per cent up; below, and for a target out of reach, it is a ValueError.
     """
     j = min(percent / 100, 1 - 1e-9)
     branches = math.ceil(math.log(1 - SURVIVE) / math.log(1 - j**TOGETHER))
-    deep = j * (1 - (1 - j**TOGETHER) ** branches) ** splits
-    runs = math.ceil(math.log(1 - target) / math.log(1 - deep))
-    if runs + branches * TOGETHER * splits > COORDINATES:
-        raise ValueError(f"{percent} per cent and a recall of {target} need more than {COORDINATES} coordinates")
-    return runs, branches
+    if branches * TOGETHER * splits < COORDINATES:
+        for runs in range(1, COORDINATES + 1):
+            if missed(percent, runs, branches, splits) <= 1 - target:
+                return runs, branches
+    raise ValueError(f"{percent} per cent and a recall of {target} need more than {COORDINATES} coordinates")
 
 
 class Shingler:
@@ -186,10 +214,9 @@ def candidate_links(reps: DataFrame, space: Workspace, percent: int, small: int
             b.append(ids[order][root[linked]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    links = []
-    first = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.get("sig", F.lit(ORDER[r]))).alias("path")) for r in range(runs)])
+    links, ways = [], routes(runs, branches, splits)
+    first = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.get("sig", F.lit(way[0]))).alias("path")) for r, way in enumerate(ways)])
     paths = reps.select("id", F.explode(first).alias("p")).select("id", "p.*")
-    later = F.array(*map(F.lit, ORDER[runs:]))
     for level in range(splits):
         # Written, so that the join below has plain exchanges on both sides and a hot path can be split.
         sizes = space.save(paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), f"sizes-{level}")
@@ -207,10 +234,10 @@ def candidate_links(reps: DataFrame, space: Workspace, percent: int, small: int
             F.aggregate(F.zip_with("sig", h["sig"], lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y).alias("same"),
         )
         split = []
-        for k in range(branches):  # no coordinate twice on a path
+        for k in range(branches):
             value = F.col("path")
             for c in range(TOGETHER):
-                at = F.get(later, (F.col("run") * 7 + (level * branches + k) * TOGETHER + c) % (COORDINATES - runs))
+                at = F.get(F.lit([way[1][level][k][c] for way in ways]), F.col("run"))
                 value = F.xxhash64(value, at, F.get("sig", at))
             split.append(value)
         met = space.save(

@@ -1,6 +1,7 @@
 """The join against brute force."""
 
 import numpy as np
+import pytest
 
 from inkwell.llm import jaccard_join as j
 
@@ -59,13 +60,29 @@ def test_join_equals_brute_force(spark, monkeypatch):
 
 
 def test_plan_meets_the_target():
-    assert j.plan(80) == (12, 3)
-    for percent in (60, 80, 95, 100):
-        runs, branches = j.plan(percent)
-        p = percent / 100
-        deep = p * (1 - (1 - p**j.TOGETHER) ** branches) ** j.SPLITS
-        assert (1 - deep) ** runs <= 1 - j.TARGET
-    assert sorted(j.ORDER) == list(range(j.COORDINATES))
+    """Agreements of signatures are drawn, and the runs of the plan walked through them."""
+    assert j.plan(80) == (19, 3)
+    for percent, target, pairs in ((80, j.TARGET, 1_000_000), (80, 0.99, 100_000), (60, 0.995, 100_000), (50, 0.99, 100_000), (95, 0.9999, 200_000)):
+        runs, branches = j.plan(percent, target)
+        lost, rng = 0, np.random.default_rng(percent)
+        for _ in range(pairs // 100_000):
+            agree = rng.random((j.COORDINATES, 100_000), dtype=np.float32) < percent / 100
+            met = np.zeros(100_000, bool)
+            for first, splits in j.routes(runs, branches):
+                survives = agree[first].copy()
+                for split in splits:
+                    survives &= np.any([agree[b].all(0) for b in split], 0)
+                met |= survives
+            lost += int((~met).sum())
+        most = (1 - target) * pairs
+        assert lost <= most + 4 * most**0.5
+        for first, splits in j.routes(runs, branches):
+            used = [first, *(c for s in splits for b in s for c in b)]
+            assert len(set(used)) == len(used) and max(used) < j.COORDINATES
+    for percent in (30, 45):
+        with pytest.raises(ValueError, match="coordinates"):
+            j.plan(percent)
+    assert j.plan(100)[1] == 1
 
 
 def test_recall_where_every_bucket_is_large(spark, monkeypatch):
