@@ -13,7 +13,7 @@ from .quality_rules import OP3_SQL, op3_quality_rules
 from .substring_dedup import op8_substring_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op9_toxicity
-from .url_filter import op6_url_filter
+from .url_filter import OP6_RULES_SQL, op6_rules, op6_url_filter
 from .warc import OP12_SQL, op12_warc
 
 QUERIES = {
@@ -30,5 +30,6 @@ QUERIES = {
     "op11_filter_audit": op11_filter_audit,
     "op12_warc": op12_warc,
     "op13_merkle": op13_merkle,
+    "url_rules": op6_rules,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL, "op11_filter_audit": OP11_SQL, "op12_warc": OP12_SQL, "op13_merkle": OP13_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_quality_rules": OP3_SQL, "op11_filter_audit": OP11_SQL, "op12_warc": OP12_SQL, "op13_merkle": OP13_SQL, "url_rules": OP6_RULES_SQL}
