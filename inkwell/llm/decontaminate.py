@@ -3,11 +3,11 @@
 A benchmark item leaks into a document if tiles - non-overlapping common runs of at least ``least``
 tokens, in any order - cover a given share of the item. Documents meet items over shared token seeds
 (runs of ``least`` tokens). The seeds of an item that occur in the document bound what tiles can cover,
-so only pairs whose seeds cover enough are tiled: running Karp-Rabin looks for matches of a length that
-falls from the longest possible to ``least``, and marks the longest unmarked matches first. A match is found
-once, at its first token, and its length is read off prefix fingerprints by halving; so a long run of one
-repeated token, or of a repeated phrase, gives as many matches as it has tokens, not as many as it has pairs
-of tokens. Marked matches are compared token by token.
+so only pairs whose seeds cover enough are tiled: running Karp-Rabin fingerprints give the longest match of every
+place of the document, and the longest unmarked matches are marked first. A place keeps one match, not all of
+them, and looks for its next best only when its turn comes and that match is taken; so a long run of one
+repeated token, or a phrase that is repeated between other tokens, gives as many matches as the document has
+places, not as many as there are pairs of places. Marked matches are compared token by token.
 
 The benchmark is the small side of the seed join. It is sent to the tasks in blocks of ``block_chars``
 characters, cut by running length (the last item of a block may go beyond). A task holds some
@@ -80,35 +80,122 @@ class Prints:
         return low
 
 
+def suffix_order(ids: np.ndarray) -> np.ndarray:
+    """Places of a text in the order of what begins there, by doubling the length that is compared."""
+    rank, size = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
+    while len(ids) and rank.max() < len(ids) - 1:
+        later = np.zeros(len(ids), np.int64)
+        later[: len(ids) - size] = rank[size:] + 1
+        rank = np.unique(rank * (len(ids) + 1) + later, return_inverse=True)[1].astype(np.int64)
+        size *= 2
+    return np.argsort(rank)
+
+
+def longest_matches(doc: Prints, at: np.ndarray, item: Prints) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place in the document: the length of the longest run that is somewhere in the item, and its first place there.
+
+    The document's suffix is looked up among the item's sorted suffixes; the longest match is with one that the
+    search compares it to. The fingerprints of the item's runs of that length then tell the first that is the same.
+    """
+    order, size = suffix_order(item.ids), len(item.ids)
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), size)
+    best, some = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    while (open_ := low < high).any():
+        middle = np.minimum((low + high) // 2, size - 1)
+        there = order[middle]
+        n = doc.agree(at, item, there, np.minimum(len(doc.ids) - at, size - there))
+        better = open_ & (n > best)
+        best, some = np.where(better, n, best), np.where(better, there, some)
+        ends_i, ends_d = there + n >= size, at + n >= len(doc.ids)
+        token_d, token_i = doc.ids[np.minimum(at + n, len(doc.ids) - 1)], item.ids[np.minimum(there + n, size - 1)]
+        after = ends_i | (~ends_d & (token_d > token_i))
+        low, high = np.where(open_ & after, middle + 1, low), np.where(open_ & ~after, middle, high)
+    first = np.zeros(len(at), np.int64)
+    by = np.argsort(best, kind="stable")
+    cuts = np.flatnonzero(np.append(True, best[by][1:] != best[by][:-1])) if len(by) else []
+    for mine in np.split(by, cuts[1:]) if len(by) else []:
+        if n := int(best[mine[0]]):
+            _, where, same = np.unique(window_hashes(item.ids, n), return_index=True, return_inverse=True)
+            first[mine] = where[same[some[mine]]]
+    return best, first
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (doc start, item start, length), the longest matches first."""
-    free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
+    """Greedy string tiling: (doc start, item start, length), the longest matches first, of equal ones the first in the document, then in the item.
+
+    Every place of the document waits with its longest match. If that has been marked in part when its turn comes, the
+    place's longest free match is looked for then, among the places of the item that begin alike. Places whose
+    beginning has no free place left in the item are dropped together.
+    """
     of_d, of_i = Prints(doc), Prints(item)
-    found, size, left = [], max(least, min(len(item), len(doc))), len(item)
-    while True:
-        matches = _matches(of_d, of_i, free_d, free_i, size)
-        heapq.heapify(matches)
-        while matches and left:
-            n, i, j = heapq.heappop(matches)
-            n = -n
-            # What was marked before is as long as this or longer, so it covers an end of it or nothing.
-            if free_d[i] and free_d[i + n - 1] and free_i[j] and free_i[j + n - 1]:
-                if (doc[i : i + n] == item[j : j + n]).all():
-                    free_d[i : i + n] = free_i[j : j + n] = False
-                    found.append((i, j, n))
-                    left -= n
-                continue
-            for k, m in _free_runs(free_d[i : i + n] & free_i[j : j + n], size):
-                heapq.heappush(matches, (-m, i + k, j + k))
-        if size == least or not left:
-            return found
-        size = max(least, size // 2)
-
-
-def _free_runs(free: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """(start, length) of the runs of unmarked tokens of at least ``size``."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-    return [(a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= size]
+    starts_i = window_hashes(item, least)
+    by = np.argsort(starts_i, kind="stable")
+    keys, kind_i = np.unique(starts_i, return_inverse=True)
+    bounds = np.searchsorted(starts_i[by], keys, "left"), np.searchsorted(starts_i[by], keys, "right")
+    starts_d = window_hashes(doc, least)
+    kind_d = np.searchsorted(keys, starts_d)
+    hit = kind_d < len(keys)
+    hit[hit] = keys[kind_d[hit]] == starts_d[hit]
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return []
+    alike, one = _alike(doc, at, len(item))
+    n, j = (x[alike] for x in longest_matches(of_d, one, of_i))
+    waiting = np.lexsort((at, -n))
+    waiting = waiting[n[waiting] >= least]
+    at, n, j, kind, alike = at[waiting], n[waiting], j[waiting], kind_d[at[waiting]], alike[waiting]
+    free_d, free_i, room_i = np.ones(len(doc), bool), np.ones(len(item), bool), _room(np.ones(len(item), bool))
+    alive = np.ones(len(keys), bool)
+    found, again, k = [], [], 0
+    known: dict[int, tuple[int, int]] = {}  # since the last mark: of places that go on alike, the best free match
+    while k < len(at) or again:
+        if again and (k == len(at) or again[0] < (-n[k], at[k], j[k])):
+            size, here, there, like = heapq.heappop(again)
+            size = -size
+        else:
+            size, here, there, like = int(n[k]), int(at[k]), int(j[k]), int(alike[k])
+            k += 1
+        if not free_d[here] or not alive[kind_d[here]]:
+            continue
+        # What was marked before is as long as this or longer, so it covers an end of it or nothing.
+        if free_d[here + size - 1] and free_i[there] and free_i[there + size - 1]:
+            if (doc[here : here + size] == item[there : there + size]).all():
+                free_d[here : here + size] = free_i[there : there + size] = False
+                found.append((here, there, size))
+                room_i = _room(free_i)
+                left = np.bincount(kind_i[room_i[: len(kind_i)] >= least], minlength=len(keys)) > 0
+                if (left != alive).any():
+                    alive = left
+                    keep = alive[kind[k:]]
+                    at, n, j, kind, alike, k = at[k:][keep], n[k:][keep], j[k:][keep], kind[k:][keep], alike[k:][keep], 0
+                known.clear()
+            continue
+        if like in known and free_d[here + size - 1]:
+            if known[like][0] >= least:
+                heapq.heappush(again, (-known[like][0], here, known[like][1], like))
+            continue
+        there = by[bounds[0][kind_d[here]] : bounds[1][kind_d[here]]]
+        there = there[room_i[there] >= least]
+        taken = np.flatnonzero(~free_d[here : here + size])
+        most = np.minimum(room_i[there], taken[0] if len(taken) else size)
+        same = of_d.agree(np.full(len(there), here), of_i, there, most)
+        top = int(same.argmax()) if len(same) else -1
+        best = (int(same[top]), int(there[top])) if len(same) else (0, 0)
+        if not len(taken):
+            known[like] = best
+        if best[0] >= least:
+            heapq.heappush(again, (-best[0], here, best[1], like))
+    return found
+
+
+def _alike(doc: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each place, the same for places that go on alike for ``size`` tokens, and a place of each number."""
+    whole = at + size <= len(doc)
+    _, first, number = np.unique(window_hashes(doc, size)[at[whole]], return_index=True, return_inverse=True)
+    out = np.empty(len(at), np.int64)
+    out[whole] = number
+    out[~whole] = len(first) + np.arange(int((~whole).sum()))
+    return out, np.concatenate([at[whole][first], at[~whole]])
 
 
 def _room(free: np.ndarray) -> np.ndarray:
@@ -118,38 +205,6 @@ def _room(free: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(blocked[::-1])[::-1] - at
 
 
-def _matches(doc: Prints, item: Prints, free_d: np.ndarray, free_i: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """(-length, doc start, item start) of the maximal matches of at least ``size`` unmarked tokens."""
-    room_d, room_i = _room(free_d), _room(free_i)
-    at_d, at_i = np.flatnonzero(room_d >= size), np.flatnonzero(room_i >= size)
-    of_d, of_i = window_hashes(doc.ids, size)[at_d], window_hashes(item.ids, size)[at_i]
-    # The unmarked token before, or one that equals nothing: where both sides have the same one the match began earlier.
-    before = lambda ids, free, at, none: np.where((at > 0) & free[at - 1], ids[at - 1], none)
-    hit = np.isin(of_d, of_i)
-    at_d, of_d = at_d[hit], of_d[hit]
-    prior_d, prior_i = before(doc.ids, free_d, at_d, -2), before(item.ids, free_i, at_i, -3)
-    # Windows of one fingerprint and one token before them stand together.
-    by = np.lexsort((at_i, prior_i, of_i))
-    at_i, of_i, prior_i = at_i[by], of_i[by], prior_i[by]
-    by = np.lexsort((at_d, prior_d, of_d))
-    at_d, of_d, prior_d = at_d[by], of_d[by], prior_d[by]
-    heads = np.flatnonzero(np.append(True, (of_d[1:] != of_d[:-1]) | (prior_d[1:] != prior_d[:-1]))[: len(of_d)])
-    lo, hi = np.searchsorted(of_i, of_d[heads], "left"), np.searchsorted(of_i, of_d[heads], "right")
-    out_d, out_j = [], []
-    for x, y, p, a, b in zip(heads, np.append(heads[1:], len(of_d)), prior_d[heads], lo, hi, strict=False):
-        other = at_i[a:b][prior_i[a:b] != p]
-        if len(other):
-            here = at_d[x:y]
-            out_d.append(np.repeat(here, len(other)))
-            out_j.append(np.tile(other, len(here)))
-    if not out_d:
-        return []
-    i, j = np.concatenate(out_d), np.concatenate(out_j)
-    n = doc.agree(i, item, j, np.minimum(room_d[i], room_i[j]))
-    keep = n >= size
-    return list(zip((-n[keep]).tolist(), i[keep].tolist(), j[keep].tolist(), strict=True))
-
-
 class Benchmark:
     """Seeds of a block of items, for use in tasks."""
 

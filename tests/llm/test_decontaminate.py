@@ -108,3 +108,42 @@ def test_blocks_are_cut_by_length_whatever_the_ids(spark):
     bench = spark.createDataFrame([(None, "x" * 40)] * 10 + [(5, "y" * 40)] * 10, "item_id long, text string")
     blocks = list(D._blocks(bench, 100))
     assert sum(map(len, blocks)) == 20 and max(map(len, blocks)) == 3
+
+
+def _plain_tiles(doc, item, least):
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and free_d[i + n] and free_i[j + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (i, j, n)
+        if best[2] < least:
+            return out
+        out.append(best)
+        i, j, n = best
+        free_d[i : i + n] = free_i[j : j + n] = [False] * n
+
+
+def test_the_tiles_are_those_of_a_plain_search():
+    rng = np.random.default_rng(12)
+    for t in range(250):
+        doc = rng.integers(-1 if t % 3 == 0 else 0, 2 + t % 4, int(rng.integers(1, 36)))
+        item, least = rng.integers(0, 2 + t % 4, int(rng.integers(1, 24))), 1 + t % 4
+        got = [tuple(map(int, x)) for x in tiles(doc, item, least)] if len(item) >= least else []
+        assert got == (_plain_tiles(doc.tolist(), item.tolist(), least) if len(item) >= least else [])
+
+
+def test_a_phrase_that_repeats_between_other_tokens():
+    """Four thousand times in the document and two hundred times in the item: eight hundred thousand pairs of places."""
+    text = lambda n, other: np.array([x for k in range(n // 6) for x in (1, 2, 3, 4, 5, other + k)])
+    start = time.perf_counter()
+    got = tiles(text(24_000, 10), text(1200, 10**7), 5)
+    assert [(i, j, n) for i, j, n in got] == [(6 * k, 6 * k, 5) for k in range(200)] and time.perf_counter() - start < 3
+    start = time.perf_counter()
+    assert tiles(np.array([1, 2, 3, 4, 5, 6] * 50_000), np.array([1, 2, 3, 4, 5, 6, 9, 1, 2, 3, 4, 5]), 5) == [(0, 0, 6), (6, 7, 5)]
+    assert tiles(np.ones(300_000, np.int64), np.append(np.ones(800, np.int64), np.arange(2, 400)), 5) == [(0, 0, 800)]
+    assert time.perf_counter() - start < 5
