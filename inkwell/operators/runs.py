@@ -59,6 +59,10 @@ def prompt(template: DataFrame, n: int, column: str = "value") -> DataFrame:
     return template.withColumn(column, F.regexp_replace(text, r"(?i)\{\{MAX_COUNT\}\}", str(high)))
 
 
+#: What is shown for an option that was not given.
+DEFAULT = "既定"
+
+
 def options(model: str = "", effort: str = "") -> list[str]:
     """Command-line options; empty ones are left out."""
     return [x for name, value in (("--model", model), ("--effort", effort)) if value for x in (name, value)]

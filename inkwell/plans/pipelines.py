@@ -58,11 +58,19 @@ def promote(spark: SparkSession, slugs: Sequence[str], drafts: str, metas: str,
     return len(slugs)
 
 
-def reject(slugs: Sequence[str], drafts: str, metas: str) -> dict[str, bool]:
-    """Delete drafts; says of each slug whether anything was there."""
+def reject(spark: SparkSession, slugs: Sequence[str], drafts: str, metas: str) -> dict[str, bool]:
+    """Delete drafts with their metadata, all of them or none; says of each slug whether anything was there."""
     if not slugs:
         raise ValueError("usage: at least one slug")
-    return {s: bool(sinks.remove([f"{drafts}/{s}.html", f"{metas}/{s}.json"])) for s in slugs}
+    store, there = Store(spark), {}
+    recover(store, drafts)
+    with Changes(store, drafts) as change:
+        for s in dict.fromkeys(slugs):
+            files = [f"{drafts}/{s}.html", f"{metas}/{s}.json"]
+            there[s] = any(map(store.exists, files))
+            for f in files:
+                change.delete(f)
+    return there
 
 
 def notify(spark: SparkSession, slugs: Sequence[str], drafts: str, metas: str, draft_site: str, url: str, send: sinks.Transport, head: str = "") -> int:

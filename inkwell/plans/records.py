@@ -18,8 +18,10 @@ from ..operators import migrate as M
 from ..operators import runs, validate
 from ..schemas import TOOL_LABEL
 from ..sources import readers, scratch
+from ..sources.changes import Changes
+from ..sources.storage import Store
 from ..streaming import state, summary
-from . import nightly
+from . import nightly, pipelines
 from .registry import ORACLE_SQL, QUERIES, _t, query
 
 SITE = "https://site.example/media"
@@ -120,6 +122,44 @@ def migration_report(spark, d):
     return M.report(_migrated(spark, d))
 
 
+@query(f"""SELECT page_id::VARCHAR AS slug, md5(CASE WHEN contains(html, '</article>') AND contains(html, '<br><p>') AND theme <> '' THEN
+        regexp_replace(replace(html, '</article>', '<hr>'), '<br><p>', '<p class="crumb"><a href="{SITE}">トップ</a><span>›</span><a href="{SITE}?theme=' || theme || '">'
+            || CASE theme WHEN 'visibility' THEN '検索結果・購買導線の変化' ELSE '計測・分析' END || '</a><span>›</span>この記事</p>')
+        ELSE html END) AS page FROM (SELECT page_id, h AS html, regexp_extract(h, 'class="cat theme-(visibility|measurement)"', 1) AS theme FROM (
+    SELECT page_id, replace(replace(html, '<html lang="en"', '<html class="cat theme-visibility"'), '<html lang="fr"', '<html class="cat theme-measurement"') AS h FROM pages))""")
+def pages_migrated_in_place(spark, d):
+    """A folder with a file for every page, migrated in place, and read again: changed pages and those left as they were."""
+    html = F.col("html")
+    for lang, theme in (("en", "visibility"), ("fr", "measurement")):
+        html = F.replace(html, F.lit(f'<html lang="{lang}"'), F.lit(f'<html class="cat theme-{theme}"'))
+    folder = scratch.folder(spark, "site")
+    with Changes(Store(spark), folder) as change:
+        change.files_by_key(_t(spark, d, "pages").select(F.col("page_id").cast("string").alias("slug"), html.alias("html")), folder, "slug", "html", ".html")
+    pipelines.migrate(spark, folder, [(_OLD[0], "<hr>")], _OLD[2], SITE)
+    return readers.pages(spark, folder).select("slug", F.md5(F.col("html").cast("binary")).alias("page"))
+
+
+@query(f"""WITH a AS (SELECT page_id, url, {_TITLE} AS title FROM pages WHERE page_id % 4 < 3 AND len({_LINKS}) >= 3)
+    SELECT (row_number() OVER (ORDER BY page_id DESC) - 1)::INT AS pos, page_id::VARCHAR AS slug, url AS "sourceUrl", title,
+        (row_number() OVER (ORDER BY page_id DESC) - 1)::INT AS url_pos FROM a""")
+def published_catalog(spark, d):
+    """Articles from a batch file to drafts, and from drafts to published pages, catalog and URL list, which are read again."""
+    folder = scratch.folder(spark, "articles")
+    rows = _articles(spark, d).filter((F.col("pos") % 4 < 3) & (F.size("cardBullets") == 3)).drop("pos")
+    batch = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("slug").cast("long").alias("n"), *rows.columns)))).alias("value"))
+    batch.coalesce(1).write.text(f"{folder}/batch")  # one file by its format
+    slugs = [r.slug for r in rows.orderBy(F.col("slug").cast("long")).select("slug").collect()]  # as a command line has them
+    pipelines.build(spark, f"{folder}/batch", f"{folder}/draft", f"{folder}/meta", SITE)
+    store, site = Store(spark), f"{folder}/site"
+    store.write(f"{site}/articles.json", '{"updatedAt": "2024-01-01", "articles": []}')
+    pipelines.promote(spark, slugs, f"{folder}/draft", f"{folder}/meta", site, f"{site}/articles.json", f"{site}/urls.md", "2024-02-01")
+    catalog = readers.catalog_articles(readers.catalog(spark, f"{site}/articles.json")).select("pos", "slug", "sourceUrl")
+    shown = D.extract(readers.pages(spark, site)).select("slug", "title", F.col("source_url").alias("shown"))
+    listed = readers.url_list(spark, f"{site}/urls.md").select(F.col("url").alias("sourceUrl"), F.col("pos").cast("int").alias("url_pos"))
+    both = catalog.join(shown, "slug").filter("shown = sourceUrl").join(listed, "sourceUrl")
+    return both.select("pos", "slug", "sourceUrl", "title", "url_pos")
+
+
 def _event_lines(spark, d, rows=None):
     """Lines of agent logs, one run per user: results, tool calls, texts, failure marks and lines that are no events."""
     rows = _t(spark, d, "events") if rows is None else rows
@@ -322,12 +362,14 @@ def event_clock(spark, d):
 
 
 def _candidates(spark, d):
-    i = F.col("page_id")
-    return _t(spark, d, "pages").select(
+    """Results of a search over the pages' URLs, written as JSON lines and read as such."""
+    i, folder = F.col("page_id"), scratch.folder(spark, "candidates")
+    _t(spark, d, "pages").select(
         "url", F.when(i % 5 == 0, 404).otherwise(200).alias("status"),
         F.when(i % 3 == 0, "Same-Site").when(i % 3 == 1, "cross-origin").alias("corp_header"),
         F.date_add(F.lit("2024-01-01").cast("date"), (i % 40).cast("int")).alias("published"),
-    )
+    ).write.json(folder)
+    return readers.candidates(spark, folder)
 
 
 _USABLE = """SELECT url, published FROM (SELECT url, page_id, DATE '2024-01-01' + (page_id % 40)::INT AS published FROM pages)

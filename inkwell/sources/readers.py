@@ -105,7 +105,7 @@ def arguments(spark: SparkSession, slugs: Sequence[str]) -> DataFrame:
     """pos, slug of a list given on the command line."""
     if not slugs:
         raise ValueError("usage: at least one slug")
-    return spark.createDataFrame(list(enumerate(slugs)), "pos int, slug string")
+    return spark.range(1).select(F.posexplode(F.lit(list(slugs))).alias("pos", "slug"))  # of known, small size
 
 
 def status_lines(spark: SparkSession, text: str) -> DataFrame:

@@ -130,7 +130,8 @@ def test_build_promote_notify_reject(spark, tmp_path):
     assert open(urls).read() == "# head\n- https://s.example/b?a=1&b=2\n- https://s.example/a?a=1&b=2\n"
     assert [r.url for r in readers.url_list(spark, urls).orderBy("pos").collect()] == ["https://s.example/b?a=1&b=2", "https://s.example/a?a=1&b=2"]
     assert "下書き" not in open(f"{out}/a.html").read() and not os.path.exists(f"{drafts}/a.html")
-    assert P.reject(["c", "c"], drafts, metas) == {"c": False} or not os.path.exists(f"{drafts}/c.html")
+    assert P.reject(spark, ["c", "c", "zz"], drafts, metas) == {"c": True, "zz": False} and not os.path.exists(f"{drafts}/c.html")
+    assert P.reject(spark, ["c"], drafts, metas) == {"c": False} and not os.path.exists(f"{metas}/c.json")
 
 
 def test_migrate(spark, tmp_path):
@@ -214,3 +215,21 @@ def test_plans_stay_on_the_jvm(spark, tmp_path):
     for plan in (D.extract(D.render(df, SITE)), validate.required(df), E.summary_lines(spark.createDataFrame([("x",)], "value string"))):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in text and "Arrow" not in text
+
+
+def test_lists_are_broadcast(spark, tmp_path):
+    """Slugs, metadata, catalog and used URLs meet by broadcast joins, as they are small by their nature."""
+    batch = write(tmp_path / "b.json", json.dumps([article("a"), article("b")]))
+    P.build(spark, batch, str(tmp_path / "draft"), str(tmp_path / "meta"), SITE)
+    cat = write(tmp_path / "cat.json", json.dumps({"updatedAt": "2026-01-01", "articles": []}))
+    urls = write(tmp_path / "urls.md", "# head\n- https://s.example/a\n")
+    asked, meta = readers.arguments(spark, ["a", "b"]), readers.metas(spark, str(tmp_path / "meta"))
+    old = readers.catalog_articles(readers.catalog(spark, cat))
+    candidates = spark.createDataFrame([("https://s.example/a", 200), ("x", 200)], "url string, status int")
+    plans = [
+        C.in_list_order(asked, meta), validate.promotable(asked, readers.pages(spark, str(tmp_path / "draft")), meta, old),
+        C.unused(candidates, readers.url_list(spark, urls)), C.unresolved_links(readers.batch(spark, batch)),
+    ]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Python" not in text

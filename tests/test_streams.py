@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import events as E
 from inkwell.operators import runs
+from inkwell.plans.watch import watch
 from inkwell.sources import sinks
 from inkwell.streaming import state, summary
 from inkwell.streaming.log_sink import LogWriter, Written, append_log
@@ -90,6 +91,22 @@ def test_following_ends_at_the_line_that_ends_the_run(spark, tmp_path):
     assert shown == ["[09:00:00] start", " 失敗: not at the start", "[09:01:00] 失敗: x"] and not spark.streams.active
 
 
+def test_a_run_is_started_and_watched(spark, tmp_path):
+    folder, shown, asked = str(tmp_path), [], []
+    append(f"{folder}/0-summary.log", "[08:00:00] 失敗: an older run\n")
+
+    def start(options):
+        asked.append(options)
+        for seconds, text in ((1, "[09:00:00] first\n"), (4, "[09:00:01] sec"), (6, "ond\n[09:00:02] 自動リサーチが完了しました\n")):
+            threading.Timer(seconds, append, (f"{folder}/1-summary.log", text)).start()
+
+    assert watch(spark, folder, start, shown.append, effort="high", seconds=60) == 0
+    assert asked == [["--effort", "high"]] and shown == [
+        "モデル: 既定 / 推論レベル: high", "[09:00:00] first", "[09:00:01] second", "[09:00:02] 自動リサーチが完了しました",
+    ]
+    assert watch(spark, folder, asked.append, shown.append, wait=2) == 1 and "no log file" in shown[-1]
+
+
 def test_a_query_is_stopped_by_its_id(spark, tmp_path):
     append(str(tmp_path / "a.log"), "x\n")
     q = tail(spark, str(tmp_path / "a.log")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).start()
