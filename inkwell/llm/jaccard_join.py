@@ -12,8 +12,8 @@ of both distances of the drawn member, and whatever is near enough for that is l
 large after the last split is linked as it is, so nothing is dropped.
 
 The number of runs follows from ``target``, the share of pairs at the threshold that must meet: see
-:func:`plan`. At 0.8 and 0.99999 three branches and 19 runs are needed; a pair all of whose meetings lie five
-splits deep is missed with a chance of 7e-6. Runs take their coordinates from one signature, so they are not
+:func:`plan`. At 0.8 and 0.9998 three branches and 12 runs are needed (at 0.99999 19 runs); a pair all of whose meetings
+lie five splits deep is missed with a chance of 1.8e-4, one that meets in buckets that are small at once with 4e-9. Runs take their coordinates from one signature, so they are not
 independent; the plan counts that in, and a test holds it against drawn agreements.
 
 The pairs found link sets to families (connected components). Within a family all pairs are verified
@@ -44,7 +44,7 @@ from .expressions import fresh
 from .grouping import map_groups
 from .workspace import Workspace, table
 
-N, COORDINATES, TARGET = 5, 128, 0.99999
+N, COORDINATES, TARGET = 5, 128, 0.9998
 SMALL, SPLITS, MARGIN = 256, 5, 0.2
 #: Coordinates that a branch is split by together, the chance at least with which a pair survives one split, and the
 #: members of a large bucket that are compared with all others.

@@ -61,8 +61,8 @@ def test_join_equals_brute_force(spark, monkeypatch):
 
 def test_plan_meets_the_target():
     """Agreements of signatures are drawn, and the runs of the plan walked through them."""
-    assert j.plan(80) == (19, 3)
-    for percent, target, pairs in ((80, j.TARGET, 1_000_000), (80, 0.99, 100_000), (60, 0.995, 100_000), (50, 0.99, 100_000), (95, 0.9999, 200_000)):
+    assert j.plan(80) == (12, 3) and j.plan(80, 0.99999) == (19, 3)
+    for percent, target, pairs in ((80, j.TARGET, 400_000), (80, 0.99999, 600_000), (80, 0.99, 100_000), (60, 0.995, 100_000), (50, 0.99, 100_000), (95, 0.9999, 200_000)):
         runs, branches = j.plan(percent, target)
         lost, rng = 0, np.random.default_rng(percent)
         for _ in range(pairs // 100_000):
