@@ -122,42 +122,59 @@ def migration_report(spark, d):
     return M.report(_migrated(spark, d))
 
 
-@query(f"""SELECT page_id::VARCHAR AS slug, md5(CASE WHEN contains(html, '</article>') AND contains(html, '<br><p>') AND theme <> '' THEN
+_SITE_NAME = r"://(?:(?:www|m|blog)\.)?([^./]+)\."
+
+
+def _sites(spark, d):
+    """Of every site of the pages: its name, number of pages, and its front page, the one with the smallest id."""
+    name = F.regexp_extract("url", _SITE_NAME, 1).alias("slug")
+    front = [F.min_by(c, "page_id").alias(c) for c in ("url", "html")]
+    return _t(spark, d, "pages").groupBy(name).agg(F.count("*").alias("n"), *front)
+
+
+_SITES = f"SELECT regexp_extract(url, '{_SITE_NAME}', 1) AS slug, count(*) AS n, arg_min(url, page_id) AS url, arg_min(html, page_id) AS html FROM pages GROUP BY 1"
+
+
+@query(f"""SELECT slug, md5(CASE WHEN contains(html, '</article>') AND contains(html, '<br><p>') AND theme <> '' THEN
         regexp_replace(replace(html, '</article>', '<hr>'), '<br><p>', '<p class="crumb"><a href="{SITE}">トップ</a><span>›</span><a href="{SITE}?theme=' || theme || '">'
             || CASE theme WHEN 'visibility' THEN '検索結果・購買導線の変化' ELSE '計測・分析' END || '</a><span>›</span>この記事</p>')
-        ELSE html END) AS page FROM (SELECT page_id, h AS html, regexp_extract(h, 'class="cat theme-(visibility|measurement)"', 1) AS theme FROM (
-    SELECT page_id, replace(replace(html, '<html lang="en"', '<html class="cat theme-visibility"'), '<html lang="fr"', '<html class="cat theme-measurement"') AS h FROM pages))""")
+        ELSE html END) AS page FROM (SELECT slug, h AS html, regexp_extract(h, 'class="cat theme-(visibility|measurement)"', 1) AS theme FROM (
+    SELECT slug, replace(replace(html, '<html lang="en"', '<html class="cat theme-visibility"'), '<html lang="fr"', '<html class="cat theme-measurement"') AS h FROM ({_SITES})))""")
 def pages_migrated_in_place(spark, d):
-    """A folder with a file for every page, migrated in place, and read again: changed pages and those left as they were."""
+    """A folder with a file for the front page of every site, migrated in place, and read again: changed pages and those left as they were."""
     html = F.col("html")
     for lang, theme in (("en", "visibility"), ("fr", "measurement")):
         html = F.replace(html, F.lit(f'<html lang="{lang}"'), F.lit(f'<html class="cat theme-{theme}"'))
     folder = scratch.folder(spark, "site")
     with Changes(Store(spark), folder) as change:
-        change.files_by_key(_t(spark, d, "pages").select(F.col("page_id").cast("string").alias("slug"), html.alias("html")), folder, "slug", "html", ".html")
+        change.files_by_key(_sites(spark, d).select("slug", html.alias("html")), folder, "slug", "html", ".html")
     pipelines.migrate(spark, folder, [(_OLD[0], "<hr>")], _OLD[2], SITE)
     return readers.pages(spark, folder).select("slug", F.md5(F.col("html").cast("binary")).alias("page"))
 
 
-@query(f"""WITH a AS (SELECT page_id, url, {_TITLE} AS title FROM pages WHERE page_id % 4 < 3 AND len({_LINKS}) >= 3)
-    SELECT (row_number() OVER (ORDER BY page_id DESC) - 1)::INT AS pos, page_id::VARCHAR AS slug, url AS "sourceUrl", title,
-        (row_number() OVER (ORDER BY page_id DESC) - 1)::INT AS url_pos FROM a""")
+@query(f"""SELECT (row_number() OVER (ORDER BY slug DESC) - 1)::INT AS pos, slug, url AS "sourceUrl", {_TITLE} AS title, n || ' pages' AS background,
+    (row_number() OVER (ORDER BY slug DESC) - 1)::INT AS url_pos FROM ({_SITES})""")
 def published_catalog(spark, d):
-    """Articles from a batch file to drafts, and from drafts to published pages, catalog and URL list, which are read again."""
-    folder = scratch.folder(spark, "articles")
-    rows = _articles(spark, d).filter((F.col("pos") % 4 < 3) & (F.size("cardBullets") == 3)).drop("pos")
-    batch = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("slug").cast("long").alias("n"), *rows.columns)))).alias("value"))
+    """An article on every site, from a batch file to drafts, and from drafts to published pages, catalog and URL list, which are read again."""
+    folder, said = scratch.folder(spark, "articles"), F.concat(F.col("n").cast("string"), F.lit(" pages"))
+    fixed = {"date": "2024-02-01", "dateDisplay": "2024年2月1日", "viewpoint": "seller", "theme": "visibility", "thumbnail": "t.png", "meaning": "<so>"}
+    rows = _sites(spark, d).select(
+        "slug", D.page_title(F.col("html")).alias("title"), F.col("url").alias("sourceUrl"), X.url_host(F.col("url")).alias("source"), said.alias("background"),
+        F.array(F.lit("google")).alias("platforms"), F.array(said).alias("bullets"), F.array(*map(F.lit, "abc")).alias("cardBullets"),
+        *[F.lit(v).alias(k) for k, v in fixed.items()],
+    )
+    batch = rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("value"))
     batch.coalesce(1).write.text(f"{folder}/batch")  # one file by its format
-    slugs = [r.slug for r in rows.orderBy(F.col("slug").cast("long")).select("slug").collect()]  # as a command line has them
     pipelines.build(spark, f"{folder}/batch", f"{folder}/draft", f"{folder}/meta", SITE)
+    slugs = sorted(r.slug for r in readers.metas(spark, f"{folder}/meta").select("slug").collect())  # as a command line has them
     store, site = Store(spark), f"{folder}/site"
     store.write(f"{site}/articles.json", '{"updatedAt": "2024-01-01", "articles": []}')
     pipelines.promote(spark, slugs, f"{folder}/draft", f"{folder}/meta", site, f"{site}/articles.json", f"{site}/urls.md", "2024-02-01")
     catalog = readers.catalog_articles(readers.catalog(spark, f"{site}/articles.json")).select("pos", "slug", "sourceUrl")
-    shown = D.extract(readers.pages(spark, site)).select("slug", "title", F.col("source_url").alias("shown"))
+    shown = D.extract(readers.pages(spark, site)).select("slug", "title", "background", F.col("source_url").alias("shown"))
     listed = readers.url_list(spark, f"{site}/urls.md").select(F.col("url").alias("sourceUrl"), F.col("pos").cast("int").alias("url_pos"))
     both = catalog.join(shown, "slug").filter("shown = sourceUrl").join(listed, "sourceUrl")
-    return both.select("pos", "slug", "sourceUrl", "title", "url_pos")
+    return both.select("pos", "slug", "sourceUrl", "title", "background", "url_pos")
 
 
 def _event_lines(spark, d, rows=None):
