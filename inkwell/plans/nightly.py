@@ -41,12 +41,6 @@ def control_line(folder: str, now: datetime, text: str) -> None:
     sinks.append_line(f"{folder}/control.log", f"[{now:%Y-%m-%d %H:%M:%S}] {text}")
 
 
-def keep_raw(lines: DataFrame, table: str, run: str, batch: int = 0) -> None:
-    """Append the lines of a run to the raw table. A batch of a run that is written again takes the place of itself."""
-    tagged = lines.withColumns({"run": F.lit(run), "batch": F.lit(batch)})
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch").parquet(table)
-
-
 def prepare(spark: SparkSession, folder: str, template: str, n: int) -> str:
     """Fill the prompt and write it; returns its path."""
     text = runs.prompt(readers.template(spark, template), n).first().value
@@ -70,7 +64,7 @@ def attempt(spark: SparkSession, folder: str, prompt: str, run: Run, clock: Cloc
         sinks.remove([f"{folder}/run.pid"])
         written.stop()
     lines = readers.lines(spark, captured)
-    keep_raw(lines.drop("path"), f"{folder}/raw", name)
+    sinks.keep_raw(lines.drop("path"), f"{folder}/raw", name)
     n, dropped = summary.line_counts(written)
     control_line(folder, clock(), f"{n} lines, {dropped} of them no events")
     return events.run_outcome(lines, code)

@@ -17,11 +17,11 @@ from ..operators import events as E
 from ..operators import migrate as M
 from ..operators import runs, validate
 from ..schemas import TOOL_LABEL
-from ..sources import readers, scratch
+from ..sources import readers, scratch, sinks
 from ..sources.changes import Changes
 from ..sources.storage import Store
 from ..streaming import state, summary
-from . import nightly, pipelines
+from . import pipelines
 from .registry import ORACLE_SQL, QUERIES, _t, query
 
 SITE = "https://site.example/media"
@@ -265,7 +265,7 @@ def raw_lines_kept_once(spark, d):
     lines, table = _event_lines(spark, d), scratch.folder(spark, "raw")
     early = F.col("pos") < 1000
     for k, part in ((0, lines.filter(early)), (1, lines.filter(~early)), (0, lines.filter(early))):
-        nightly.keep_raw(part, table, "run", k)
+        sinks.keep_raw(part, table, "run", k)
     return spark.read.parquet(table).select("user_id", "pos")
 
 

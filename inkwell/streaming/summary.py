@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import summary_lines, terminal
+from ..sources.sinks import keep_raw
 from .log_sink import append_log
 from .tail import new_files
 
@@ -39,6 +40,12 @@ def summary_log(lines: DataFrame, path: str, checkpoint: str, every: str = "1 se
     return append_log(summary_lines(lines, "lines"), path, checkpoint).trigger(processingTime=every).start()
 
 
+def raw_log(lines: DataFrame, table: str, run: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:
+    """Append a run's lines to the raw table as they come; a batch that is repeated after a restart adds no row."""
+    out = lines.writeStream.foreachBatch(lambda batch, number: keep_raw(batch, table, run, number))
+    return out.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def wait_for_file(spark: SparkSession, folder: str, before: list[str], checkpoint: str, pattern: str = "*-summary.log", seconds: float = 30, every: str = "1 second") -> str | None:
     """Path of the newest file that was not there before, looked for once a second for a bounded time; None without one."""
     found: list[str] = []

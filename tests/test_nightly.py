@@ -102,7 +102,7 @@ def test_stop_sees_that_the_process_ended(spark, tmp_path):
 def test_raw_lines_of_a_batch_are_kept_once(spark, tmp_path):
     lines = spark.createDataFrame([("a", 1), ("b", 2)], "value string, pos long")
     for run, batch in (("r", 0), ("r", 0), ("r", 1), ("s", 0), ("r", 1)):
-        N.keep_raw(lines, str(tmp_path / "raw"), run, batch)
+        sinks.keep_raw(lines, str(tmp_path / "raw"), run, batch)
     assert spark.read.parquet(str(tmp_path / "raw")).groupBy("run", "batch").count().orderBy("run", "batch").collect() == [("r", 0, 2), ("r", 1, 2), ("s", 0, 2)]
 
 

@@ -33,6 +33,28 @@ def drain(df, out, checkpoint, mode="append"):
     q.awaitTermination()
 
 
+def again(checkpoint):
+    """Make a query forget that its last batch was done, as when it dies just before noting it."""
+    last = max((int(n) for n in os.listdir(checkpoint / "commits") if n.isdigit()), default=0)
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(checkpoint / "commits" / name):
+            os.unlink(checkpoint / "commits" / name)
+
+
+def test_a_raw_batch_that_is_repeated_adds_no_row(spark, tmp_path):
+    log, table = str(tmp_path / "in.log"), str(tmp_path / "raw")
+    for k, text in enumerate(("a\nb\n", "c\n", None, "d\n")):
+        if text is None:
+            again(tmp_path / "cp")
+        else:
+            append(log, text)
+        q = summary.raw_log(tail(spark, log).select("pos", "value"), table, "r", str(tmp_path / "cp"))
+        q.processAllAvailable()
+        q.stop()
+    assert [r.value for r in spark.read.parquet(table).orderBy("pos").collect()] == ["a", "b", "c", "d"]
+    assert spark.read.parquet(table).select("run", "batch").distinct().count() == 3
+
+
 def test_a_growing_file_is_followed_over_a_restart(spark, tmp_path):
     log, got = str(tmp_path / "logs/a.log"), []
     append(log, "one\r\ntwo\nhal")
@@ -129,6 +151,10 @@ def test_lines_are_stamped_when_they_are_written(spark, tmp_path):
     q = start()
     q.processAllAvailable()
     q.stop()
+    again(tmp_path / "cp")
+    q = start()
+    q.processAllAvailable()
+    q.stop()
     found = re.findall(r"\[(\d\d:\d\d:\d\d)\]   💬 (\w+)\n", open(out).read())
     assert [w for _, w in found] == ["first", "second", "third"] and found[0][0] != found[1][0]
     assert sorted(os.listdir(tmp_path)) == ["cp", "in.jsonl", "out.log", "out.log.state"]
