@@ -102,15 +102,15 @@ def numbered(rows: DataFrame, order: str, keys: tuple[str, ...] = (), name: str
     return out.withColumn(name, (F.col("_within") + F.col("_before")).cast("long")).select(*rows.columns, name)
 
 
-def notification(rows: DataFrame, head: str = "") -> DataFrame:
-    """Numbered message on drafts: title, labels and link of each."""
+def notification(rows: DataFrame, head: str = "", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Numbered message on drafts, or one for each of the keys: title, labels and link of each."""
     said = lambda c: F.coalesce(F.col(c), F.lit(""))
     line = F.concat(
         F.col("number").cast("string"), F.lit(". *"), said("title"), F.lit("*\n   "), F.coalesce(F.array_join("platforms", "/", ""), F.lit("")),
         F.lit(" / "), said("viewpoint"), F.lit(" / "), said("theme"), F.lit(" / "), said("source"), F.lit(" / "), said("date"),
         F.lit("\n   下書き: "), said("draft_url"),
     )
-    return text_of(numbered(rows, "pos"), line, head)
+    return text_of(numbered(rows, "pos", keys), line, head, keys=keys)
 
 
 def newest(files: DataFrame, n: int = 1) -> DataFrame:

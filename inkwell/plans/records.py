@@ -177,6 +177,32 @@ def published_catalog(spark, d):
     return both.select("pos", "slug", "sourceUrl", "title", "background", "url_pos")
 
 
+@query(rf"""WITH p AS (SELECT *, regexp_extract(url, '{_SITE_NAME}', 1) AS slug, {_TITLE} AS title, coalesce(nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), ''), '') AS lang,
+        regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages),
+    k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) - 1 AS k FROM p)
+    SELECT slug, k // 15 AS batch, 'new:' || chr(10) || string_agg(k % 15 + 1 || '. *' || title || '*' || chr(10) || '   google/' || lang || ' / seller /  / ' || host || ' / '
+        || chr(10) || '   下書き: {SITE}/' || page_id || '.html', chr(10) ORDER BY k) AS text FROM k GROUP BY slug, k // 15""")
+def site_notifications(spark, d):
+    """Messages on the pages of every site, as many to a message as a run may make, numbered anew in each."""
+    rows = _t(spark, d, "pages").select(
+        F.regexp_extract("url", _SITE_NAME, 1).alias("slug"), F.col("page_id").alias("pos"), D.page_title(F.col("html")).alias("title"),
+        F.array(F.lit("google"), D.page_lang(F.col("html"))).alias("platforms"), F.lit("seller").alias("viewpoint"), F.lit(None).cast("string").alias("theme"),
+        X.url_host(F.col("url")).alias("source"), F.lit(None).cast("string").alias("date"),
+        F.concat(F.lit(f"{SITE}/"), F.col("page_id").cast("string"), F.lit(".html")).alias("draft_url"),
+    )
+    cut = C.numbered(rows, "pos", ("slug",), "k").withColumn("batch", F.expr(f"(k - 1) DIV {runs.quotas(10)[1]}")).drop("k")
+    return C.notification(cut, "new:\n", ("slug", "batch"))
+
+
+@query(f"""SELECT page_id::VARCHAR AS slug, '{{' || chr(10) || '  "slug": "' || page_id || '",' || chr(10) || '  "title": ' || to_json({_TITLE}) || ',' || chr(10)
+    || CASE WHEN page_id % 2 = 0 THEN '  "origTitle": ' || to_json('<' || {_TITLE} || '> & "''') || ',' || chr(10) ELSE '' END
+    || '  "bullets": ' || CASE WHEN len(b) = 0 THEN '[]' ELSE '[' || chr(10) || array_to_string(list_transform(b, lambda x: '    ' || to_json(x)), ',' || chr(10)) || chr(10) || '  ]' END
+    || chr(10) || '}}' || chr(10) AS text FROM (SELECT *, {_LINKS} AS b FROM pages)""")
+def pretty_json(spark, d):
+    """Records as they are written to files of metadata: indented JSON without null fields."""
+    return sinks.json_texts(_articles(spark, d).select("slug", "title", "origTitle", "bullets"), "slug")
+
+
 def _event_lines(spark, d, rows=None):
     """Lines of agent logs, one run per user: results, tool calls, texts, failure marks and lines that are no events."""
     rows = _t(spark, d, "events") if rows is None else rows
