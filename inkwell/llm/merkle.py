@@ -50,9 +50,15 @@ def _equal(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return same
 
 
-def positions(rows: DataFrame, group: list[str], order: list[str], space: Workspace, name: str) -> DataFrame:
-    """Adds pos, the place of each row in its group from 0, and size, the rows of its group."""
-    ranged = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+def positions(rows: DataFrame, group: list[str], order: list[str], space: Workspace, name: str, tie: str | None = None) -> DataFrame:
+    """Adds pos, the place of each row in its group from 0, and size, the rows of its group.
+
+    Rows are read twice, once for a sample of their order, so they should be a saved table. Of a text that decides
+    between equal rows, ``tie``, the first characters are enough to tell ranges apart; the sample goes to the driver.
+    """
+    last = [tie] if tie else []
+    cuts = [F.substring(c, 1, 8) for c in last]
+    ranged = rows.repartitionByRange(*group, *order, *cuts).sortWithinPartitions(*group, *order, *last)
     low = (1 << 33) - 1  # the bits that number the rows of a partition
     marked = space.save(ranged.withColumns({"_at": F.spark_partition_id(), "_k": F.monotonically_increasing_id().bitwiseAND(low)}), name)
     runs = marked.groupBy("_at", *group).agg(F.min("_k").alias("_low"), F.count("*").alias("_n"))
@@ -176,7 +182,8 @@ def manifest(rows: DataFrame, key: str, order: str, leaf: str, carry: tuple[str,
     """The trees over rows with a hash ``leaf``, grouped by ``key`` and ordered by ``order``; the columns ``carry`` stay with the leaves."""
     space = Workspace(rows.sparkSession, "merkle")
     named = rows.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(leaf).alias("node"), *carry)
-    placed = positions(named, ["_key"], ["_order", "node"], space, "ranged")
+    named = space.save(named, "hashed")  # the rows themselves are read here, and never again
+    placed = positions(named, ["_key"], ["_order"], space, "ranged", tie="node")
     sizes = space.save(placed.filter("pos = 0").select("_key", "size"), "sizes")
     keys = positions(sizes.select("_key", F.col("size").alias("n")), [], ["_key"], space, "keys").select(F.col("_key").alias("b__key"), F.col("pos").alias("tree"))
     keys = space.save(keys, "trees")
