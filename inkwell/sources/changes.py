@@ -61,24 +61,20 @@ class Changes:
             if bad := rows.groupBy("_key").count().filter("count > 1").take(5):
                 raise ValueError("named twice: " + ", ".join(r[0] for r in bad))
             last = rows.select(F.substring("value", -1, 1).alias("c")).distinct()
-            n = 0
-            for k, c in enumerate(sorted(r.c for r in last.toLocalIterator())):
-                some, at = rows.filter(F.substring("value", -1, 1) == c), f"{self.root}/keyed-{len(self.steps)}-{k}"
-                if c:
-                    body = some.withColumn("value", F.substr("value", F.lit(1), F.length("value") - 1))
-                    body.repartition("_key").write.partitionBy("_key").option("lineSep", c).text(at)
-                for name in self.store.names(at) if c else [f"_key={r[0]}" for r in some.select("_key").toLocalIterator()]:
-                    if not name.startswith("_key="):
-                        continue
-                    named = unquote(name.removeprefix("_key=")) if c else name.removeprefix("_key=")
-                    target = f"{folder}/{named}{suffix}"
-                    if c:
+            before = len(self.steps)
+            for c in sorted(r.c for r in last.toLocalIterator()):
+                some, at = rows.filter(F.substring("value", -1, 1) == c), f"{self.root}/keyed-{len(self.steps)}"
+                if c == "":
+                    for r in some.select("_key").toLocalIterator():
+                        self.put(f"{folder}/{r[0]}{suffix}", "")
+                    continue
+                body = some.withColumn("value", F.substr("value", F.lit(1), F.length("value") - 1))
+                body.repartition("_key").write.partitionBy("_key").option("lineSep", c).text(at)
+                for name in self.store.names(at):
+                    if name.startswith("_key="):
                         [part] = [p for p in self.store.names(f"{at}/{name}") if p.startswith("part-")]
-                        self.adopt(target, f"{at}/{name}/{part}")
-                    else:
-                        self.put(target, "")
-                    n += 1
-            return n
+                        self.adopt(f"{folder}/{unquote(name.removeprefix('_key='))}{suffix}", f"{at}/{name}/{part}")
+            return len(self.steps) - before
         finally:
             rows.unpersist()
 
