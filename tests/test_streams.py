@@ -220,5 +220,52 @@ def test_the_last_result_of_every_run_in_a_stream(spark, tmp_path):
     assert latest == want and [r[1] for r in got if r[0] == "r"] == [1, 9, 9]
 
 
+def test_many_runs_share_groups_of_state(spark, tmp_path):
+    folder, got, sizes = str(tmp_path / "in"), [], []
+    at, big = datetime(2026, 1, 1, 9), 1 << 60
+    result = lambda text: json.dumps({"type": "result", "is_error": text.endswith("1"), "result": text}, separators=(",", ":"))
+    names = [None, *(f"r{k}" for k in range(2999))]
+    batches = [  # (run, minute, pos, value); the third is late for all, the last lets all but the first five end
+        [(r, k % 50, big + k, result(f"a{k}")) for k, r in enumerate(names)] + [(r, 1, 0, result("old")) for r in names[::7]],
+        [(r, 70, big + 5000, "自動リサーチが完了しました" if k % 4 else result("b")) for k, r in enumerate(names[::3])],
+        [(r, 0, big + 9000, result("late")) for r in names[:50]],
+        [(r, 200, 1, result("small")) for r in names[:5]],
+    ]
+    for k, batch in enumerate(batches):
+        sinks.put(f"{folder}/{k}.json", "".join(json.dumps({"run": r, "ts": (at + timedelta(minutes=m)).isoformat(), "pos": p, "value": v}) + "\n" for r, m, p, v in batch))
+        stream = spark.readStream.schema("run string, ts timestamp, pos long, value string").json(folder)
+        keep = lambda rows, _, k=k: got.extend((k, *r) for r in rows.collect())
+        q = state.last_results(stream, "1 hour").writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+        q = q.trigger(availableNow=True).start()
+        q.awaitTermination()
+        sizes += [p.stateOperators[0].numRowsTotal for p in q.recentProgress]
+    first = {(r, big + k, f"a{k}", False) for k, r in enumerate(names)}
+    ended = {(r, big + 3 * k, f"a{3 * k}", True) for k, r in enumerate(names[::3]) if k % 4}
+    newer = {(r, big + 5000, "b", False) for r in names[::12]}
+    assert {(r, p, text, closed) for k, r, p, _, text, closed in got if k == 0} == first
+    assert {(r, p, text, closed) for k, r, p, _, text, closed in got if k == 1} == ended | newer
+    assert not [g for g in got if g[0] == 2]
+    last = {r: (p, text) for r, p, text, _ in [*first, *newer]} | {r: (big + 5000, "b") for r in names[::12]}
+    there = {r for r, *_ in ended}
+    silent = {(r, *last[r], True) for r in names if r not in there}
+    again_ = {(r, p, text, closed) for k, r, p, _, text, closed in got if k == 3}
+    assert silent - again_ == {(r, *last[r], True) for r in names[:5] if r not in there} and len(got) == len(set(got))
+    assert all(is_error == text.endswith("1") for _, _, _, is_error, text, _ in got)
+    assert 0 < max(sizes) <= state.GROUPS < len(names) and sizes[-1] <= 5
+
+
+def test_a_run_is_not_silent_before_its_newest_line_is_old(spark, tmp_path):
+    folder, got = str(tmp_path / "in"), []
+    at = datetime(2026, 1, 1, 9)
+    result = json.dumps({"type": "result"}, separators=(",", ":"))
+    for k, batch in enumerate([[("r", 100, 1)], [("r", 45, 2)], [("s", 200, 1)], [("s", 230, 2)]]):
+        sinks.put(f"{folder}/{k}.json", "".join(json.dumps({"run": r, "ts": (at + timedelta(minutes=m)).isoformat(), "pos": p, "value": result}) + "\n" for r, m, p in batch))
+        stream = spark.readStream.schema("run string, ts timestamp, pos long, value string").json(folder)
+        drain(state.last_results(stream, "1 hour"), got, tmp_path / "cp", "update")
+        if k == 2:  # the watermark is at 140 minutes: past 45 and an hour, not past 100 and an hour
+            assert [r[:2] for r in got] == [("r", 1), ("r", 2), ("s", 1)]
+    assert ("r", 2, None, None, True) in got
+
+
 def test_sessions_are_left_as_they_were(spark):
     assert not spark.streams.active and spark.range(3).agg(F.count("*")).first()[0] == 3
