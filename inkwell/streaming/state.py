@@ -1,7 +1,7 @@
 """Keyed state over streams: notices that are given once, and the last result of every run.
 
 Both work batch by batch and keep a small value per key; their batch forms are ``operators.runs.notices`` and
-``operators.events.last_result``. Results of runs are kept by groups of runs, since a call for each of them costs more than its rows.
+``operators.events.last_result``. State lies in groups of keys, since a call for each key costs more than its rows.
 """
 
 from __future__ import annotations
@@ -33,23 +33,32 @@ def _rows(pieces: Iterator[pd.DataFrame], *names: str) -> Iterator[tuple]:
         yield from zip(*(rows[c].tolist() for c in names), strict=True)
 
 
-def notices(checks: DataFrame) -> DataFrame:
+def notices(checks: DataFrame, groups: int = GROUPS) -> DataFrame:
     """From checks (key, last_run_date, today) of a stream: missed days, once per key and last run, however often it is seen.
 
     The state of a key is the list of last runs that were reported, one a day at most.
     """
     last, today = F.col("last_run_date").cast("date"), F.col("today").cast("date")
-    due = checks.select(F.col("key").cast("string").alias("key"), "last_run_date", "today", missed_run(last, today).cast("int").alias("missed")).filter("missed IS NOT NULL")
-
-    def report(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = set(state.get[0]) if state.exists else set()
-        rows = pd.concat(list(pieces)).sort_values(["today", "last_run_date"]).drop_duplicates("last_run_date")
-        rows = rows[~rows["last_run_date"].isin(told)]
-        if len(rows):
-            state.update((sorted(told | set(rows["last_run_date"])),))
-            yield rows[["key", "last_run_date", "today", "missed"]]
-
-    return due.groupBy("key").applyInPandasWithState(report, _NOTICE, "told array<string>", "append", GroupStateTimeout.NoTimeout)
+    due = checks.select(
+        _group("key", groups), F.col("key").cast("string").alias("key"), "last_run_date", "today", missed_run(last, today).cast("int").alias("missed")
+    ).filter("missed IS NOT NULL")
+
+    def report(_: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told = {key: set(days) for key, days in zip(*state.get, strict=True)} if state.exists else {}
+        fresh: dict[tuple, tuple] = {}
+        for key, last, today, missed in _rows(pieces, *names):
+            if last not in told.get(key, ()) and ((key, last) not in fresh or today < fresh[key, last][0]):
+                fresh[key, last] = today, missed
+        if fresh:
+            for key, last in fresh:
+                told.setdefault(key, set()).add(last)
+            state.update((list(told), [sorted(days) for days in told.values()]))
+            yield pd.DataFrame([(*at, *row) for at, row in fresh.items()], columns=names, dtype=object)
+
+    names = ["key", "last_run_date", "today", "missed"]
+    return due.groupBy("group").applyInPandasWithState(
+        report, _NOTICE, "key array<string>, told array<array<string>>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def last_results(lines: DataFrame, late: str = "1 hour", groups: int = GROUPS) -> DataFrame:

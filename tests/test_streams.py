@@ -267,5 +267,26 @@ def test_a_run_is_not_silent_before_its_newest_line_is_old(spark, tmp_path):
     assert ("r", 2, None, None, True) in got
 
 
+def test_many_keys_share_groups_of_notices(spark, tmp_path):
+    folder, got, sizes = str(tmp_path / "in"), [], []
+    names = [None, *(f"k{k}" for k in range(2999))]
+    batches = [
+        [(r, "2026-01-01", f"2026-01-0{d}") for d in (5, 4, 2) for r in names],
+        [(r, last, "2026-01-09") for last in ("2026-01-01", "2026-01-06") for r in names[::2]] + [("new", "2026-01-01", "2026-01-03")],
+        [(r, "2026-01-06", "2026-01-08") for r in names],
+    ]
+    for rows in batches:
+        stream = state.notices(checks(spark, folder, rows))
+        keep = lambda batch, _: got.extend(tuple(r) for r in batch.collect())
+        q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        sizes += [p.stateOperators[0].numRowsTotal for p in q.recentProgress]
+    first = [(r, "2026-01-01", "2026-01-04", 2) for r in names]
+    second = [(r, "2026-01-06", "2026-01-09", 2) for r in names[::2]] + [("new", "2026-01-01", "2026-01-03", 1)]
+    third = [(r, "2026-01-06", "2026-01-08", 1) for r in names[1::2]]
+    assert sorted(got, key=str) == sorted(first + second + third, key=str)
+    assert 0 < max(sizes) <= state.GROUPS < len(names)
+
+
 def test_sessions_are_left_as_they_were(spark):
     assert not spark.streams.active and spark.range(3).agg(F.count("*")).first()[0] == 3
