@@ -6,11 +6,12 @@ doc_id. Three passes find those strings without comparing everything with everyt
 1. *Seeds.* In every window of ``length`` bytes the run of 16 bytes with the smallest fingerprint is its
    seed. Equal windows have equal seeds, and neighbouring windows mostly share theirs, so a text has one
    seed per 18 bytes or so. Tasks send only packed, sorted fingerprint prefixes of the seeds of a few
-   megabytes of text at a time; the answer names the documents whose seed occurs in another one too.
+   megabytes of text at a time, dealt by ranges; the answer names the documents whose seed occurs in another one too.
    Seeds that several documents of one batch share are answered on the spot and sent once, so a passage
    that a third of all documents hold costs a row per batch.
-2. *Indexes.* Only stretches of text around such seeds go on, dealt by seed. Of the stretches of one seed all
-   but the last document's are indexed, and all but the first document's are streamed. The index of a deal is
+2. *Indexes.* Only stretches of text around such seeds go on, dealt by seed. Of the stretches of a deal those are
+   indexed that have a window whose first 32 bytes have the fingerprint of a later document's window, and those are
+   streamed that have one of an earlier document, both cut to such windows. The index is
    a run-compressed Burrows-Wheeler transform with the suffix positions at both ends of every run, and the
    earliest document of each group of suffixes that agree in ``length`` bytes, as runs over the rows: all in
    proportion to the runs. Streaming a stretch backwards gives its matching statistics, for every byte the
@@ -49,7 +50,12 @@ from .workspace import table
 LENGTH, SEED = 50, 16
 #: Symbols that are compared at a time.
 PIECE = 16
-CHUNK, GATHER = 2_000_000, 16_000_000
+#: Bytes of text that are hashed at a time (arrays of it stay in a core's cache), sent at a time and dealt to one group, and the least number of deals.
+BLOCK, GATHER, BUCKET, DEALS = 131_072, 24_000_000, 32_000_000, 64
+#: A deal's parts by bytes of text, and bytes of stretches that are indexed at a time, in as many parts as it takes.
+PART, INDEX = 1_000_000, 8_000_000
+#: Rows of bytes that are compared at a time.
+ROWS = 65_536
 #: Different stretches that make a seed hot, and the share of documents (one in so many) in which they are counted.
 HOT, SAMPLE = 8192, 64
 _BYTES = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,53 +68,91 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(30))
 
 
-def seeds(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of windows with one seed: fingerprint, text number, first and last window start, and the joined bytes.
+def _polynomials(buf: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` bytes (a power of two) from every place."""
+    h, done = _BYTES[buf], 1
+    while done < size:
+        h = h[:-done] * np.uint64(pow(_FACTOR, done, 2**64)) + h[done:]
+        done *= 2
+    return h
 
-    Starts count within the joined bytes. A stretch has at most as many windows as can share one seed.
-    """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    counts = np.maximum(sizes - length + 1, 0)
-    if not counts.sum():
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none, buf
-    h, size = _BYTES[buf], 1
-    while size < SEED:
-        h = h[:-size] * np.uint64(pow(_FACTOR, size, 2**64)) + h[size:]
-        size *= 2
-    low, span = _mix(h), length - SEED + 1
+
+def _block_seeds(buf: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    low, span = _mix(_polynomials(buf, SEED)), length - SEED + 1
     size = 1
     while 2 * size <= span:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if span > size:
         low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
-    of = np.repeat(np.arange(len(texts)), counts)
-    first = np.cumsum(sizes) - sizes
-    at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
-    value = low[at]
-    new = np.append(True, (value[1:] != value[:-1]) | (of[1:] != of[:-1]))
+    text = np.flatnonzero(sizes >= length)
+    begin = (np.cumsum(sizes) - sizes)[text]
+    end = begin + sizes[text] - length + 1
+    new = np.append(True, low[1:] != low[:-1])
+    new[begin] = True
+    new[end[end < len(low)]] = True  # windows across two texts
     start = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    cut = np.flatnonzero((np.arange(len(of)) - start[run]) % span == 0)
-    last = np.append(cut[1:], len(of)) - 1
-    return _mix(value[cut] * np.uint64(_FACTOR)), of[cut], at[cut], at[last], buf
-
-
-def _chunks(batches: Iterator, columns: list[str]) -> Iterator[list[list]]:
-    """Rows of a few megabytes of text at a time, texts (last column) as bytes."""
+    stop = np.append(start[1:], len(low))
+    k = np.searchsorted(begin, start, "right") - 1
+    whole = (k >= 0) & (start < end[k])
+    start, stop, k = start[whole], stop[whole], k[whole]
+    times = -(-(stop - start) // span)
+    if times.max(initial=1) > 1:
+        start = np.repeat(start, times) + span * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        stop, k = np.minimum(start + span, np.repeat(stop, times)), np.repeat(k, times)
+    return _mix(low[start] * np.uint64(_FACTOR)), text[k], start, stop - 1
+
+
+def seeds(buf: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows with one seed: fingerprint, text number, first and last window start.
+
+    ``buf`` has the joined bytes of all texts, in which starts count. A stretch has at most as many windows as
+    can share one seed.
+    """
+    none = np.empty(0, np.int64)
+    out, first, lo = [(none.astype(np.uint64), none, none, none)], np.append(0, np.cumsum(sizes)), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + BLOCK, "right")) - 1)
+        if (sizes[lo:hi] >= length).any():
+            print_, of, start, last = _block_seeds(buf[first[lo] : first[hi]], sizes[lo:hi], length)
+            out.append((print_, of + lo, start + first[lo], last + first[lo]))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """Joined bytes and sizes of an Arrow column of texts or binaries; null is empty."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(column):
+        return np.empty(0, np.uint8), np.empty(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if ends[0] == ends[-1]:
+        return np.empty(0, np.uint8), np.diff(ends)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _chunks(batches: Iterator) -> Iterator:
+    """The rows in batches of about ``GATHER`` bytes of text, short batches together."""
+    import pyarrow as pa
+
+    def together():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    held, size = [], 0
     for batch in batches:
-        rows, size = [], 0
-        for row in zip(*(batch[c].to_pylist() for c in columns), strict=True):
-            text = (row[-1] or "").encode("utf-8", "surrogatepass")
-            rows.append([*row[:-1], text])
-            size += len(text)
-            if size >= CHUNK:
-                yield rows
-                rows, size = [], 0
-        if rows:
-            yield rows
+        ends, lo = np.append(0, np.cumsum(_bytes(batch["text"])[1])), 0
+        while lo < len(batch):
+            hi = min(len(batch), max(lo + 1, int(np.searchsorted(ends, ends[lo] + GATHER - size))))
+            held.append(batch.slice(lo, hi - lo))
+            size += int(ends[hi] - ends[lo])
+            lo = hi
+            if size >= GATHER:
+                yield together()
+                held, size = [], 0
+    if held:
+        yield together()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -132,40 +176,47 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _sorted_pairs(key: np.ndarray, value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs in order; keys have at most ``bits`` bits, values are small."""
+    wide = np.uint64(max(1, int(value.max(initial=0)).bit_length()))
+    if bits + int(wide) <= 64:
+        both = np.sort((key << wide) | value.astype(np.uint64))
+        both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+        return both >> wide, (both & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.int64)
+    order = np.lexsort((value, key))
+    key, value = key[order], value[order]
+    keep = np.append(True, (key[1:] != key[:-1]) | (value[1:] != value[:-1]))[: len(key)]
+    return key[keep], value[keep].astype(np.int64)
+
+
 def repeated_seeds(rows: DataFrame, length: int, deals: int, width: int) -> DataFrame:
-    """doc_id, prefix: seeds (``width`` bytes of the fingerprint) that occur in another document too."""
+    """doc_id, prefixes: seeds (``width`` bytes of the fingerprint, as packed 64-bit numbers) that occur in another document too.
+
+    A document has several such rows. A deal is a range of prefixes.
+    """
 
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for chunk in _chunks(batches, ["doc_id", "text"]):
-            ids = np.array([r[0] for r in chunk], np.int64)
-            print_, of, _, _, _ = seeds([r[1] for r in chunk], length)
-            prefix = print_ >> np.uint64(64 - 8 * width)
-            doc, number = np.unique(ids, return_inverse=True)
-            order = np.lexsort((number[of], prefix))
-            p, d = prefix[order], number[of][order]
-            keep = np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]))[: len(p)]
-            p, d = p[keep], d[keep]
+        for chunk in _chunks(batches):
+            print_, of, _, _ = seeds(*_bytes(chunk["text"]), length)
+            doc, number = np.unique(chunk["doc_id"].to_numpy(), return_inverse=True)
+            p, d = _sorted_pairs(print_ >> np.uint64(64 - 8 * width), number[of], 8 * width)
             new = np.append(True, p[1:] != p[:-1])[: len(p)]
             shared = ~(new & np.append(new[1:], True)[: len(p)])
             answered = [doc[d[shared]], p[shared].astype(np.int64)]
             # 0: several documents of this chunk, answered here; else one more than the document's number
-            tag, deal = np.where(shared, 0, d + 1)[new], (p % np.uint64(deals)).astype(np.int64)[new]
-            p = p[new]
+            tag, p = np.where(shared, 0, d + 1)[new], p[new]
+            bounds = np.searchsorted(((p >> np.uint64(8 * width - 32)) * np.uint64(deals)) >> np.uint64(32), np.arange(deals + 1, dtype=np.uint64))
             out = {"deal": [], "blob": []}
-            by = np.argsort(deal, kind="stable")
-            bounds = np.searchsorted(deal[by], np.arange(deals + 1))
-            for k in range(deals):
-                mine = by[bounds[k] : bounds[k + 1]]
-                if len(mine):
-                    used, tags = np.unique(tag[mine], return_inverse=True)
-                    names = np.append(0, doc)[used]
-                    planes = np.ascontiguousarray(p[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-                    out["deal"].append(k)
-                    out["blob"].append(_pack(planes, _small(tags), names, np.array([used[0] == 0])))
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                mine = slice(bounds[k], bounds[k + 1])
+                used, tags = np.unique(np.append(0, tag[mine]), return_inverse=True)
+                planes = np.ascontiguousarray(p[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+                out["deal"].append(k)
+                out["blob"].append(_pack(planes, _small(tags[1:]), doc[used[1:] - 1]))
             for lo in range(0, len(answered[0]), 50_000):  # go through as they are
-                out["deal"].append(int(ids[0]) % deals)
+                out["deal"].append(int(doc[0]) % deals)
                 out["blob"].append(_pack(answered[0][lo : lo + 50_000], answered[1][lo : lo + 50_000]))
             yield pa.RecordBatch.from_pydict({"deal": pa.array(out["deal"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
@@ -175,52 +226,62 @@ def repeated_seeds(rows: DataFrame, length: int, deals: int, width: int) -> Data
         docs, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         blobs = t["blob"]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            prefix, name, many = [], [], []
+            prefix, tagged, names = [], [], []
             for k in range(lo, hi):
                 parts = _unpack(blobs[int(k)].as_py())
                 if len(parts) == 2:
                     docs.append(parts[0])
                     found.append(parts[1])
                     continue
-                planes, tags, names, has_many = parts
-                raw = np.zeros((planes.shape[1], 8), np.uint8)
-                raw[:, :width] = planes.T
+                raw = np.zeros((parts[0].shape[1], 8), np.uint8)
+                raw[:, :width] = parts[0].T
                 prefix.append(raw.view("<u8")[:, 0])
-                name.append(names[tags])
-                many.append((tags == 0) & bool(has_many[0]))
+                tagged.append(parts[1])
+                names.append(parts[2])
             if not prefix:
                 continue
-            prefix, name, many = (np.concatenate(x) for x in (prefix, name, many))
-            order = np.lexsort((name, prefix))
-            prefix, name, many = prefix[order], name[order], many[order]
+            known, prefix = np.unique(np.concatenate(names)), np.concatenate(prefix)
+            tag = np.concatenate([np.append(0, np.searchsorted(known, n) + 1)[x] for n, x in zip(names, tagged, strict=True)])
+            base = prefix.min()
+            prefix, tag = _sorted_pairs(prefix - base, tag, int(prefix.max() - base).bit_length())
             starts = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(prefix))))
-            single = ~many
-            low = np.minimum.reduceat(np.where(single, name, np.iinfo(np.int64).max), starts)
-            high = np.maximum.reduceat(np.where(single, name, np.iinfo(np.int64).min), starts)
-            repeated = np.logical_or.reduceat(many, starts) | (low < high)
-            pick = repeated[group] & single
-            docs.append(name[pick])
-            found.append(prefix[pick].astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(found))], ["doc_id", "prefix"])
+            times = np.diff(np.append(starts, len(prefix)))
+            # Tags are in order: of several rows the first is 0, or the first and last are different documents.
+            pick = np.repeat((times > 1) | (tag[starts] == 0), times) & (tag > 0)
+            docs.append(known[tag[pick] - 1])
+            found.append((prefix[pick] + base).astype(np.int64))
+        docs, found = np.concatenate(docs), np.concatenate(found)
+        by = np.argsort(docs, kind="stable")
+        docs, found = docs[by], found[by]
+        starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])[: len(docs)])
+        ends = (8 * np.append(starts, len(docs))).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(found)])
+        return pa.RecordBatch.from_arrays([pa.array(docs[starts]), packed], ["doc_id", "prefixes"])
 
     sent = rows.mapInArrow(send, "deal int, blob binary")
-    return map_groups(sent, ["deal"], answer, "doc_id long, prefix long")
+    return map_groups(sent, ["deal"], answer, "doc_id long, prefixes binary")
+
+
+def _padded(buf: np.ndarray, first: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Stretches as rows of one width: zeros behind their bytes, and their size in the last byte."""
+    width = (2 * length - SEED) // 8 * 8 + 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(buf, np.zeros(width, np.uint8)), width)[first]
+    rows[np.arange(width) >= sizes[:, None]] = 0
+    rows[:, -1] = sizes
+    return rows
 
 
 def hot_seeds(rows: DataFrame, length: int) -> np.ndarray:
     """Sorted fingerprints of the seeds that have about ``HOT`` different stretches or more."""
 
     def stretches(batches: Iterator) -> Iterator:
-        import zlib
-
         import pyarrow as pa
 
-        for chunk in _chunks(batches, ["text"]):
-            print_, _, first, last, buf = seeds([r[0] for r in chunk], length)
-            data = buf.tobytes()
-            content = np.array([zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.array(content)], ["print", "content"])
+        for chunk in _chunks(batches):
+            buf, sizes = _bytes(chunk["text"])
+            print_, _, first, last = seeds(buf, sizes, length)
+            content = _row_hashes(_padded(buf, first, last + length - first, length))
+            yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.array(content.view(np.int64))], ["print", "content"])
 
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     several = sample.mapInArrow(stretches, "print long, content long").distinct().groupBy("print").count()
@@ -228,34 +289,43 @@ def hot_seeds(rows: DataFrame, length: int) -> np.ndarray:
     return np.sort(found.to_numpy().view(np.uint64))
 
 
-def _window_hashes(windows: np.ndarray) -> np.ndarray:
-    """Fingerprints of windows of up to 56 bytes, one per row."""
-    wide = np.zeros((len(windows), 56), np.uint8)
-    wide[:, : windows.shape[1]] = windows
-    h = np.zeros(len(windows), np.uint64)
-    for word in wide.view("<u8").T:
-        h = _mix(h * np.uint64(_FACTOR) ^ word)
-    return h
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """Fingerprints of rows of bytes."""
+    if rows.shape[1] % 8:
+        rows = np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))
+    h = np.zeros(len(rows), np.uint64)
+    for word in rows.view("<u8").T:
+        h = (h ^ word) * np.uint64(_FACTOR)
+        h ^= h >> np.uint64(29)
+    return _mix(h)
 
 
-def earlier_windows(prints: np.ndarray, docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Whether a smaller document among these has the same window; ``prints`` only bring equal ones together."""
+def first_equal(prints: np.ndarray, docs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each row an equal one of the smallest document, the same for all; ``prints`` only bring equal ones together."""
     order = np.lexsort((docs, prints))
-    p, d = prints[order], docs[order]
+    p = prints[order]
     starts = np.flatnonzero(np.append(True, p[1:] != p[:-1])[: len(p)])
     sizes = np.diff(np.append(starts, len(p)))
-    head, several = np.repeat(starts, sizes), np.repeat(sizes > 1, sizes)
-    order, d, head_doc, head = order[several], d[several], d[head[several]], order[head[several]]
-    same = (windows[order] == windows[head]).all(1)
-    out = np.zeros(len(docs), bool)
-    out[order] = same & (d > head_doc)
-    if not same.all():  # different windows of one fingerprint
-        first: dict = {}
-        for k, doc in zip(order[~same].tolist(), d[~same].tolist(), strict=True):
-            out[k] = first.setdefault(windows[k].tobytes(), doc) < doc
+    head, several = order[np.repeat(starts, sizes)], np.repeat(sizes > 1, sizes)
+    out = np.arange(len(docs))
+    order, head = order[several], head[several]
+    same = np.empty(len(order), bool)
+    for lo in range(0, len(order), ROWS):
+        part = slice(lo, lo + ROWS)
+        same[part] = (rows[order[part]] == rows[head[part]]).all(1)
+    out[order[same]] = head[same]
+    if not same.all():  # different rows of one fingerprint
+        found: dict = {}
+        for k in order[~same].tolist():
+            out[k] = found.setdefault(rows[k].tobytes(), k)
     return out
 
 
+def earlier_windows(prints: np.ndarray, docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether a smaller document among these has the same window; ``prints`` only bring equal ones together."""
+    return docs[first_equal(prints, docs, windows)] < docs
+
+
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -427,36 +497,53 @@ class RunIndex:
             yield number[hit], start[hit]
 
 
-def resolve(stretches: list[bytes], docs: np.ndarray, versions: np.ndarray, at: np.ndarray, prints: np.ndarray, length: int) -> Spans:
-    """Removed spans (doc, version, start, stop) that the stretches of one deal show.
+def common_parts(buf: np.ndarray, first: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> list[tuple]:
+    """What of the stretches is worth indexing, and what is worth streaming: numbers of stretches, starts and ends in ``buf``.
 
-    Equal stretches are taken once, under their first document. Of the stretches with one seed those of the
-    last document cannot be an earlier one's and are not indexed, those of the first are not streamed.
+    A filter: a window can only be another document's too if that one has a window whose first bytes have the
+    same fingerprint. Stretches come in the order of their documents and are cut to such windows.
     """
-    order = np.argsort(docs, kind="stable")
-    number, own = {}, np.empty(len(order), np.int64)
-    for k in order.tolist():
-        own[k] = number.setdefault(stretches[k], len(number))
-    first = np.full(len(number), np.iinfo(np.int64).max)
-    np.minimum.at(first, own, docs)
-    later = docs > first[own]
-    sizes = np.array([len(s) for s in stretches], np.int64)
+    times = sizes - length + 1
+    of = np.repeat(np.arange(len(sizes)), times)
+    at = first[of] + np.arange(len(of)) - (np.cumsum(times) - times)[of]
+    wide = np.uint64(max(1, len(of).bit_length()))
+    blocks = [_mix(_polynomials(buf[lo : lo + BLOCK + 2 * SEED - 1], 2 * SEED)) for lo in range(0, len(buf) - 2 * SEED + 1, BLOCK)]
+    both = np.sort((np.concatenate(blocks)[at] >> wide << wide) | np.arange(len(of), dtype=np.uint64))
+    k, key = (both & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.int64), both >> wide
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    counts = np.diff(np.append(starts, len(key)))
+    doc = docs[of[k]]
+    out = []
+    for other in (np.repeat(doc[starts + counts - 1], counts) > doc, np.repeat(doc[starts], counts) < doc):
+        window = np.sort(k[other])
+        head = np.append(True, of[window][1:] != of[window][:-1])[: len(window)]
+        out.append((of[window][head], at[window][head], at[window][np.append(head[1:], True)[: len(head)]] + length))
+    return out
+
+
+def resolve(buf: np.ndarray, sizes: np.ndarray, docs: np.ndarray, versions: np.ndarray, at: np.ndarray, length: int) -> Spans:
+    """Removed spans (doc, version, start, stop) that the stretches of one deal show, joined in ``buf``.
+
+    Equal stretches are taken once, under their first document.
+    """
+    first = np.cumsum(sizes) - sizes
+    rows = _padded(buf, first, sizes, length)
+    own = first_equal(_row_hashes(rows), docs, rows)
+    later = docs[own] < docs
     out = [(docs[later], versions[later], at[later], at[later] + sizes[later])]
-    seed = np.empty(len(number), prints.dtype)
-    seed[own] = prints
-    by = np.lexsort((first, seed))
-    heads = np.flatnonzero(np.append(True, seed[by][1:] != seed[by][:-1])[: len(by)])
-    count = np.diff(np.append(heads, len(by)))
-    lowest, highest = (np.empty(len(by), np.int64) for _ in range(2))
-    lowest[by], highest[by] = np.repeat(first[by][heads], count), np.repeat(first[by][heads + count - 1], count)
-    indexed, streamed = np.flatnonzero(first < highest), np.flatnonzero(first > lowest)
-    every, marks = list(number), []
-    if len(indexed):
-        index = RunIndex([every[k] for k in indexed.tolist()], first[indexed], length)
-        marks = list(index.marks([every[k] for k in streamed.tolist()], first[streamed]))
+    each = np.unique(own)
+    each = each[np.argsort(docs[each], kind="stable")]
+    indexed, streamed = common_parts(buf, first[each], sizes[each], docs[each], length)
+    marks = []
+    if len(indexed[0]):
+        data = buf.tobytes()
+        parts = [[data[a:b] for a, b in zip(x[1].tolist(), x[2].tolist(), strict=True)] for x in (indexed, streamed)]
+        index = RunIndex(parts[0], docs[each[indexed[0]]], length)
+        marks = list(index.marks(parts[1], docs[each[streamed[0]]]))
     if marks:
-        seg, start = (np.concatenate(x) for x in zip(*marks, strict=True))
-        seg = streamed[seg]
+        part, start = (np.concatenate(x) for x in zip(*marks, strict=True))
+        seg = each[streamed[0]][part]
+        start = start + streamed[1][part] - first[seg]
         by = np.lexsort((start, seg))
         seg, start = seg[by], start[by]
         lo, hi = np.searchsorted(seg, own[~later], "left"), np.searchsorted(seg, own[~later], "right")
@@ -466,93 +553,99 @@ def resolve(stretches: list[bytes], docs: np.ndarray, versions: np.ndarray, at:
     return _merged(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
+def _groups(deal: np.ndarray) -> list[tuple[int, int, int]]:
+    """(deal, begin, end) of the runs of equal numbers."""
+    starts = np.flatnonzero(np.append(True, deal[1:] != deal[:-1])[: len(deal)])
+    return list(zip(deal[starts].tolist(), starts.tolist(), np.append(starts[1:], len(deal)).tolist(), strict=True))
+
+
+def _together(ends: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Neighbouring parts that have up to ``most`` together, or one that has more; ``ends``: what lies before each part and before the end."""
+    out, k = [], 0
+    while k < len(ends) - 1:
+        to = max(k + 1, int(np.searchsorted(ends, ends[k] + most, "right")) - 1)
+        out.append((k, to))
+        k = to
+    return out
+
+
 def dealt_stretches(rows: DataFrame, length: int, total: int) -> DataFrame:
-    """deal, blob: packed stretches, and windows of hot seeds, that may occur in several documents."""
+    """deal, blob: packed stretches, and windows of hot seeds, that may occur in several documents.
+
+    A deal has the stretches of some ``BUCKET`` bytes of text, sorted into parts of ``PART`` bytes that have their seeds
+    to themselves: what is sent at a time makes a blob for each deal, and what is indexed at a time is smaller.
+    """
     width = next(w for w in (4, 5, 6, 7) if w == 7 or total < 1 << (8 * w - 2))  # about 1 in 70 seeds agrees by chance
-    deals = max(8, total // 16_000_000)
-    asked = repeated_seeds(rows, length, deals, width).groupBy("doc_id").agg(F.collect_set("prefix").alias("prefixes"))
-    deals *= 8
+    asked = repeated_seeds(rows, length, max(8, total // BUCKET), width).groupBy("doc_id").agg(F.collect_list("prefixes").alias("prefixes"))
+    deals = max(DEALS, min(4 * DEALS, total // (BUCKET // 8)), total // BUCKET)
+    parts = max(1, round(total / deals / PART))
     hot = rows.sparkSession.sparkContext.broadcast(hot_seeds(rows, length))
 
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def packed() -> pa.RecordBatch:
-            out = {"deal": [], "blob": []}
-            keep.sort(key=lambda x: x[0])
-            ends = [k for k in range(1, len(keep) + 1) if k == len(keep) or keep[k][0] != keep[k - 1][0]]
-            for lo, hi in zip([0, *ends], ends, strict=False):
-                part = keep[lo:hi]
-                out["deal"].append(part[0][0])
-                out["blob"].append(_pack(
-                    np.array([p[1] for p in part], np.int64), np.array([p[5] for p in part], np.int64), _small(np.array([p[2] for p in part], np.int64)),
-                    _small(np.array([len(p[3]) for p in part], np.int64)), np.frombuffer(b"".join(p[3] for p in part), np.uint8),
-                    np.array([p[4] for p in part], np.uint32),
-                ))
-            spans = [tuple(np.array(x, np.int64) for x in zip(*covered, strict=True))] if covered else []
-            if single:
-                doc, version, at, windows = (np.concatenate(x) for x in zip(*single, strict=True))
-                prints = _window_hashes(windows)
-                later = earlier_windows(prints, doc, windows)
-                of, text, start, stop = _merged(doc[later], version[later], at[later], at[later] + length)
-                spans.append((of, text, start, stop - start))
-                left = np.flatnonzero(~later)
-                to = (prints[left] % np.uint64(deals)).astype(np.int64)
+        for chunk in _chunks(batches):
+            (buf, sizes), out = _bytes(chunk["text"]), {"deal": [], "blob": []}
+            print_, of, first, last = seeds(buf, sizes, length)
+            prefix = print_ >> np.uint64(64 - 8 * width)
+            wanted = np.unique(_bytes(chunk["prefixes"].flatten())[0].view("<u8"))
+            pick = wanted_seeds(prefix, wanted)
+            print_, of, first, last = print_[pick], of[pick], first[pick], last[pick]
+            docs, versions = chunk["doc_id"].to_numpy()[of], chunk["version"].to_numpy()[of]
+            where, n = first - (np.cumsum(sizes) - sizes)[of], last + length - first
+            table = _padded(buf, first, n, length)
+            later = earlier_windows(_row_hashes(table), docs, table)  # an earlier document of this chunk holds it
+            spans = [(docs[later], versions[later], where[later], n[later])]
+            apart = np.isin(print_, hot.value)
+            left = np.flatnonzero(~later & ~apart)
+            deal = print_[left] % np.uint64(deals)
+            part = print_[left] // np.uint64(deals) % np.uint64(parts)
+            by = np.argsort(deal * np.uint64(parts) + part, kind="stable")
+            left, deal, part = left[by], deal[by].astype(np.int64), part[by].astype(np.int64)
+            for k, lo, hi in _groups(deal):
+                mine = left[lo:hi]
+                data = table[mine][np.arange(table.shape[1]) < n[mine][:, None]]
+                bounds = np.searchsorted(part[lo:hi], np.arange(parts + 1))
+                out["deal"].append(k)
+                out["blob"].append(_pack(docs[mine], versions[mine], _small(where[mine]), _small(n[mine]), data, bounds))
+            del table
+            single = np.flatnonzero(~later & apart)
+            for lo in range(0, len(single), 20_000):
+                mine = single[lo : lo + 20_000]
+                times = (last - first)[mine] + 1
+                mine, within = np.repeat(mine, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                windows = np.lib.stride_tricks.sliding_window_view(buf, length)[first[mine] + within]
+                doc, version, at, prints = docs[mine], versions[mine], where[mine] + within, _row_hashes(windows)
+                again = earlier_windows(prints, doc, windows)
+                text, which, start, stop = _merged(doc[again], version[again], at[again], at[again] + length)
+                spans.append((text, which, start, stop - start))
+                alone = np.flatnonzero(~again)
+                to = (prints[alone] % np.uint64(deals)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
-                left, to = left[by], to[by]
-                ends = np.append(np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)).tolist()
-                for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
-                    mine = left[lo:hi]
-                    out["deal"].append(int(to[lo]))
-                    out["blob"].append(_pack(doc[mine], version[mine], _small(at[mine]), windows[mine], np.array([length])))
-            spans = [x for x in spans if len(x[0])]
-            if spans:
-                doc, version, at, n = (np.concatenate(x) for x in zip(*spans, strict=True))
+                alone = alone[by]
+                for k, a, b in _groups(to[by]):
+                    one = alone[a:b]
+                    out["deal"].append(k)
+                    out["blob"].append(_pack(doc[one], version[one], _small(at[one]), windows[one], np.array([length])))
+            doc, version, at, size = (np.concatenate(x) for x in zip(*spans, strict=True))
+            if len(doc):
                 out["deal"].append(int(doc[0]) % deals)
-                out["blob"].append(_pack(doc, version, _small(at), _small(n)))
-            keep.clear(), covered.clear(), known.clear(), single.clear()
-            return pa.RecordBatch.from_pydict({"deal": pa.array(out["deal"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
-
-        known, covered, keep, single, held = {}, [], [], [], 0
-        for chunk in _chunks(batches, ["doc_id", "prefixes", "version", "text"]):
-            ids, marks = (np.array([r[k] for r in chunk], np.int64) for k in (0, 2))
-            print_, of, first, last, buf = seeds([r[3] for r in chunk], length)
-            prefix = (print_ >> np.uint64(64 - 8 * width)).astype(np.int64)
-            wanted = np.unique(np.concatenate([np.array(r[1], np.int64) for r in chunk]))
-            pick = np.flatnonzero(np.isin(prefix, wanted))
-            pick = pick[np.argsort(ids[of[pick]], kind="stable")]
-            origin = np.cumsum([0, *(len(r[3]) for r in chunk[:-1])])
-            data, deal, rest = buf.tobytes(), print_[pick] % np.uint64(deals), (print_[pick] >> np.uint64(20)).astype(np.uint32)
-            where, texts, versions = first[pick] - origin[of[pick]], ids[of[pick]], marks[of[pick]]
-            is_hot, one_by_one = np.isin(print_[pick], hot.value), []
-            columns = (first[pick], last[pick] + length, deal, texts, versions, where, rest, is_hot)
-            for k, (a, b, d, doc, version, at, p, apart) in enumerate(zip(*(x.tolist() for x in columns), strict=True)):
-                s = data[a:b]
-                if known.setdefault(s, doc) < doc:  # an earlier document of these chunks holds it
-                    covered.append((doc, version, at, len(s)))
-                elif apart:
-                    one_by_one.append(k)
-                else:
-                    keep.append((d, doc, at, s, p, version))
-            for lo in range(0, len(one_by_one), 10_000):
-                mine = np.array(one_by_one[lo : lo + 10_000])
-                times = (last - first)[pick[mine]] + 1
-                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                at = np.repeat(first[pick[mine]], times) + within
-                windows = np.lib.stride_tricks.sliding_window_view(buf, length)[at]
-                single.append((np.repeat(texts[mine], times), np.repeat(versions[mine], times), np.repeat(where[mine], times) + within, windows))
-                if sum(x[3].nbytes for x in single) >= 2 * GATHER:
-                    yield packed()
-                    held = 0
-            held += len(data)
-            if held >= GATHER:
-                yield packed()
-                held = 0
-        yield packed()
+                out["blob"].append(_pack(doc, version, _small(at), _small(size)))
+            yield pa.RecordBatch.from_pydict({"deal": pa.array(out["deal"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
     return rows.join(asked, "doc_id").select("doc_id", "prefixes", "version", "text").mapInArrow(send, "deal int, blob binary")
 
 
+def wanted_seeds(prefix: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the prefixes that are among ``wanted`` (sorted); most fail in a table of bits that is looked at first."""
+    if not len(wanted):
+        return np.empty(0, np.int64)
+    some, low = np.zeros(1 << 22, bool), np.uint64((1 << 22) - 1)
+    some[wanted & low] = True
+    maybe = np.flatnonzero(some[prefix & low])
+    return maybe[wanted[np.minimum(np.searchsorted(wanted, prefix[maybe]), len(wanted) - 1)] == prefix[maybe]]
+
+
 def removed_spans(rows: DataFrame, length: int, total: int) -> DataFrame:
     """doc_id, version, start, stop of removed stretches, possibly overlapping; ``rows``: doc_id, version, text."""
 
@@ -562,27 +655,25 @@ def removed_spans(rows: DataFrame, length: int, total: int) -> DataFrame:
         found = [(np.empty(0, np.int64),) * 4]
         blobs = t["blob"]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            docs, versions, at, prints, stretches, single = [], [], [], [], [], []
+            sent, single = [], []
             for k in range(lo, hi):
                 parts = _unpack(blobs[int(k)].as_py())
                 if len(parts) == 4:
                     start = parts[2].astype(np.int64)
                     found.append((*parts[:2], start, start + parts[3]))
-                    continue
-                if len(parts) == 5:
+                elif len(parts) == 5:
                     single.append((*parts[:2], parts[2].astype(np.int64), parts[3]))
-                    continue
-                docs.append(parts[0])
-                versions.append(parts[1])
-                at.append(parts[2].astype(np.int64))
-                prints.append(parts[5])
-                data, end = parts[4].tobytes(), np.cumsum(parts[3].astype(np.int64))
-                stretches += [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
-            if stretches:
-                found.append(resolve(stretches, *map(np.concatenate, (docs, versions, at, prints)), length))
+                else:
+                    sent.append((*parts, np.append(0, np.cumsum(parts[3], dtype=np.int64))))
+            for begin, end in _together(sum(x[6][x[5]] for x in sent), INDEX) if sent else ():
+                mine = [(x, slice(x[5][begin], x[5][end])) for x in sent]
+                docs, versions, at, sizes = (np.concatenate([x[c][rows] for x, rows in mine]).astype(np.int64) for c in range(4))
+                data = np.concatenate([x[4][x[6][rows.start] : x[6][rows.stop]] for x, rows in mine])
+                if len(docs):
+                    found.append(resolve(data, sizes, docs, versions, at, length))
             if single:
                 doc, version, start, windows = (np.concatenate(x) for x in zip(*single, strict=True))
-                later = earlier_windows(_window_hashes(windows), doc, windows)
+                later = earlier_windows(_row_hashes(windows), doc, windows)
                 found.append(_merged(doc[later], version[later], start[later], start[later] + length))
         columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "start", "stop"])
@@ -607,27 +698,24 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        fields = [pa.field("start", pa.int64()), pa.field("stop", pa.int64())]
         for batch in batches:
-            merged, kept = [], []
-            for text, version, spans in zip(*(batch[c].to_pylist() for c in ("text", "version", "spans")), strict=True):
-                raw, out, parts, at = (text or "").encode("utf-8", "surrogatepass"), [], [], 0
-                for s in spans or ():
-                    if s["version"] != version:
-                        continue
-                    if out and s["start"] <= out[-1]["stop"]:
-                        out[-1]["stop"] = max(out[-1]["stop"], s["stop"])
-                    else:
-                        out.append({"start": s["start"], "stop": s["stop"]})
-                for s in out:
-                    parts.append(raw[at : s["start"]])
-                    at = s["stop"]
-                merged.append(out)
-                kept.append(b"".join([*parts, raw[at:]]))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text"], pa.array(merged, kind), pa.array(kept, pa.binary())],
-                ["doc_id", "text", "spans", "kept"],
-            )
+            buf, sizes = _bytes(batch["text"])
+            begin, version = np.cumsum(sizes) - sizes, batch["version"].to_numpy()
+            listed = batch["spans"].fill_null([])
+            of = np.repeat(np.arange(len(batch)), np.diff(listed.offsets.to_numpy()))
+            every = listed.flatten()
+            which, start, stop = (every.field(c).to_numpy() for c in ("version", "start", "stop"))
+            own = which == version[of]
+            of, _, start, stop = _merged(of[own], np.zeros(own.sum(), np.int64), start[own], stop[own])
+            counts = np.append(0, np.cumsum(np.bincount(of, minlength=len(batch)))).astype(np.int32)
+            merged = pa.ListArray.from_arrays(pa.array(counts), pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], fields=fields))
+            data = memoryview(buf)
+            left = zip(np.append(0, begin[of] + stop).tolist(), np.append(begin[of] + start, len(buf)).tolist(), strict=True)
+            kept = b"".join([data[a:b] for a, b in left])
+            ends = np.append(0, np.cumsum(sizes - np.bincount(of, stop - start, len(batch)).astype(np.int64)))
+            kept = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(kept)])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], merged, kept], ["doc_id", "text", "spans", "kept"])
 
     # The same dealing of the documents by doc_id serves the join above and this one.
     joined = rows.join(listed, "doc_id", "left").select("doc_id", "text", "version", "spans")

@@ -164,3 +164,86 @@ def test_windows_of_one_fingerprint_are_told_apart():
     windows = np.frombuffer(b"aabbaabbab", np.uint8).reshape(5, 2)
     docs = np.array([3, 1, 5, 2, 4])
     assert earlier_windows(np.zeros(5, np.uint64), docs, windows).tolist() == [False, False, True, True, False]
+
+
+def test_what_is_sent_does_not_grow_with_the_number_of_indexes(spark):
+    """A task that sends a little of a table of 10 GB, where every index has 2 MB of it."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 1200).tolist()).decode() for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts + [x + "!" for x in texts])), "doc_id long, text string").selectExpr("*", "xxhash64(text) AS version")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = S.dealt_stretches(df.repartition(tasks, "doc_id"), 50, 10_000_000_000)
+    assert sent.count() <= tasks * 320
+    assert sent.select("deal").distinct().count() > 200
+
+
+def test_deals_of_several_parts_equal_brute_force(spark, monkeypatch):
+    for name, value in (("DEALS", 2), ("BUCKET", 12_000), ("PART", 700), ("INDEX", 9_000)):
+        monkeypatch.setattr(S, name, value)
+    docs = _docs()
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).selectExpr("doc_id", "octet_length(coalesce(text, '')) - octet_length(kept) AS n_removed", "sha2(kept, 256) AS kept_sha256").collect()}
+    assert got == {i: (w[1], w[3]) for i, w in _brute(docs).items()}
+
+
+@pytest.mark.parametrize("block", [1, 200, 10**6])
+def test_stretches_are_all_windows_once_and_follow_their_bytes(monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    texts = [(t or "").encode() for _, t in _docs()] + [b"a" * 49, b"a" * 50, b""]
+    buf, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    begin = np.cumsum(sizes) - sizes
+    print_, of, first, last = S.seeds(buf, sizes, 50)
+    windows, seed = [], {}
+    for p, k, a, b in zip(print_.tolist(), of.tolist(), first.tolist(), last.tolist(), strict=True):
+        assert 0 <= b - a < 35
+        for at in range(a, b + 1):
+            windows.append((k, at - int(begin[k])))
+            assert seed.setdefault(texts[k][at - begin[k] : at - begin[k] + 50], p) == p
+    assert windows == [(k, p) for k, n in enumerate(sizes.tolist()) for p in range(n - 49)]
+
+
+def test_parts_hold_every_window_that_two_documents_share():
+    stretches = sorted({(t or "").encode()[p : p + 70] for _, t in _docs() for p in range(0, len(t or "") - 70, 9)})
+    rng = np.random.default_rng(2)
+    docs = np.sort(rng.integers(0, 60, len(stretches)))
+    sizes = np.array([len(s) for s in stretches])
+    first = np.cumsum(sizes) - sizes
+    indexed, streamed = S.common_parts(np.frombuffer(b"".join(stretches), np.uint8), first, sizes, docs, 50)
+    places = {}
+    for k, s in enumerate(stretches):
+        for p in range(len(s) - 49):
+            places.setdefault(s[p : p + 50], []).append((k, p))
+    assert len(streamed[0]) < len(stretches)
+    for (number, begin, end), need in ((indexed, max), (streamed, min)):
+        cut = {k: (a - first[k], b - first[k]) for k, a, b in zip(number.tolist(), begin.tolist(), end.tolist(), strict=True)}
+        for every in places.values():
+            other = need(docs[k] for k, _ in every)
+            assert all(cut[k][0] <= p and p + 50 <= cut[k][1] for k, p in every if docs[k] != other)
+
+
+def test_seeds_that_are_wanted_and_parts_that_go_together():
+    rng = np.random.default_rng(1)
+    prefix, wanted = rng.integers(0, 1 << 40, 5000).astype(np.uint64), rng.integers(0, 1 << 40, 900).astype(np.uint64)
+    wanted = np.unique(np.append(wanted, prefix[::7]))
+    assert S.wanted_seeds(prefix, wanted).tolist() == np.flatnonzero(np.isin(prefix, wanted)).tolist()
+    assert len(S.wanted_seeds(prefix, wanted[:0])) == 0
+    assert S._together(np.array([0, 4, 6, 6, 30, 31, 33]), 10) == [(0, 3), (3, 4), (4, 6)]
+
+
+@pytest.mark.parametrize("width", [5, 7])
+def test_repeated_seeds_of_many_chunks(spark, width):
+    texts = [(i, t) for i, t in _docs() if t]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    got = {(r.doc_id, int(p)) for r in S.repeated_seeds(df, 50, 11, width).collect() for p in np.frombuffer(r.prefixes, np.uint64)}
+    by = {}
+    for i, t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        for p in S.seeds(raw, np.array([len(raw)]), 50)[0].tolist():
+            by.setdefault(p >> (64 - 8 * width), set()).add(i)
+    assert got == {(i, p) for p, ids in by.items() if len(ids) > 1 for i in ids}
+
+
+def test_rows_of_one_fingerprint_meet_their_equals_alone():
+    rows = np.frombuffer(b"aabbaabbabaa", np.uint8).reshape(6, 2)
+    docs = np.array([3, 1, 5, 2, 4, 3])
+    own = S.first_equal(np.zeros(6, np.uint64), docs, rows)
+    assert docs[own].tolist() == [3, 1, 3, 1, 4, 3] and own[0] == own[5] and (rows[own] == rows).all()
