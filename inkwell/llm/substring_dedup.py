@@ -190,10 +190,7 @@ def _sorted_pairs(key: np.ndarray, value: np.ndarray, bits: int) -> tuple[np.nda
 
 
 def repeated_seeds(rows: DataFrame, length: int, deals: int, width: int) -> DataFrame:
-    """doc_id, prefixes: seeds (``width`` bytes of the fingerprint, as packed 64-bit numbers) that occur in another document too.
-
-    A document has several such rows. A deal is a range of prefixes.
-    """
+    """doc_id, prefix: seeds (``width`` bytes of the fingerprint) that occur in another document too. A deal is a range of prefixes."""
 
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -250,16 +247,10 @@ def repeated_seeds(rows: DataFrame, length: int, deals: int, width: int) -> Data
             pick = np.repeat((times > 1) | (tag[starts] == 0), times) & (tag > 0)
             docs.append(known[tag[pick] - 1])
             found.append((prefix[pick] + base).astype(np.int64))
-        docs, found = np.concatenate(docs), np.concatenate(found)
-        by = np.argsort(docs, kind="stable")
-        docs, found = docs[by], found[by]
-        starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])[: len(docs)])
-        ends = (8 * np.append(starts, len(docs))).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(found)])
-        return pa.RecordBatch.from_arrays([pa.array(docs[starts]), packed], ["doc_id", "prefixes"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(found))], ["doc_id", "prefix"])
 
     sent = rows.mapInArrow(send, "deal int, blob binary")
-    return map_groups(sent, ["deal"], answer, "doc_id long, prefixes binary")
+    return map_groups(sent, ["deal"], answer, "doc_id long, prefix long")
 
 
 def _padded(buf: np.ndarray, first: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
@@ -576,7 +567,7 @@ def dealt_stretches(rows: DataFrame, length: int, total: int) -> DataFrame:
     to themselves: what is sent at a time makes a blob for each deal, and what is indexed at a time is smaller.
     """
     width = next(w for w in (4, 5, 6, 7) if w == 7 or total < 1 << (8 * w - 2))  # about 1 in 70 seeds agrees by chance
-    asked = repeated_seeds(rows, length, max(8, total // BUCKET), width).groupBy("doc_id").agg(F.collect_list("prefixes").alias("prefixes"))
+    asked = repeated_seeds(rows, length, max(8, total // BUCKET), width).groupBy("doc_id").agg(F.collect_set("prefix").alias("prefixes"))
     deals = max(DEALS, min(4 * DEALS, total // (BUCKET // 8)), total // BUCKET)
     parts = max(1, round(total / deals / PART))
     hot = rows.sparkSession.sparkContext.broadcast(hot_seeds(rows, length))
@@ -588,7 +579,7 @@ def dealt_stretches(rows: DataFrame, length: int, total: int) -> DataFrame:
             (buf, sizes), out = _bytes(chunk["text"]), {"deal": [], "blob": []}
             print_, of, first, last = seeds(buf, sizes, length)
             prefix = print_ >> np.uint64(64 - 8 * width)
-            wanted = np.unique(_bytes(chunk["prefixes"].flatten())[0].view("<u8"))
+            wanted = np.unique(chunk["prefixes"].flatten().to_numpy().view(np.uint64))
             pick = wanted_seeds(prefix, wanted)
             print_, of, first, last = print_[pick], of[pick], first[pick], last[pick]
             docs, versions = chunk["doc_id"].to_numpy()[of], chunk["version"].to_numpy()[of]

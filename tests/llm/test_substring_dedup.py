@@ -233,7 +233,7 @@ def test_seeds_that_are_wanted_and_parts_that_go_together():
 def test_repeated_seeds_of_many_chunks(spark, width):
     texts = [(i, t) for i, t in _docs() if t]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
-    got = {(r.doc_id, int(p)) for r in S.repeated_seeds(df, 50, 11, width).collect() for p in np.frombuffer(r.prefixes, np.uint64)}
+    got = {(r.doc_id, r.prefix) for r in S.repeated_seeds(df, 50, 11, width).collect()}
     by = {}
     for i, t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
